@@ -15,20 +15,24 @@ conversation is the unit that has to be rendered whole, so it must fit in a task
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 CONTROL = [START, SEP, END]
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-BATCH_CHARS = 1 << 21
+BATCH_CHARS, BATCH_ROWS = 1 << 18, 256
 ESCAPED = re.compile(r"<\\([\\|])")
 TURN = re.compile(re.escape(START) + "(.*?)" + re.escape(SEP) + "(.*?)" + re.escape(END), re.DOTALL)
+Finish = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 SCHEMA = "conv_id long, formatted string, token_ids array<int>, token_starts array<int>, token_ends array<int>, loss_mask array<boolean>"
+FIELDS = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), *[(n, pa.list_(pa.int32())) for n in ("token_ids", "token_starts", "token_ends")], ("loss_mask", pa.list_(pa.bool_()))])
 
 
 def escape(text: str) -> str:
@@ -74,37 +78,47 @@ def load(path: str):
     return tokenizer
 
 
-def format_chats(turns: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def encoded(rows: list[tuple], encoder) -> pa.RecordBatch:
+    """A formatted batch of (conv_id, rendered text, assistant spans). Texts are encoded one by one: an encoding takes far
+    more memory than the arrays kept of it."""
+    columns: list[list] = [[] for _ in FIELDS]
+    for conv_id, text, spans in rows:
+        found = encoder.encode(text, add_special_tokens=False)
+        offsets = np.array(found.offsets, dtype=np.int32).reshape(-1, 2)
+        starts, ends = offsets[:, 0], offsets[:, 1]
+        for column, value in zip(columns, (conv_id, text, np.array(found.ids, np.int32), starts, ends, mask_of(starts, ends, spans)), strict=True):
+            column.append(value)
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, FIELDS, strict=True)], schema=FIELDS)
+
+
+def formatted(batches: Iterable[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
+    """Formatted batches of (conv_id, turns); a batch holds about BATCH_CHARS characters or one conversation."""
+    encoder = None
+    for batch in batches:
+        encoder = encoder or load(tokenizer)
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            part = batch.slice(at, BATCH_ROWS)
+            rows = [(i, *render([tuple(t.values()) for t in turns])) for i, turns in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+            for a, b in slices([r[1] for r in rows], BATCH_CHARS):
+                yield encoded(rows[a:b], encoder)
+
+
+def format_chats(turns: DataFrame, tokenizer: str = TOKENIZER, finish: Finish | None = None, finish_schema: str = SCHEMA) -> DataFrame:
     """One row per conversation of (conv_id, turn, role, text): the rendered text, token ids, their offsets in
-    code points, and the loss mask."""
+    code points, and the loss mask.
+
+    finish, if given, is what becomes of the formatted batches in the same Python worker (its rows have finish_schema), so
+    token arrays needn't travel to the JVM and back.
+    """
     grouped = turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))), lambda x: F.struct(x["role"], x["text"])).alias("turns")
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
-        for batch in batches:
-            encoder = encoder or load(tokenizer)
-            rows = [(i, *render([tuple(t.values()) for t in turns])) for i, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            while rows:
-                part, held = [], 0
-                while rows and (not part or held + len(rows[-1][1]) <= BATCH_CHARS):
-                    part.append(rows.pop())
-                    held += len(part[-1][1])
-                encoded = encoder.encode_batch([r[1] for r in part], add_special_tokens=False)
-                offsets = [np.array(e.offsets, dtype=np.int32).reshape(-1, 2) for e in encoded]
-                columns = [
-                    [r[0] for r in part],
-                    [r[1] for r in part],
-                    [e.ids for e in encoded],
-                    [o[:, 0] for o in offsets],
-                    [o[:, 1] for o in offsets],
-                    [mask_of(o[:, 0], o[:, 1], r[2]) for o, r in zip(offsets, part, strict=True)],
-                ]
-                kinds = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["conv_id", "formatted", "token_ids", "token_starts", "token_ends", "loss_mask"])
-
-    return grouped.mapInArrow(run, SCHEMA)
+        done = formatted(batches, tokenizer)
+        return finish(done) if finish else done
+
+    return grouped.mapInArrow(run, finish_schema)
 
 
 def loss_text(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> str:
