@@ -50,17 +50,21 @@ class Walk:
             stay[t % PERIOD] = wait
         self.stay = np.minimum(stay, 255).astype(np.uint8).tobytes()
         self.bit = rng.integers(0, 2, (BITS, 257), dtype=np.uint8)
-        self.records = []
+        records = []
         for _ in range(BITS):  # record times of a sequence of random numbers: t, then the least t' > t / uniform
             at, times = 1, []
             while at < LONGEST:
                 times.append(at)
                 at = int(at / (1 - rng.random())) + 1
-            self.records.append(np.array(times))
+            records.append(times)
+        self.records = np.full((BITS, max(map(len, records))), 2 * LONGEST)
+        for row, times in zip(self.records, records, strict=True):
+            row[: len(times)] = times
 
     def places(self, n: int) -> np.ndarray:
         """The sampled steps, from 0, for a text of n characters."""
-        return np.array([r[np.searchsorted(r, max(1, 2 * n), side="right") - 1] - 1 for r in self.records])
+        last = (self.records <= max(1, 2 * n)).sum(axis=1) - 1
+        return self.records[np.arange(BITS), last] - 1
 
     def times(self, classes: bytes, at: int) -> Iterator[int]:
         stay = self.stay
