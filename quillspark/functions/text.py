@@ -134,7 +134,7 @@ def looks_like_list(block: Column) -> Column:
 def clock_ms(x: Column) -> Column:
     """[HH:]MM:SS[.,mmm] in milliseconds; null where it isn't one."""
     pattern = r"^\s*(?:(\d+):)?(\d{1,2}):(\d{1,2})(?:[.,](\d{1,3}))?\s*$"
-    part = lambda i: F.coalesce(F.expr("cast(null as bigint)") if i is None else F.regexp_extract(x, pattern, i).try_cast("long"), F.lit(0))
+    part = lambda i: F.coalesce(F.regexp_extract(x, pattern, i).try_cast("long"), F.lit(0))
     millis = F.rpad(F.regexp_extract(x, pattern, 4), 3, "0").try_cast("long")
     return F.when(x.rlike(pattern), part(1) * 3_600_000 + part(2) * 60_000 + part(3) * 1000 + F.coalesce(millis, F.lit(0)))
 

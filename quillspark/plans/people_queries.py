@@ -9,6 +9,7 @@ from ..operators import ledger as L
 from ..operators import people as P
 from ..operators import scope as S
 from ..session import table
+from ..streaming import jobs as J
 from .registry import listed, query, quoted, strip, words
 
 MODELS = ["gpt-4o-mini", "gemini-2.0-flash", "unlisted-model"]
@@ -173,3 +174,19 @@ def layered_settings(spark, sf_dir):
     kind = "key string, value string, layer string"
     layers = [spark.createDataFrame([("model", "a", "default"), ("top_k", "8", "default"), ("other", "x", "default")], kind), spark.createDataFrame([("model", "b", "agent")], kind)]
     return L.merged_settings(layers, ["model", "top_k"])
+
+
+@query("""WITH t AS (SELECT DISTINCT conv_id AS plan_id, 'w' || (turn // 2 + 1) || 't' || (turn % 2 + 1) AS task_id FROM conversations WHERE turn < 24)
+SELECT plan_id, count(CASE WHEN (hash_key % 3) = 0 THEN 1 END) AS done, count(*) AS total FROM (SELECT plan_id, task_id, ascii(task_id[2]) AS hash_key FROM t) GROUP BY plan_id""")
+def plan_progress(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").filter("turn < 24")
+    task = F.concat(F.lit("w"), (F.floor(F.col("turn") / 2) + 1).cast("string"), F.lit("t"), (F.col("turn") % 2 + 1).cast("string"))
+    tasks = turns.select(F.col("conv_id").alias("plan_id"), task.alias("task_id")).distinct()
+    done = tasks.filter(F.ascii(F.substring("task_id", 2, 1)) % 3 == 0)
+    return P.plan_progress(tasks, done.unionByName(done).unionByName(done.withColumn("task_id", F.lit("w99t1"))))
+
+
+@query()
+def rate_limit(spark, sf_dir):
+    calls = table(spark, sf_dir, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).cast("double").alias("at"))
+    return J.rate_limited_batch(calls, "user_id", calls=3, period=86_400_000.0)
