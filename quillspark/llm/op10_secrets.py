@@ -3,9 +3,9 @@
 Every version of a file is addressed by the SHA-256 of its content. The ledger, a Parquet table in a shared
 folder, has a row for each (blob, rule version) that was ever scanned, with its findings. A run
 
-1. hashes the versions (JVM side) and drops those whose blob the ledger has under this rule version,
-2. keeps one text of each remaining blob (a grouping with map-side combine, so a group of copies shrinks before
-   the shuffle), scans it and appends the rows to the ledger,
+1. hashes the versions (JVM side) and keeps one text of each blob (a grouping with map-side combine, so a group of
+   copies shrinks before the shuffle),
+2. drops the blobs that the ledger has under this rule version, scans the rest and appends the rows to the ledger,
 3. joins findings back to all paths of all versions by content address.
 
 A run that dies before the append leaves the ledger as it was; a repeated append is harmless, as rows are read
@@ -76,7 +76,8 @@ def update_ledger(versions: DataFrame, path: str, text_col: str = "text", rule_v
     spark = versions.sparkSession
     known = read_ledger(spark, path).filter(F.col("rule_version") == rule_version).select("blob")
     blobs = versions.select(address(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    unseen = blobs.join(known, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text"))
+    # copies combine before the shuffle, and the ledger meets the blobs on the same partitioning
+    unseen = blobs.groupBy("blob").agg(F.first("text").alias("text")).join(known, "blob", "left_anti")
     scanned = with_text_columns(unseen, "text", [T.StructField("findings", FINDING)], lambda: lambda texts: {"findings": [find(t) for t in texts]})
     scanned.select("blob", F.lit(rule_version).alias("rule_version"), "findings").write.mode("append").parquet(path)
 
