@@ -188,8 +188,8 @@ def since(x: Column) -> Column:
 
 
 def size_bytes(label: Column) -> Column:
-    """'N megabytes' in bytes; null otherwise."""
-    return (F.regexp_extract(F.lower(empty(label)), r"(\d+(?:\.\d+)?)\s*megabytes", 1).try_cast("double") * 1_048_576).cast("long")
+    """'N megabytes', in either language, in bytes; null otherwise."""
+    return (F.regexp_extract(F.lower(empty(label)), r"(\d+(?:\.\d+)?)\s*(?:megabytes|مگابایت)", 1).try_cast("double") * 1_048_576).cast("long")
 
 
 def code3(x: Column) -> Column:

@@ -145,10 +145,11 @@ def section_chain(elements: DataFrame, key: str, order: str = "block_no") -> Dat
 
 def packed(paragraphs: Column, longest: int = PACK_CHARS, hard: int | None = None) -> Column:
     """Array of pages: paragraphs joined by blank lines while a page stays within `longest` characters. A paragraph over
-    twice `hard` is first cut into pieces of `hard` characters."""
+    twice `hard` is first cut into pieces of `hard` characters, the last of them up to twice as long."""
     items = F.filter(F.transform(paragraphs, X.strip), lambda p: p != "")
     if hard:
-        cut = lambda p: F.transform(F.sequence(F.lit(0), ((F.length(p) - 1) / hard).cast("int")), lambda k: F.substring(p, k * hard + 1, F.lit(hard)))
+        cuts = lambda p: F.ceil((F.length(p) - 2 * hard) / hard).cast("int")
+        cut = lambda p: F.transform(F.sequence(F.lit(0), cuts(p)), lambda k: F.substring(p, k * hard + 1, F.when(k < cuts(p), hard).otherwise(2 * hard)))
         items = F.flatten(F.transform(items, lambda p: F.when(F.length(p) > 2 * hard, cut(p)).otherwise(F.array(p))))
     zero = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("buf"), F.lit(0).alias("n"))
 

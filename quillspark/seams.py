@@ -85,3 +85,33 @@ def first_answer(sources: Sequence[tuple[str, Column]]) -> tuple[Column, Column]
         full = c.isNotNull() & (F.length(c.cast("string")) > 0)
         value, by = F.when(full, c).otherwise(value), F.when(full, F.lit(name)).otherwise(by)
     return value, by
+
+
+class Registry:
+    """Named callables: tools that a definition may list, or providers of a service in order of preference."""
+
+    def __init__(self, **known: Callable):
+        self.known = dict(known)
+
+    def add(self, name: str, call: Callable) -> None:
+        self.known[name] = call
+
+    def get(self, name: str) -> Callable:
+        if name not in self.known:
+            raise KeyError(f"unknown name {name!r}; known: {sorted(self.known)}")
+        return self.known[name]
+
+    def allowed(self, names: Sequence[str]) -> dict[str, Callable]:
+        """Those of the listed names that are known, in the list's order."""
+        return {n: self.known[n] for n in dict.fromkeys(names) if n in self.known}
+
+    def first(self, names: Sequence[str], *args) -> tuple[object, str | None]:
+        """(result, served_by) of the first listed provider whose result isn't empty; one that fails is passed over."""
+        for name, call in self.allowed(names).items():
+            try:
+                found = call(*args)
+            except Exception:  # the next provider serves
+                continue
+            if found:
+                return found, name
+        return None, None
