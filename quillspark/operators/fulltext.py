@@ -16,6 +16,7 @@ from . import retrieval as R
 FULLTEXT_CHARS, DOMINANCE, LEAST_CHUNKS, LONG_TOKEN = 12_000, 0.6, 2, 4
 CONTEXT_HITS, THIN, REWRITES, REWRITE_CHARS = 6, 2, 3, 200
 RULES = ("named", "file", "dominant")
+CONTEXT_KINDS = ("G", "W", "X", "S", "M")  # shared and workspace knowledge, sheets, web search, maps
 
 
 def chosen_source(hits: DataFrame, titles: DataFrame, query: str, share: float = DOMINANCE, least: int = LEAST_CHUNKS) -> DataFrame:
@@ -78,6 +79,34 @@ def padded(ranked: DataFrame, hits: DataFrame, top: int | None = None) -> DataFr
 
 
 def locator(page_no: Column, start_ms: Column, end_ms: Column) -> Column:
-    """Where a hit stands: a page, or a span of time, or nothing."""
+    """Where a hit stands: a page, or a span of time, or "?"."""
+    page = F.when(page_no > 0, F.concat(F.lit("p."), page_no.cast("string")))
     span = F.concat(start_ms.cast("string"), F.lit("-"), end_ms.cast("string"), F.lit("ms"))
-    return F.coalesce(F.concat(F.lit("p."), page_no.cast("string")), span, F.lit(""))
+    return F.coalesce(page, span, F.lit("?"))
+
+
+def _listed(lines: DataFrame, *keys: str, name: str) -> DataFrame:
+    """Hits' lines (position, __line) joined by blank lines in order, a row for each value of the keys."""
+    parts = F.array_sort(F.collect_list(F.struct("position", "__line")))
+    return lines.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["__line"]), "\n\n").alias(name))
+
+
+def debug_context(hits: DataFrame) -> DataFrame:
+    """One row: hits (position, filename, page_no, start_ms, end_ms, content) numbered from 1, with the place of each; empty
+    without hits."""
+    place = locator(F.col("page_no"), F.col("start_ms"), F.col("end_ms"))
+    line = F.concat(F.lit("["), (F.col("position") + 1).cast("string"), F.lit("] ("), F.coalesce("filename", F.lit("?")), F.lit(" "), place, F.lit(")\n"), X.empty(F.col("content")))
+    return _listed(hits.select("position", line.alias("__line")), name="context")
+
+
+def context_blocks(hits: DataFrame) -> DataFrame:
+    """(place, kind, block): the numbered text of each kind of hit, in the order of CONTEXT_KINDS: `[W1] (source / title) text`.
+
+    hits: kind, position, source, detail (a document's title or a sheet's name, if any), content; other kinds are left out.
+    """
+    known = hits.withColumn("place", F.array_position(R.strings(CONTEXT_KINDS), F.col("kind")).cast("int")).filter("place > 0")
+    number = F.row_number().over(W.partitionBy("kind").orderBy("position")).cast("string")
+    detail = X.strip(X.empty(F.col("detail")))
+    said = F.when(F.col("kind") == "X", F.concat(F.lit(" / sheet "), detail)).when(detail != "", F.concat(F.lit(" / "), detail)).otherwise("")
+    line = F.concat(F.lit("["), "kind", number, F.lit("] ("), X.empty(F.col("source")), said, F.lit(") "), X.empty(F.col("content")))
+    return _listed(known.select("place", "kind", "position", line.alias("__line")), "place", "kind", name="block")

@@ -83,6 +83,14 @@ def plan_progress(tasks: DataFrame, done: DataFrame) -> DataFrame:
     return tasks.join(marks, ["plan_id", "task_id"], "left").groupBy("plan_id").agg(F.count("__d").alias("done"), F.count("*").alias("total"))
 
 
+def latest_plan(conversations: DataFrame, key: str = "user_id") -> DataFrame:
+    """Each person's newest conversation (conversation_id, created_at, plan array) that holds a plan. An aggregate with
+    map-side combine."""
+    planned = conversations.filter(F.size("plan") > 0)
+    best = planned.groupBy(key).agg(F.max_by(F.struct("conversation_id", "created_at", "plan"), F.struct("created_at", "conversation_id")).alias("x"))
+    return best.select(key, "x.*")
+
+
 def unknown_tasks(tasks: DataFrame, done: DataFrame) -> DataFrame:
     return done.join(tasks.select("plan_id", "task_id"), ["plan_id", "task_id"], "left_anti")
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark import seams
-from quillspark.operators import fulltext, intents, media, places, retrieval, structure
+from quillspark.operators import fulltext, intents, media, people, places, retrieval, structure
 from quillspark.streaming import jobs
 
 SEGMENTS = "source_id string, document_id int, page_no int, start_ms int, text string"
@@ -115,7 +115,27 @@ def test_padding_loses_no_hit(spark):
 
 def test_locator(spark):
     at = lambda v: one(spark, fulltext.locator(F.col("x.p"), F.col("x.s"), F.col("x.e")), v, "struct<p:int,s:int,e:int>")
-    assert [at(v) for v in ((3, None, None), (None, 1, 9), (None, None, None))] == ["p.3", "1-9ms", ""]
+    assert [at(v) for v in ((3, None, None), (0, 1, 9), (None, None, None))] == ["p.3", "1-9ms", "?"]
+
+
+def test_context_blocks(spark):
+    kind = "kind string, position int, source string, detail string, content string"
+    hits = spark.createDataFrame([("W", 3, "b.txt", " ", "two"), ("X", 9, "s.xlsx", "May", "42"), ("W", 1, "a.txt", "Title", "one"), ("G", 5, None, None, None), ("?", 0, "z", "z", "z")], kind)
+    got = [(r["kind"], r["block"]) for r in fulltext.context_blocks(hits).orderBy("place").collect()]
+    assert got == [("G", "[G1] () "), ("W", "[W1] (a.txt / Title) one\n\n[W2] (b.txt) two"), ("X", "[X1] (s.xlsx / sheet May) 42")]
+    assert fulltext.context_blocks(hits.limit(0)).count() == 0
+
+
+def test_debug_context(spark):
+    kind = "position int, filename string, page_no int, start_ms int, end_ms int, content string"
+    hits = spark.createDataFrame([(1, None, None, 5, 8, "two"), (0, "a.txt", 2, None, None, "one")], kind)
+    assert fulltext.debug_context(hits).first()["context"] == "[1] (a.txt p.2)\none\n\n[2] (? 5-8ms)\ntwo"
+    assert fulltext.debug_context(hits.limit(0)).first()["context"] == ""
+
+
+def test_latest_plan(spark):
+    rows = spark.createDataFrame([("u", 1, 5, ["a"]), ("u", 2, 9, []), ("u", 3, 7, ["b"]), ("u", 4, 8, None), ("v", 5, 1, None)], "user_id string, conversation_id int, created_at int, plan array<string>")
+    assert [(r["user_id"], r["conversation_id"], r["plan"]) for r in people.latest_plan(rows).collect()] == [("u", 3, ["b"])]
 
 
 def test_places(spark):
