@@ -34,10 +34,11 @@ def word_windows(text: Column, size: int = WINDOW, overlap: int = OVERLAP) -> Co
 
 def chunk_words(df: DataFrame, text_col: str = "text", size: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
     """A row per window; blank texts give none. Other columns stay."""
-    words = df.withColumn("__w", X.words(F.col(text_col))).drop(text_col)
+    # blank texts go by a test that ends at the first word: a filter on the words themselves would be pushed down and split twice
+    words = df.filter(F.col(text_col).rlike(X.WORD_PATTERN)).withColumn("__w", X.words(F.col(text_col))).drop(text_col)
     step = size - overlap
     last = F.greatest(F.lit(0), F.ceil((F.size("__w") - size) / step)).cast("int")
-    rows = words.filter(F.size("__w") > 0).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
+    rows = words.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
     piece = F.slice("__w", F.col("chunk_no") * step + 1, size)
     rows = rows.withColumn("__p", piece).drop("__w")
     return rows.select(*[c for c in df.columns if c != text_col], "chunk_no", F.array_join("__p", " ").alias("content"), F.size("__p").alias("n_words"), X.token_estimate(F.size("__p")).alias("tokens"))
