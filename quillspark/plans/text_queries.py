@@ -75,9 +75,10 @@ def chapter_asof(spark, sf_dir):
 @query(f"""WITH b AS (SELECT doc_id, {strip("x.b")} AS block, x.i AS i FROM (SELECT doc_id, unnest(list_transform(string_split(coalesce(text, ''), '\n\n'), lambda b, i: {{'b': b, 'i': i}})) AS x FROM documents))
 SELECT doc_id, count(*) AS blocks, max(length(block)) AS longest FROM b WHERE block <> '' AND NOT regexp_matches(split_part(block, '\n', 1), '^#{{1,6}}\\s') GROUP BY doc_id""")
 def text_blocks(spark, sf_dir):
-    """Blocks a document has, apart from Markdown headings."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").filter(~F.coalesce("text", F.lit("")).rlike(r"(?m)^#{1,6}\s"))
-    rows = T.blocks(docs)
+    """Blocks a document has, apart from those that begin with a Markdown heading."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.empty(F.col("text")).alias("text"))
+    plain = F.filter(F.split("text", "\n\n"), lambda b: ~F.substring_index(X.strip(b), "\n", 1).rlike(r"^#{1,6}\s"))
+    rows = T.blocks(docs.withColumn("text", F.array_join(plain, "\n\n")))
     return rows.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.max(F.length("block")).cast("long").alias("longest"))
 
 
