@@ -251,25 +251,40 @@ def connected_components(edges: DataFrame) -> DataFrame:
         e = checkpointed(small.distinct())
 
 
+def components(prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows of `prints`, which has doc_id and a 64-bit `fingerprint`, with the least fingerprint over the edges as `component`."""
+    comps = connected_components(edges)
+    return prints.join(comps.withColumnRenamed("id", "fingerprint"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, max_diff: int = 2, node_limit: int = 20_000) -> DataFrame:
     """One row per input row: id, fingerprint (integer) and component_id, the least id reachable over links."""
     ids = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     prints = checkpointed(with_fingerprints(ids, "text", words, seed).select("doc_id", "fingerprint"))
     classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    comps = connected_components(links(classes, max_diff, node_limit))
-    named = classes.join(comps.withColumnRenamed("id", "fingerprint"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+    named = components(classes, links(classes, max_diff, node_limit))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_print = named.join(least, "component").select("fingerprint", "component_id")
     return prints.join(by_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of df whose id names their component, one of them if that id is repeated; all columns stay.
+def row_key(id_col: str, text_col: str) -> F.Column:
+    """Equal for rows of the same id, null or not, and the same text."""
+    return F.xxhash64(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), F.col(f"`{text_col}`").isNull(), F.col(f"`{text_col}`"))
+
+
+def survivors(df: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of df for each component of `named` (__row, doc_id, component): that of the least id, null ids last; all columns stay."""
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("w")).select(F.col("w.__row").alias("__row"))
+    kept = df.withColumn("__row", row_key(id_col, text_col)).join(first, "__row", "left_semi")
+    return kept.dropDuplicates(["__row"]).drop("__row")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, max_diff: int = 2, node_limit: int = 20_000) -> DataFrame:
+    """One row of df for each component: that of the least id, or of a null id if it has no other; all columns stay.
 
-    Rows with a null id form a group of their own per fingerprint component and one of each stays only if the
-    component has no other row.
+    The survivor is a row and not an id: an id whose texts lie in several components can stay for each of them.
     """
-    found = near_duplicates(df, id_col, text_col, **how)
-    winners = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = df.join(winners.withColumnRenamed("doc_id", "__winner"), F.col(f"`{id_col}`").eqNullSafe(F.col("__winner")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    ids = df.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(id_col, text_col).alias("__row"), F.col(f"`{text_col}`").alias("text"))
+    prints = checkpointed(with_fingerprints(ids, "text", words, seed).select("doc_id", "__row", "fingerprint"))
+    return survivors(df, components(prints, links(prints.select("fingerprint").distinct(), max_diff, node_limit)), id_col, text_col)

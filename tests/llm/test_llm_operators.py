@@ -118,6 +118,13 @@ def test_keep_one_keeps_columns_and_one_of_each(docs):
     assert kept.count() == len({r["component_id"] for r in found})
 
 
+def test_keep_one_keeps_a_row_of_every_component(spark):
+    near, far, other = "one two three four five six seven", "alpha beta gamma delta", "red green blue black white"
+    rows = [(None, near), (None, far), (None, other), (None, other), (3, far), (5, "a b c d"), (5, "p q r s"), (5, "p q r s"), (7, "A b c d"), (None, None), (None, "")]
+    kept = op5_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, ""), (0, near), (0, other), (3, far), (5, "a b c d"), (5, "p q r s")]
+
+
 # --- 7
 
 
