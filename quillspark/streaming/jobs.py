@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
@@ -48,16 +49,24 @@ def rate_limited(events: DataFrame, key: str, at: str = "at", calls: int = 3, pe
 
 
 def rate_limited_batch(events: DataFrame, key: str, at: str = "at", calls: int = 3, period: float = 60.0) -> DataFrame:
-    """The same over a table, as a fold over each key's ordered times that keeps the admitted ones of the window."""
-    rows = events.groupBy(key).agg(F.array_sort(F.collect_list(F.col(at).cast("double"))).alias("t"))
-    zero = F.struct(F.array().cast("array<double>").alias("held"), F.array().cast(f"array<struct<{at}:double,allowed:boolean>>").alias("out"))
-
-    def step(acc, t):
-        held = F.filter(acc["held"], lambda h: h >= t - period)
-        ok = F.size(held) < calls
-        return F.struct(F.when(ok, F.array_append(held, t)).otherwise(held).alias("held"), F.array_append(acc["out"], F.struct(t.alias(at), ok.alias("allowed"))).alias("out"))
+    """The same over a table: each task streams its keys' ordered times and holds at most `calls` times of the key at hand.
+    Rows without a time are left out; a null key is a key."""
+    rows = events.select(key, F.col(at).cast("double").alias(at)).filter(F.col(at).isNotNull())
+    placed = rows.repartition(key).sortWithinPartitions(key, at)
+    kind = dict(events.dtypes)[key]
 
-    return rows.select(key, F.explode(F.aggregate("t", zero, step, lambda acc: acc["out"])).alias("x")).select(key, "x.*")
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = object(), []
+        for frame in frames:
+            allowed = []
+            for k, t in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), strict=True):
+                if k != current:
+                    current, held = k, []
+                one, held = admit([t], held, calls, period)
+                allowed += one
+            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(allowed, pa.bool_())], names=[key, at, "allowed"])
+
+    return placed.mapInArrow(run, f"`{key}` {kind}, `{at}` double, allowed boolean")
 
 
 def ingest_queue(arrivals: DataFrame, ingest: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "source_id", late: str = "1 hour"):

@@ -207,6 +207,17 @@ def test_rate_limit(spark):
     assert [r["allowed"] for r in jobs.rate_limited_batch(rows, "user").orderBy("at").collect()] == allowed
 
 
+def test_rate_limit_of_one_large_key(spark):
+    rows = spark.range(40_000).select(F.when(F.col("id") % 4 > 0, "hot").when(F.col("id") % 8 > 0, F.concat(F.lit("u"), F.col("id") % 100)).alias("user"), (F.col("id") * 7919 % 40_009).cast("double").alias("at"))
+    found = jobs.rate_limited_batch(rows.unionByName(rows.limit(1).withColumn("at", F.lit(None).cast("double"))), "user")
+    assert "collect_list" not in found._jdf.queryExecution().toString()  # no key's rows in one array
+    want = {}
+    for r in rows.collect():
+        want.setdefault(r["user"], []).append(r["at"])
+    want = sorted((str(k), t, ok) for k, v in want.items() for t, ok in zip(sorted(v), jobs.admit(sorted(v), [], 3, 60.0)[0], strict=True))
+    assert sorted((str(r["user"]), r["at"], r["allowed"]) for r in found.collect()) == want
+
+
 def test_rate_limit_stream(spark, tmp_path):
     spark.createDataFrame([("u", float(t)) for t in range(5)], "user string, at double").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("user string, at double").parquet(str(tmp_path / "in"))
