@@ -5,8 +5,9 @@ masked bit pattern that all fingerprints below it share:
 
 * The upper nodes live in Spark. Free bits are cut into max_diff + 1 blocks; two linked fingerprints agree on at
   least one block, so a child node per block (mask grown by that block, pattern = fingerprint & mask) loses no
-  link. A node with more fingerprints than `node_limit` is factored again over its remaining free bits, so a hot
-  pattern splits until it is small; with k free bits left a node has 2**k different fingerprints at most.
+  link. A node with more different fingerprints than `node_limit` is factored again over its remaining free bits, so
+  a hot pattern splits until it is small; with k free bits left a node has 2**k fingerprints at most, and one
+  with fewer free bits than blocks is final.
 * Below, a task holds one upper node's fingerprints in Gray order (neighbours differ in few bits), groups runs of
   eight under a shared pattern, runs of those again, and compares groups from the top: differences accumulate
   over the bits that a level adds, and a pair of groups beyond max_diff is dropped whole.
@@ -32,6 +33,7 @@ from pyspark.sql import types as T
 
 from .common import checkpointed, with_text_columns
 
+FULL = (1 << 64) - 1
 FANOUT = 8
 PAIRS_AT_ONCE = 1 << 18
 #: byte -> its eight bits, each in a byte lane of a 64-bit word, lowest bit in the lowest lane
@@ -115,7 +117,7 @@ class GrayTree:
 
     def __init__(self, fps: np.ndarray, node_sizes: np.ndarray):
         self.n = len(fps)
-        full = np.full(self.n, np.uint64(0xFFFFFFFFFFFFFFFF))
+        full = np.full(self.n, np.uint64(FULL))
         self.levels = [(full, fps, np.arange(self.n), np.ones(self.n, np.int64))]  # mask, pattern, first child, children
         sizes = node_sizes
         while (sizes > 1).any():
@@ -181,31 +183,48 @@ def node_forest(fps: np.ndarray, node_sizes: np.ndarray, max_diff: int) -> tuple
     return fps[linked], fps[root[linked]]
 
 
-def links(fingerprints: DataFrame, max_diff: int = 2, node_limit: int = 20_000) -> DataFrame:
-    """Edges (a, b) whose components are those of all links between the different values of `fingerprint`."""
+def grown_masks(masks: DataFrame, max_diff: int, node_limit: int) -> DataFrame:
+    """(mask, child) for each mask that can be factored further: its node may hold more than node_limit fingerprints, and it
+    has a free bit at least for each block, so every child is greater than its parent and the tree ends."""
     blocks = max_diff + 1
-    masks = {0: child_masks(0, blocks)}
-    nodes = fingerprints.select("fingerprint", F.explode(F.array(*[F.lit(m).cast("long") for m in masks[0]])).alias("mask"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            open_ = [m for m in batch.column(0).to_pylist() if (free := 64 - (m & FULL).bit_count()) >= blocks and 1 << free > node_limit]
+            grown = [(m, child) for m in open_ for child in child_masks(m & FULL, blocks)]
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in grown], pa.int64()) for i in (0, 1)], names=["mask", "child"])
+
+    return masks.mapInArrow(run, "mask long, child long")
+
+
+def upper_nodes(fingerprints: DataFrame, max_diff: int, node_limit: int) -> DataFrame:
+    """Different (fingerprint, mask): the nodes, each of a mask and a pattern, in which a fingerprint is compared.
+
+    A node of more than node_limit fingerprints gives way to its children, a level at a time; its own rows are dropped.
+    """
     pattern = F.col("fingerprint").bitwiseAND(F.col("mask"))
+    roots = F.array(*[F.lit(m).cast("long") for m in child_masks(0, max_diff + 1)])
+    nodes = fingerprints.select("fingerprint").distinct().select("fingerprint", F.explode(roots).alias("mask"))
     ready: list[DataFrame] = []
-    current = masks[0]
     while True:
-        hot = nodes.groupBy("mask", pattern.alias("pattern")).count().filter(F.col("count") > node_limit).select("mask", "pattern")
-        hot_masks = [r["mask"] for r in hot.select("mask").distinct().collect()]  # 3**depth values at most
-        if not hot_masks or all(m & (1 << 64) - 1 == (1 << 64) - 1 for m in current):
-            ready.append(nodes)
+        hot = checkpointed(nodes.groupBy("mask", pattern.alias("pattern")).count().filter(F.col("count") > node_limit).select("mask", "pattern"))
+        steps = checkpointed(grown_masks(hot.select("mask").distinct(), max_diff, node_limit))
+        if steps.isEmpty():
             break
-        hot = checkpointed(hot)
+        hot = hot.join(steps.select("mask").distinct(), "mask")
         keyed = nodes.withColumn("pattern", pattern)
         ready.append(keyed.join(hot, ["mask", "pattern"], "left_anti").select("fingerprint", "mask"))
-        grown = [(m, g) for m in hot_masks for g in child_masks(m & (1 << 64) - 1, blocks)]
-        current = [g for _, g in grown]
-        step = fingerprints.sparkSession.createDataFrame(grown, "mask long, child long")  # a row for each child of a mask
-        nodes = keyed.join(hot, ["mask", "pattern"], "left_semi").join(F.broadcast(step), "mask").select("fingerprint", F.col("child").alias("mask"))
-    placed = ready[0]
-    for more in ready[1:]:
-        placed = placed.unionByName(more)
-    placed = placed.withColumn("pattern", pattern).repartition("mask", "pattern").sortWithinPartitions("mask", "pattern", gray_rank(F.col("fingerprint")))
+        split = keyed.join(hot, ["mask", "pattern"], "left_semi").join(steps, "mask")
+        nodes = checkpointed(split.select("fingerprint", F.col("child").alias("mask")).distinct())  # one node can be reached by two ways
+    for more in ready:
+        nodes = nodes.unionByName(more)
+    return nodes.withColumn("pattern", pattern)
+
+
+def links(fingerprints: DataFrame, max_diff: int = 2, node_limit: int = 20_000) -> DataFrame:
+    """Edges (a, b) whose components are those of all links between the different values of `fingerprint`."""
+    nodes = upper_nodes(fingerprints, max_diff, node_limit)
+    placed = nodes.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern", gray_rank(F.col("fingerprint")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64)] * 3

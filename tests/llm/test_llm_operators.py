@@ -111,6 +111,23 @@ def test_simhash_links_lose_nothing_in_hot_nodes(spark, node_limit):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_simhash_links_end_on_a_dense_ball(spark):
+    """100,000 fingerprints within four bits of one: all linked through those within two, and no node holds repeats."""
+    import random
+    from itertools import combinations
+
+    rng, center = random.Random(11), 0x1234567890ABCDEF
+    values = {center ^ sum(1 << b for b in bits) for n in range(3) for bits in combinations(range(64), n)}
+    while len(values) < 100_000:
+        values.add(center ^ sum(1 << b for b in rng.sample(range(64), rng.choice([3, 4]))))
+    df = spark.createDataFrame([(v - (v >> 63 << 64),) for v in sorted(values)], "fingerprint long")
+    nodes = op5_simhash.upper_nodes(df, 2, 20_000)
+    assert nodes.count() == nodes.distinct().count()
+    assert nodes.groupBy("mask", "pattern").count().agg(F.max("count")).first()[0] <= 20_000
+    found = op5_simhash.connected_components(op5_simhash.links(df, 2, 20_000)).groupBy("component").count().collect()
+    assert [r["count"] for r in found] == [len(values)]
+
+
 def test_keep_one_keeps_columns_and_one_of_each(docs):
     kept = op5_simhash.keep_one(docs)
     assert kept.columns == docs.columns
