@@ -22,62 +22,22 @@ a null doc_id stays in its row, and a component of null ids only has component_i
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import similar
 from .common import checkpointed, with_text_columns
+from .graph import components, connected_components, row_key, survivors
+from .shingles import majority, shingle_hashes
 
 FULL = (1 << 64) - 1
 FANOUT = 8
 PAIRS_AT_ONCE = 1 << 18
-#: byte -> its eight bits, each in a byte lane of a 64-bit word, lowest bit in the lowest lane
-LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
-
-
-def shingle_hashes(text: str | None, words: int, seed: int) -> list[int]:
-    """XXH64 of every word shingle, repeats included; A-Z is lower-cased and words end at ASCII white space."""
-    parts = text.encode().lower().split() if text else []
-    if not parts:
-        return []
-    line = b" ".join(parts)
-    if len(parts) <= words:
-        return [xxhash.xxh64_intdigest(line, seed)]
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    digest = xxhash.xxh64_intdigest
-    return [digest(line[a:b], seed) for a, b in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
-
-
-def majority(hashes: Sequence[Sequence[int]]) -> np.ndarray:
-    """For each row the 64 bits that over half of its hashes set, as int64; 0 for a row without hashes."""
-    counts = np.array([len(h) for h in hashes], dtype=np.int64)
-    out = np.zeros(len(counts), dtype=np.uint64)
-    filled = np.flatnonzero(counts)
-    if not len(filled):
-        return out.view(np.int64)
-    flat = np.array([x for h in hashes for x in h], dtype=np.uint64)
-    n = counts[filled]
-    first = np.concatenate([[0], np.cumsum(n)[:-1]])
-    blocks = -(-n // 255)  # a byte lane holds counts up to 255
-    row = np.repeat(np.arange(len(n)), blocks)
-    block_first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
-    starts = first[row] + 255 * (np.arange(len(row)) - block_first[row])
-    set_bits = np.empty((len(n), 64), dtype=np.int64)
-    octets = flat.view(np.uint8).reshape(-1, 8)
-    for k in range(8):
-        sums = np.add.reduceat(LANES[octets[:, k]], starts)
-        set_bits[:, 8 * k : 8 * k + 8] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8), block_first, axis=0, dtype=np.int64)
-    bits = (2 * set_bits > n[:, None]).astype(np.uint8)
-    out[filled] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
-    return out.view(np.int64)
-
-
 def with_fingerprints(df: DataFrame, text_col: str = "text", words: int = 3, seed: int = 42, out_col: str = "fingerprint") -> DataFrame:
     """Adds the SimHash of each whole text as a 64-bit integer."""
 
@@ -249,33 +209,6 @@ def links(fingerprints: DataFrame, max_diff: int = 2, node_limit: int = 20_000)
     return placed.select("fingerprint", "mask", "pattern").mapInArrow(run, "a long, b long")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(id, component) for every id on an edge (a, b): component is the least id reachable.
-
-    Alternating star steps: a large star ties an id's greater neighbours to its least one, a small star its
-    smaller ones; a forest of stars is the fixed point, after a number of rounds about the log of the diameter.
-    """
-    e = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
-    while True:
-        check = e.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        if (check["n"], check["h"]) == seen or check["n"] == 0:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-        seen = (check["n"], check["h"])
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
-        e = checkpointed(small.distinct())
-
-
-def components(prints: DataFrame, edges: DataFrame) -> DataFrame:
-    """The rows of `prints`, which has doc_id and a 64-bit `fingerprint`, with the least fingerprint over the edges as `component`."""
-    comps = connected_components(edges)
-    return prints.join(comps.withColumnRenamed("id", "fingerprint"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
-
-
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, max_diff: int = 2, node_limit: int = 20_000) -> DataFrame:
     """One row per input row: id, fingerprint (integer) and component_id, the least id reachable over links."""
     ids = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -287,23 +220,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(by_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def row_key(id_col: str, text_col: str) -> F.Column:
-    """Equal for rows of the same id, null or not, and the same text."""
-    return F.xxhash64(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), F.col(f"`{text_col}`").isNull(), F.col(f"`{text_col}`"))
-
-
-def survivors(df: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row of df for each component of `named` (__row, doc_id, component): that of the least id, null ids last; all columns stay."""
-    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("w")).select(F.col("w.__row").alias("__row"))
-    kept = df.withColumn("__row", row_key(id_col, text_col)).join(first, "__row", "left_semi")
-    return kept.dropDuplicates(["__row"]).drop("__row")
-
-
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, max_diff: int = 2, node_limit: int = 20_000) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, max_diff: int = 2, node_limit: int = 20_000, least: float | None = None) -> DataFrame:
     """One row of df for each component: that of the least id, or of a null id if it has no other; all columns stay.
 
-    The survivor is a row and not an id: an id whose texts lie in several components can stay for each of them.
+    Texts link at max_diff differing fingerprint bits or fewer; with `least`, at an exact Jaccard similarity of their shingle
+    sets of `least` or more, which similar.py finds. The survivor is a row and not an id: an id whose texts lie in several
+    components can stay for each of them.
     """
     ids = df.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(id_col, text_col).alias("__row"), F.col(f"`{text_col}`").alias("text"))
-    prints = checkpointed(with_fingerprints(ids, "text", words, seed).select("doc_id", "__row", "fingerprint"))
-    return survivors(df, components(prints, links(prints.select("fingerprint").distinct(), max_diff, node_limit)), id_col, text_col)
+    if least is not None:
+        prints = checkpointed(similar.with_bands(ids, words, seed).drop("text"))
+        named = components(prints.select("doc_id", "__row", "fingerprint"), similar.links(ids, prints, words, least, seed, node_limit))
+    else:
+        prints = checkpointed(with_fingerprints(ids, "text", words, seed).select("doc_id", "__row", "fingerprint"))
+        named = components(prints, links(prints.select("fingerprint").distinct(), max_diff, node_limit))
+    return survivors(df, named, id_col, text_col)
+
+
+__all__ = ["connected_components", "keep_one", "links", "near_duplicates", "upper_nodes", "with_fingerprints"]

@@ -2,7 +2,9 @@
 
 import corpus_pipeline as p
 from pyspark.sql import functions as F
-from quillspark.llm import op5_simhash, op6_toxicity, op7_decontaminate, op9_pii
+from quillspark.llm import op6_toxicity, op7_decontaminate, op9_pii
+
+from test_similar import brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,8 +20,7 @@ def test_stages_keep_columns_and_rows(spark):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in scores.filter("predicted = 0").collect()}
 
     one = near(spark, kept, SF)
-    found = op5_simhash.near_duplicates(kept).collect()
-    assert one.columns == docs.columns and sorted(r["doc_id"] for r in one.collect()) == sorted({r["component_id"] for r in found})
+    assert one.columns == docs.columns and sorted(r["doc_id"] for r in one.collect()) == brute([(r["doc_id"], r["text"]) for r in kept.collect()])
 
     rest = clean(spark, one, SF)
     marked = op7_decontaminate.decontaminate(one, spark.read.parquet(f"{SF}/benchmark.parquet"))

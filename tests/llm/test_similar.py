@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline as p
-from quillspark.llm import similar
+import numpy as np
+from quillspark.llm import op5_simhash, similar
 
 
 def shingles(text, words=5):
@@ -56,9 +57,25 @@ def test_stage_keeps_what_brute_force_keeps(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == brute(rows)
 
 
-def test_pairs_the_least_class_does_not_link(spark, monkeypatch):
-    """All classes in one bucket: its least class links few, the rest must still be compared."""
+def test_pairs_the_leader_does_not_link(spark, monkeypatch):
+    """All classes in one bucket: its leader links few, the rest must still be compared."""
     monkeypatch.setattr(similar, "with_bands", lambda df, *how, f=similar.with_bands: f(df, *how).withColumn("bands", similar.F.expr("if(size > 0, array(1L), null)")))
     rows = texts()[:120]
-    kept = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = op5_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), words=5, least=0.8)
     assert sorted(r["doc_id"] for r in kept.collect()) == brute(rows)
+
+
+def test_nodes_beyond_the_limit(spark):
+    rows = texts()
+    kept = op5_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), words=5, least=0.8, node_limit=4)
+    assert sorted(r["doc_id"] for r in kept.collect()) == brute(rows)
+
+
+def test_overlaps_in_pieces(monkeypatch):
+    rng = random.Random(2)
+    sets = [np.array(rng.sample(range(60), rng.randrange(1, 30))) for _ in range(50)]
+    want = {(i, j, len(set(a.tolist()) & set(b.tolist()))) for i, a in enumerate(sets) for j, b in enumerate(sets[:i])}
+    for at_once in (1, 500, 1 << 22):
+        monkeypatch.setattr(similar, "AT_ONCE", at_once)
+        got = {t for piece in similar.overlaps(sets) for t in zip(*(x.tolist() for x in piece), strict=True)}
+        assert got == {t for t in want if t[2]}
