@@ -1,25 +1,27 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text, one on what sets toxic text apart (the runs of
-letter 5-grams that toxic documents use at least `CONTRAST` times as often). A text is cut into windows of one
-word each, between fixed paddings that both dictionaries hold; a window's distance is its compressed length with
+Two zstandard dictionaries are trained, whatever the size of the sample: one on ordinary text, one on what sets toxic text
+apart (the runs of letter 5-grams that toxic documents use at least `CONTRAST` times as often; most of a toxic document
+is ordinary). A text is cut into windows of one word each, which found more toxic documents than windows of two or
+three words (README), between fixed paddings that both dictionaries hold; a window's distance is its compressed length with
 the ordinary dictionary less that with the toxic one. Thresholds on the distance are calibrated by the window's
 length: a (distance, length) cell that toxic documents show clearly more often counts with the log of how much
 more. The document's score is a logistic function, fitted on the training rows, of the cells' sum over the root of the window count.
 
 Training rows are a bounded sample of the labelled rows outside the held-out fold: the MAX_TOXIC and MAX_ORDINARY
-first by a hash of the id, at most SAMPLE_CHARS characters a class (a text that would exceed it is left out).
-Scores use the text alone; whole texts are scored, without a shuffle.
+first by a hash of the id, at most max_chars characters a class. Scores use the text alone; whole texts are scored,
+without a shuffle. Columns called score or predicted are replaced.
 
 Defined cases: null, empty and wordless texts have a sum of 0 and the score that follows; without training rows
-of both classes every score is 0; repeated rows each get a row; null labels aren't learned from.
+of both classes every score is 0; rows are scored each for itself, so repeated rows and ids with several texts get a row
+each; null labels aren't learned from.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,12 +32,12 @@ from pyspark.sql import types as T
 
 from .common import filter_by_text, held_out, with_text_columns
 
-MAX_TOXIC, MAX_ORDINARY, SAMPLE_CHARS = 1500, 3000, 24_000_000
+MAX_TOXIC, MAX_ORDINARY, MAX_CHARS, MAX_PIECES = 1500, 3000, 24_000_000, 20_000
 CONTRAST = 25
 CELL_THRESHOLD = 1.5  # a cell counts if toxic documents show it e**1.5 times as often
 GRAM = 5
 DICT_BYTES = 8192
-TRAINABLE_BYTES = 8 * DICT_BYTES
+SAMPLE_BYTES = 16
 THRESHOLD = 0.7
 CACHED_WORDS = 200_000
 HEAD, TAIL = b"~|window of words|~ ", b"0123456789"
@@ -106,13 +108,24 @@ def runs_of(word: str, chosen: set[str]) -> list[str]:
     return [padded[a:b] for a, b in out]
 
 
+def samples_of(parts: Iterable[bytes]) -> list[bytes]:
+    """Successive parts joined to samples of SAMPLE_BYTES at least, as the trainer passes over shorter ones."""
+    out, held = [], b""
+    for part in parts:
+        held += (b"|" if held else b"") + part
+        if len(held) >= SAMPLE_BYTES:
+            out.append(held)
+            held = b""
+    return [*out, held] if held else out
+
+
 def dictionary(samples: list[bytes], k: int) -> bytes:
-    """The content of a trained dictionary; where there is too little to train on, the samples' parts themselves, the
-    most frequent last (nearest to the windows)."""
-    if sum(map(len, samples)) >= TRAINABLE_BYTES:
-        return zstandard.train_dictionary(DICT_BYTES, samples, k=k, d=6).as_bytes()[-DICT_BYTES + 512 :]
-    parts = Counter(p for s in samples for p in s.split(b"|"))
-    return b"|".join(sorted(parts, key=lambda p: (parts[p], p)))[-DICT_BYTES:]
+    """A trained dictionary of DICT_BYTES, or of a quarter of the samples where they are fewer. The trainer refuses less than
+    about eight samples; those are the dictionary themselves."""
+    try:
+        return zstandard.train_dictionary(min(DICT_BYTES, max(512, sum(map(len, samples)) // 4)), samples, k=k, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b"|".join(samples)[-DICT_BYTES:]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -131,8 +144,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0] / scale), float(beta[1])
 
 
-def train_on(toxic: Sequence[str], ordinary: Sequence[str]) -> Model | None:
-    """The model of these texts."""
+def train_on(toxic: Sequence[str], ordinary: Sequence[str], max_pieces: int = MAX_PIECES) -> Model | None:
+    """The model of these texts. The ordinary dictionary is trained on max_pieces pieces of 256 bytes, evenly spaced."""
     toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary))
     if not toxic or not ordinary:
         return None
@@ -146,8 +159,8 @@ def train_on(toxic: Sequence[str], ordinary: Sequence[str]) -> Model | None:
     chosen = {g for g, n in seen[0].items() if n >= least and n / len(toxic) >= CONTRAST * (seen[1][g] + 1) / max(len(ordinary), 100)}
     apart = ["|".join(r for w in words_of(t) for r in runs_of(w, chosen)).encode() for t in toxic]
     plain = [piece for t in ordinary for line in [" ".join(words_of(t)).encode()] for piece in (line[i : i + 256] for i in range(0, len(line), 256)) if len(piece) > 12]
-    stride = max(1, len(plain) // 20_000)
-    model = Model(dictionary(plain[::stride], 64), dictionary([a for a in apart if len(a) > 12], 32), np.zeros(DISTANCES * LENGTHS), 0.0, 0.0)
+    stride = max(1, len(plain) // max_pieces)
+    model = Model(dictionary(plain[::stride], 64), dictionary(samples_of(a for a in apart if a), 32), np.zeros(DISTANCES * LENGTHS), 0.0, 0.0)
     windows = Windows(model.ordinary, model.toxic)
     counts = [sum((np.bincount(windows.cells(t), minlength=DISTANCES * LENGTHS) for t in texts), np.zeros(DISTANCES * LENGTHS)) for texts in (toxic, ordinary)]
     totals = [max(c.sum(), 1) for c in counts]
@@ -159,9 +172,10 @@ def train_on(toxic: Sequence[str], ordinary: Sequence[str]) -> Model | None:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> Model | None:
-    """A model from labels (doc_id, toxic) outside the held-out fold. The sample's ids come from the labels alone; at most
-    max_toxic + max_ordinary ids are broadcast to find their texts."""
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY, max_chars: int = MAX_CHARS) -> Model | None:
+    """A model from labels (doc_id, toxic) outside the held-out fold. The sample's ids come from the labels alone: at most
+    max_toxic + max_ordinary, which are broadcast to find their texts. A class whose texts exceed max_chars goes on with
+    those that still fit. An id with labels of both kinds counts as toxic; an id with several texts learns from each."""
     known = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = None
     for kind, most in ((1, max_toxic), (0, max_ordinary)):
@@ -169,8 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_or
         sample = part if sample is None else sample.unionByName(part)
     texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
     held: dict[int, list[str]] = {0: [], 1: []}
-    room = {0: SAMPLE_CHARS, 1: SAMPLE_CHARS}
-    for row in texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator():
+    room = {0: max_chars, 1: max_chars}
+    for row in texts.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).toLocalIterator():  # keys without texts: Spark samples them to the driver
         if len(row["text"]) <= room[row["toxic"]]:
             room[row["toxic"]] -= len(row["text"])
             held[row["toxic"]].append(row["text"])
