@@ -7,11 +7,12 @@ masks' bit slice), takes off what false positives add (the filter's own rate), a
 own training texts reach; the largest share decides, ties by name.
 
 A language holds an n-gram if at least MIN_TEXTS of its training texts have it, at half or more of the rate of the
-language that uses it most. Training texts are a bounded sample: the PER_LANGUAGE first of each language by a hash
-of the id, outside the held-out fold, at most SAMPLE_CHARS characters a language.
+language that uses it most. Training texts are a bounded sample: about per_language of each language by a hash of the
+id, outside the held-out fold, at most max_chars characters a language. Columns called lang_pred or score are replaced.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; without training texts all are `und`;
-letters of no known n-gram get the first language by name with score 0; repeated rows each get a row.
+letters of no known n-gram get the first language by name with score 0; rows are judged each for itself, so repeated
+rows and ids with several texts get a row each.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .common import held_out, with_text_columns
 N = 4
 K = 3
 CELL_BITS = 20
-PER_LANGUAGE, SAMPLE_CHARS = 1500, 6_000_000
+PER_LANGUAGE, MAX_CHARS = 1500, 6_000_000
 MIN_TEXTS = 3
 SHARE_OF_BEST = 0.5
 LETTER = re.compile(r"[^\W\d_]")
@@ -129,21 +130,20 @@ def train_on(texts: dict[str, Sequence[str]]) -> Model | None:
     return model
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """A model from (doc_id, text, lang) outside the held-out fold. Ids are chosen without reading texts; at most
-    per_language ids for each language are broadcast to find them."""
-    known = docs.filter("lang is not null and doc_id is not null").filter(~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    names = [r["lang"] for r in known.select("lang").distinct().orderBy("lang").collect()]
-    if not names:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: int = MAX_CHARS) -> Model | None:
+    """A model from (doc_id, text, lang) outside the held-out fold. A language's sample is the ids whose hash lies under a
+    threshold that about per_language of its ids do: a filter of the scan, after a count by language. A language whose
+    texts exceed max_chars goes on with those that still fit."""
+    known = docs.filter("lang is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy("lang").collect()}  # a row a language
+    if not counts:
         return None
-    ids = None
-    for name in names:
-        part = known.filter(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
-        ids = part if ids is None else ids.unionByName(part)
-    texts = docs.select("doc_id", "lang", "text").filter("text is not null").join(F.broadcast(ids.distinct()), ["doc_id", "lang"])
-    sample: dict[str, list[str]] = {n: [] for n in names}
-    room = dict.fromkeys(names, SAMPLE_CHARS)
-    for row in texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator():
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") * F.lit(2.0**-53)
+    under = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, per_language / n)])
+    texts = known.filter(place < under[F.col("lang")]).filter("text is not null").select("doc_id", "lang", "text")
+    sample: dict[str, list[str]] = {n: [] for n in counts}
+    room = dict.fromkeys(counts, max_chars)
+    for row in texts.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).toLocalIterator():  # keys without texts: Spark samples them to the driver
         if len(row["text"]) <= room[row["lang"]] and LETTER.search(row["text"]):
             room[row["lang"]] -= len(row["text"])
             sample[row["lang"]].append(row["text"])
