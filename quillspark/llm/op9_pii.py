@@ -24,6 +24,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,8 @@ KINDS = (*BASE_KINDS, "contact", "number", "ssn", "iban")
 STRICT = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    # of the runs of digits only those of 13 and more: a shorter one can't be a card, and most numbers in a text are such
+    "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
@@ -57,7 +59,7 @@ FORMS = {
 # Gazetteers and cue words.
 LISTED = {
     "email": r"\.(?:com|org|net|edu|gov|io|info|de|fr|es|it|uk|eu|us)$",
-    "ip": r"^(?:10|127|172\.(?:1[6-9]|2[0-9]|3[01])|192\.168|169\.254)\.|^(?:[1-9]|[1-9][0-9]|1[0-9]{2}|2[0-2][0-9])\.",
+    "ip": r"^(?:10|127|172\.(?:1[6-9]|2[0-9]|3[01])|192\.168|169\.254|100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7]))\.",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|62)",
     "phone": r"^\+(?:1|7|2[07]|3[0-469]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
     "contact": r"(?:com|org|net|edu|gov|io|info|de|fr|es|it|uk|eu|us)$",
@@ -76,29 +78,48 @@ CUES = {
     "iban": "iban|account|konto|cuenta|compte",
 }
 VOTES = ("regex", "gazetteer", "context", "bounds")
+SIZES = 5  # length classes
 ACCEPT = 0.9
 ROUNDS = 30
+CHUNK = 256
+FAR = 1 << 34
+#: characters of a piece from which mask() takes what stands between spans
+PIECE = 20_000
 
 
-def matches(text: Column, pattern: str, need: str | None) -> Column:
-    """Array of (start, end, match) of the leftmost non-overlapping matches, from the matches and what splits them."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    if need:
-        found = F.when(F.contains(text, F.lit(need)), found).otherwise(F.array().cast("array<string>"))
+PLACE = "array<struct<start:bigint,end:bigint,match:string,before:string,after:string>>"
+
 
-    def places(m: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,match:string>>").alias("out"))
+def running(values: str, zero: str, op: str) -> str:
+    """SQL for what op, of {u} and {w}, makes of zero and all values before each value of a non-empty array. op is associative;
+    values are folded in chunks, as appending copies what a fold holds: linear for any text that a row can hold."""
 
-        def step(acc: Column, x: Column) -> Column:
-            a = acc["at"] + F.length(x["gap"])
-            b = a + F.length(x["m"])
-            return F.struct(b.alias("at"), F.array_append(acc["out"], F.struct(a.alias("start"), b.alias("end"), x["m"].alias("match"))).alias("out"))
+    def before(x: str, start: str) -> str:
+        step = op.format(u="acc.at", w="v")
+        return f"aggregate({x}, named_struct('at', {start}, 'out', cast(array() as array<bigint>)), (acc, v) -> named_struct('at', {step}, 'out', array_append(acc.out, acc.at)), acc -> acc.out)"
 
-        pairs = F.zip_with(F.slice(gaps, 1, F.size(m)), m, lambda g, x: F.struct(g.alias("gap"), x.alias("m")))
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    chunks = f"transform(sequence(0, cast(floor((size(x) - 1) / {CHUNK}) as int)), k -> slice(x, k * {CHUNK} + 1, {CHUNK}))"
+    totals = f"transform(t, y -> aggregate(y, {zero}, (u, w) -> {op.format(u="u", w="w")}))"
+    folded = f"flatten(zip_with(t, {before(totals, zero)}, (c, z) -> {before('c', 'z')}))"
+    return f"transform(array({values}), x -> transform(array({chunks}), t -> {folded})[0])[0]"
 
-    return F.transform(F.array(found), lambda m: F.when(F.size(m) > 0, places(m)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,match:string>>")))[0]
+
+def matches(text: str, pattern: str, need: str | None) -> Column:
+    """Array of (start, end, match, 40 characters before, character after) of the leftmost non-overlapping matches in the column
+    `text`, from the matches and what splits them. What stands before reaches back to the last match but one."""
+    found = f"regexp_extract_all({text}, r'{pattern}', 0)"
+    if need:
+        found = f"if(contains({text}, '{need}'), {found}, cast(array() as array<string>))"
+    starts = running("zip_with(slice(b.gaps, 1, size(b.ms)), b.ms, (g, m) -> cast(length(g) + length(m) as bigint))", "0L", "{u} + {w}")
+    place = """named_struct(
+        'start', get(s.starts, i) + length(get(s.gaps, i)),
+        'end', get(s.starts, i) + length(get(s.gaps, i)) + length(m),
+        'match', m,
+        'before', right(concat(coalesce(get(s.gaps, i - 1), ''), coalesce(get(s.ms, i - 1), ''), get(s.gaps, i)), 40),
+        'after', left(concat(get(s.gaps, i + 1), coalesce(get(s.ms, i + 1), '')), 1))"""
+    placed = f"""transform(transform(array(named_struct('gaps', split({text}, r'{pattern}', -1), 'ms', f)),
+        b -> named_struct('gaps', b.gaps, 'ms', b.ms, 'starts', {starts})), s -> transform(s.ms, (m, i) -> {place}))[0]"""
+    return F.expr(f"transform(array({found}), f -> if(size(f) > 0, {placed}, cast(array() as {PLACE})))[0]")
 
 
 def digits(x: Column) -> Column:
@@ -126,15 +147,12 @@ def form_holds(kind: str, match: Column) -> Column:
 
 def with_candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds `candidates`: array of (kind, start, end, base, votes as four 0/1, length class), by kind as listed, then start."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     kinds = {**STRICT, **LOOSE}
-    found = df.withColumns({f"__{k}": matches(text, p, NEEDS.get(k)) for k, p in kinds.items()})
+    found = df.withColumn("__text", F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).withColumns({f"__{k}": matches("__text", p, NEEDS.get(k)) for k, p in kinds.items()})
 
     def judged(kind: str) -> Column:
         def one(x: Column) -> Column:
-            before = F.lower(F.substring(text, F.greatest(x["start"] - 39, F.lit(1)).cast("int"), F.least(x["start"], F.lit(40)).cast("int")))
-            last = F.when(x["start"] > 0, F.substring(text, x["start"].cast("int"), F.lit(1))).otherwise(F.lit(" "))
-            after = F.substring(text, (x["end"] + 1).cast("int"), F.lit(1))
+            before, last, after = F.lower(x["before"]), F.right(x["before"], F.lit(1)), x["after"]
             holds = form_holds(kind, x["match"])
             as_vote = lambda c: F.coalesce(c, F.lit(False)).cast("int")
             return F.struct(
@@ -149,18 +167,26 @@ def with_candidates(df: DataFrame, text_col: str = "text") -> DataFrame:
                 F.least(F.length(x["match"]) / 8, F.lit(4)).cast("int").alias("size"),
             )
 
-        # digit runs far from any card length are no candidates: most numbers in a text are such
-        all_ = F.col(f"__{kind}")
-        if kind == "card":
-            all_ = F.filter(all_, lambda x: F.length(digits(x["match"])).between(13, 19))
-        return F.transform(all_, one)
+        return F.transform(F.filter(F.col(f"__{kind}"), lambda x: F.length(digits(x["match"])) <= 19) if kind == "card" else F.col(f"__{kind}"), one)
 
     strict = F.concat(*[judged(k) for k in STRICT])
     out = found.withColumn("candidates", strict)
-    base = F.filter("candidates", lambda x: x["base"])
-    loose = F.filter(F.concat(*[judged(k) for k in LOOSE]), lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    loose = F.when(F.expr(" + ".join(f"size(__{k})" for k in LOOSE)) > 0, loose).otherwise(F.slice(strict, 1, 0))
-    return out.withColumn("candidates", F.concat("candidates", loose)).drop(*[f"__{k}" for k in kinds])
+    out = out.withColumn("__base", F.filter("candidates", lambda x: x["base"])).withColumn("__loose", F.concat(*[judged(k) for k in LOOSE]))
+    loose = F.when(F.size("__loose") > 0, clear_of_base("__base", "__loose")).otherwise(F.col("__loose"))
+    return out.withColumn("candidates", F.concat("candidates", loose)).drop("__text", "__base", "__loose", *[f"__{k}" for k in kinds])
+
+
+def clear_of_base(base: str, loose: str) -> Column:
+    """The loose candidates that overlap no base span, by kind, then start. In the order of starts, no base span ahead ends
+    after their start and the next base span starts at their end or later."""
+    key = "named_struct('start', c.start, 'own', {}, 'end', c.end, 'of', c)".format
+    both = f"array_sort(concat(transform({base}, c -> {key(0)}), transform({loose}, c -> {key(1)})))"
+    ends = running("transform(o, n -> if(n.own = 0, n.end, 0L))", "0L", "greatest({u}, {w})")
+    starts = running(f"reverse(transform(o, n -> if(n.own = 0, n.start, {FAR}L)))", f"{FAR}L", "least({u}, {w})")
+    seen = f"zip_with(zip_with(o, {ends}, (d, e) -> named_struct('d', d, 'reach', e)), reverse({starts}), (d, e) -> named_struct('d', d.d, 'reach', d.reach, 'next', e))"
+    free = f"filter({seen}, q -> q.d.own = 1 and q.reach <= q.d.start and q.next >= q.d.end)"
+    rank = " ".join(f"when '{k}' then {i}" for i, k in enumerate(KINDS))
+    return F.expr(f"transform(array_sort(transform(transform(array({both}), o -> {free})[0], q -> named_struct('rank', case q.d.of.kind {rank} end, 'start', q.d.start, 'of', q.d.of))), q -> q.of)")
 
 
 @dataclass
@@ -196,12 +222,24 @@ def train(counts: Sequence[tuple]) -> Model:
             # pseudo-counts keep each labeler better than chance, so the classes can't change places
             hit[j] = max(0.5, (sum(c[-1] * s * c[1 + j] for c, s in zip(counts, soft, strict=True)) + 9) / (pos + 10))
             alarm[j] = min(0.5, (sum(c[-1] * (1 - s) * c[1 + j] for c, s in zip(counts, soft, strict=True)) + 2) / (neg + 10))
-    odds = lambda p, q: math.log(p / q)
-    kind = {k: odds(prior[k], 1 - prior[k]) for k in KINDS}
-    vote = [(odds(1 - h, 1 - a), odds(h, a)) for h, a in zip(hit, alarm, strict=True)]
-    pos, neg = sum(c[-1] * s for c, s in zip(counts, soft, strict=True)), sum(c[-1] * (1 - s) for c, s in zip(counts, soft, strict=True))
-    size = [odds((sum(c[-1] * s for c, s in zip(counts, soft, strict=True) if c[-2] == i) + 5) / (pos + 25), (sum(c[-1] * (1 - s) for c, s in zip(counts, soft, strict=True) if c[-2] == i) + 5) / (neg + 25)) for i in range(5)]
-    return Model(kind, vote, size)
+    return classifier(counts, soft)
+
+
+def classifier(counts: Sequence[tuple], soft: Sequence[float]) -> Model:
+    """The log-linear span classifier: a logistic regression of the soft labels on kind, votes and length class, by Newton steps
+    over the count table with a ridge, which stands for the prior where nothing was seen."""
+    x = np.zeros((len(counts), len(KINDS) + len(VOTES) + SIZES))
+    for row, (kind, *rest) in zip(x, counts, strict=True):
+        row[KINDS.index(kind)] = 1
+        row[len(KINDS) : len(KINDS) + len(VOTES)] = [2 * v - 1 for v in rest[: len(VOTES)]]
+        row[len(KINDS) + len(VOTES) + rest[len(VOTES)]] = 1
+    n, y, beta = np.array([c[-1] for c in counts], float), np.array(soft, float), np.zeros(x.shape[1])
+    for _ in range(ROUNDS if len(counts) else 0):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.eye(len(beta)), x.T @ (n * (y - p)) - beta)
+        beta += np.clip(step, -3, 3)
+    kind, vote, size = np.split(beta, [len(KINDS), len(KINDS) + len(VOTES)])
+    return Model(dict(zip(KINDS, kind.tolist(), strict=True)), [(-v, v) for v in vote.tolist()], size.tolist())
 
 
 def accepted(candidates: Column, model: Model) -> Column:
@@ -229,21 +267,30 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     return rows.select("doc_id", F.transform(accepted(F.col("candidates"), model), lambda x: F.struct(x["kind"], x["start"], x["end"], x["base"])).alias("spans"))
 
 
+def between(pieces: str, a: str, b: str) -> str:
+    """SQL for the characters from a to b of a text cut into pieces of PIECE: a place in a long text is only found by walking
+    there."""
+    first, last = (f"least(cast(floor({x} / {PIECE}) as int), size({pieces}) - 1)" for x in (a, b))
+    into = f"cast({a} - {first} * {PIECE} + 1 as int)"
+    one = f"substring(get({pieces}, {first}), {into}, cast(least(greatest({b} - {a}, 0L), {PIECE}) as int))"
+    inner = f"array_join(slice({pieces}, {first} + 2, greatest({last} - {first} - 1, 0)), '')"
+    more = f"concat(substring(get({pieces}, {first}), {into}, {PIECE}), {inner}, substring(get({pieces}, {last}), 1, cast(least({b} - {last} * {PIECE}, {PIECE}) as int)))"
+    return f"if({first} = {last}, {one}, {more})"
+
+
 def mask(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """df with every span in the text replaced by [KIND]; the character count, if there, follows. Two passes over the
     texts: one for the vote counts, one that masks."""
     model = train(vote_counts(with_candidates(df.select(F.col(f"`{text_col}`").alias("text")))))
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    spans = F.array_sort(F.transform(accepted(F.col("candidates"), model), lambda x: F.struct(x["start"], x["end"], x["kind"])))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        gap = F.substring("text", (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        grown = F.concat(acc["out"], F.array(gap, F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, grown).otherwise(acc["out"]).alias("out"))
-
-    folded = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring("text", (acc["at"] + 1).cast("int"), F.lit(2147483647))))
+    spans = F.array_sort(F.transform(accepted(F.col("candidates"), model), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+
+    reach = running("transform(spans, n -> n.end)", "0L", "greatest({u}, {w})")
+    pieces = f"transform(sequence(0, cast(floor(length(text) / {PIECE}) as int)), k -> substring(text, k * {PIECE} + 1, {PIECE}))"
+    fresh = "filter(zip_with(f.spans, f.reach, (d, e) -> named_struct('s', d, 'r', e)), d -> d.s.start >= d.r)"
+    parts = f"transform({fresh}, d -> concat({between('f.pieces', 'd.r', 'd.s.start')}, '[', upper(d.s.kind), ']'))"
+    rest = between("f.pieces", "array_max(transform(f.spans, n -> n.end))", f"{FAR}L")
+    folded = F.expr(f"transform(array(named_struct('spans', spans, 'reach', {reach}, 'pieces', {pieces})), f -> concat(array_join({parts}, ''), {rest}))[0]")
     done = with_candidates(packed).withColumn("spans", spans).withColumn("masked", F.when(F.size("spans") > 0, folded).otherwise(F.col("text")))
     out = []
     for c in df.columns:

@@ -385,6 +385,30 @@ def test_pii_masks_and_adds_spans(spark):
     assert got[98]["text"] is None and (got[97]["text"], got[97]["n_chars"]) == ("nothing here", 12)
 
 
+@pytest.mark.parametrize("chunk", [2, 256])
+def test_pii_masks_across_chunks_and_pieces(spark, monkeypatch, chunk):
+    monkeypatch.setattr(op9_pii, "CHUNK", chunk)
+    monkeypatch.setattr(op9_pii, "PIECE", 50)
+    texts = ["mail a@b.co and é@x.y " * k + "z" * (13 * k) + " +1 (743) 555-3824, 10.0.0.1 or 4111 1111 1111 1111." for k in range(9)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in op9_pii.mask(df).collect():
+        want = re.sub(r"[a-z0-9]+@[a-z]+\.[a-z]+", "[EMAIL]", texts[r["doc_id"]]).replace("+1 (743) 555-3824", "[PHONE]").replace("10.0.0.1", "[IP]").replace("4111 1111 1111 1111", "[CARD]")
+        assert r["text"] == want
+
+
+def test_pii_of_a_long_text_is_linear(spark):
+    """Ten million characters of numbers, and of addresses that are spans, within seconds."""
+    import time
+
+    numbers, hits = " ".join(str(10 + i % 90) for i in range(3_300_000)), "10.0.0.1 a@b.co (212) 555-0199 " * 30_000
+    df = spark.createDataFrame([(0, numbers), (1, hits)], "doc_id long, text string").repartition(2)
+    began = time.perf_counter()
+    found = {r["doc_id"]: r["n"] for r in op9_pii.find(df).select("doc_id", F.size("spans").alias("n")).collect()}
+    masked = op9_pii.mask(df.filter("doc_id = 1")).select(F.length("text")).first()[0]
+    assert found[0] == 0 and found[1] >= 60_000 and masked < len(hits)
+    assert time.perf_counter() - began < 120
+
+
 # --- 2
 
 
