@@ -96,11 +96,12 @@ def audit_rows(events: DataFrame, meta: str = "meta") -> DataFrame:
 
 
 def merged_settings(layers: list[DataFrame], known: list[str]) -> DataFrame:
-    """(key, value, layer) from (key, value, layer) frames, weakest first: the last layer that sets a key wins; unknown
-    keys are left out."""
+    """(key, value, layer) from (key, value, layer) frames, weakest first: the last layer that sets a key wins. A key
+    that isn't known fails the query, so that a misspelt setting doesn't pass unseen."""
     union = None
     for i, df in enumerate(layers):
         part = df.select("key", "value", "layer", F.lit(i).alias("rank"))
         union = part if union is None else union.unionByName(part)
-    best = union.filter(F.col("key").isin(known) & F.col("value").isNotNull()).groupBy("key").agg(F.max_by(F.struct("value", "layer"), "rank").alias("x"))
+    sound = F.when(F.col("key").isin(known), True).otherwise(F.raise_error(F.concat(F.lit("unknown setting "), F.coalesce("key", F.lit("null")))).cast("boolean"))
+    best = union.filter(sound & F.col("value").isNotNull()).groupBy("key").agg(F.max_by(F.struct("value", "layer"), "rank").alias("x"))
     return best.select("key", "x.value", "x.layer")

@@ -122,22 +122,39 @@ def set_status(leads: DataFrame, workspace: str, ids: Sequence[str], status: str
     return leads.withColumn("status", F.when(hit, F.lit(status)).otherwise(F.col("status")))
 
 
-def clean_places(rows: DataFrame) -> DataFrame:
-    """Untrusted place rows (strings): a name is required, texts are cut, coordinates must be numbers in range, websites http."""
-    cut = lambda c, n: F.substring(X.strip(X.empty(F.col(c))), 1, n).alias(c)
-    number = lambda c, most: F.when(F.abs(X.strip(F.col(c)).try_cast("double")) <= most, X.strip(F.col(c)).try_cast("double"))
-    lng = F.coalesce(number("lng", 180), number("lon", 180)) if "lon" in rows.columns else number("lng", 180)
-    site = X.strip(X.empty(F.col("website")))
-    kept = rows.filter(X.strip(X.empty(F.col("name"))) != "")
-    own = [c for c in rows.columns if c not in ("name", "address", "phone", "website", "lat", "lng", "lon")]
-    return kept.select(*own, cut("name", 255), cut("address", 500), cut("phone", 64), F.when(site.rlike("(?i)^https?://"), F.substring(site, 1, 500)).otherwise("").alias("website"), number("lat", 90).alias("lat"), lng.alias("lng"))
-
-
-def clean_web(rows: DataFrame) -> DataFrame:
-    """Untrusted web rows: one of title, uri, snippet is required; texts are cut; addresses that aren't http are blanked."""
-    uri = X.strip(X.empty(F.col("uri")))
-    kept = rows.select(F.substring(X.strip(X.empty(F.col("title"))), 1, 300).alias("title"), F.when(uri.rlike("(?i)^https?://"), F.substring(uri, 1, 1000)).otherwise("").alias("uri"), F.substring(X.strip(X.empty(F.col("snippet"))), 1, 1000).alias("snippet"))
-    return kept.filter("title <> '' or uri <> '' or snippet <> ''")
+PLACE_COLUMNS = ("name", "address", "phone", "hours", "opening_hours", "website", "lat", "lng", "lon", "maps_uri", "rating")
+
+
+def _listed(rows: DataFrame, order: str | None, most: int | None) -> DataFrame:
+    """The first `most` rows by a column; all of them without one."""
+    return rows if most is None or order is None else rows.orderBy(order).limit(max(1, most))
+
+
+def clean_places(rows: DataFrame, order: str | None = None, most: int | None = 30) -> DataFrame:
+    """Untrusted place rows (strings), the first `most` of them: a name is required, texts are cut, then stripped, numbers must
+    be numbers, links http. What the known columns don't hold stays as it is, and also comes, cut, in the map `raw`."""
+    there = lambda *names: F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in names if c in rows.columns], F.lit(""))
+    cut = lambda n, *names: X.strip(F.substring(there(*names), 1, n)).alias(names[0])
+    number = lambda *names: X.strip(there(*names)).try_cast("double").alias(names[0])
+    link = lambda c: F.when(cut(1000, c).rlike("(?i)^https?://"), cut(1000, c)).otherwise("").alias(c)
+    own = [c for c in rows.columns if c not in PLACE_COLUMNS]
+    known = F.array(*[F.struct(F.lit(c[:80]).alias("key"), F.substring(F.col(c).cast("string"), 1, 500).alias("value")) for c in own])
+    raw = F.map_from_entries(F.filter(known, lambda x: x["value"].isNotNull())) if own else F.lit(None).cast("map<string,string>")
+    cleaned = _listed(rows, order, most).select(
+        *own, cut(300, "name"), cut(1000, "address"), cut(100, "phone"), cut(300, "hours", "opening_hours"), link("website"),
+        number("lat"), number("lng", "lon"), link("maps_uri"), number("rating"), raw.alias("raw"),
+    )
+    return cleaned.filter("name <> ''")
+
+
+def clean_web(rows: DataFrame, order: str | None = None, most: int | None = 10) -> DataFrame:
+    """Untrusted web rows, the first `most` of them: texts are cut, then stripped; one of title, address and snippet is required,
+    then addresses that aren't http are blanked, and an address stands in for an empty title."""
+    there = lambda *names: F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in names if c in rows.columns], F.lit(""))
+    cut = lambda n, *names: X.strip(F.substring(there(*names), 1, n)).alias(names[0])
+    kept = _listed(rows, order, most).select(*[c for c in rows.columns if c not in ("title", "uri", "url", "snippet", "content")], cut(300, "title"), cut(1000, "uri", "url"), cut(2000, "snippet", "content"))
+    kept = kept.filter("title <> '' or uri <> '' or snippet <> ''").withColumn("uri", F.when(F.col("uri").rlike("(?i)^https?://"), F.col("uri")).otherwise(""))
+    return kept.withColumn("title", F.when(F.col("title") != "", F.col("title")).otherwise(F.col("uri")))
 
 
 def file_inventory(own: DataFrame, shared: DataFrame) -> DataFrame:

@@ -178,13 +178,17 @@ def heuristic_rerank(query: str, hits: DataFrame, top_k: int) -> DataFrame:
 
 
 def rerank(query: str, hits: DataFrame, top_k: int, settings: Settings) -> DataFrame:
-    """By method: none, heuristic, or a registered callable (its omissions are appended); unknown names disable it."""
+    """By method: none, heuristic, or a registered callable (its omissions are appended); unknown names disable it, and a callable
+    that raises while it plans leaves the order as it is."""
     if settings.rerank == "heuristic":
         return heuristic_rerank(query, hits, top_k)
     custom = settings.rerankers.get(settings.rerank)
-    if custom is None:
+    try:
+        chosen = custom(query, hits, top_k).select("chunk_id", "rerank_score") if custom else None
+    except Exception:  # a reranker is a stranger's service: search goes on without it
+        chosen = None
+    if chosen is None:
         return hits.filter(F.col("position") < top_k).withColumn("rerank_score", F.lit(None).cast("double"))
-    chosen = custom(query, hits, top_k).select("chunk_id", "rerank_score")
     both = hits.withColumnRenamed("position", "__p").join(chosen, "chunk_id", "left")
     return with_position(both, F.desc_nulls_last("rerank_score"), F.col("__p")).drop("__p").filter(F.col("position") < top_k)
 

@@ -17,7 +17,7 @@ from ..operators import places as P
 from ..operators import retrieval as R
 from ..session import table
 from ..streaming import jobs as J
-from .registry import query, quoted, strip
+from .registry import packed, query, quoted, strip
 from .retrieval_queries import OWN, PLAIN_TITLES, QUESTION, TOP, WORKSPACE, chunks, cte, fused, three_streams
 
 
@@ -163,9 +163,16 @@ def context_blocks(spark, sf_dir):
     return U.context_blocks(hits).select("place", "kind", F.sha1("block").alias("block_sha1"))
 
 
-@query()
+@query(f"""WITH RECURSIVE long AS (SELECT doc_id, text FROM documents WHERE length(text) > {J.LONG_CHARS}),
+para AS (SELECT doc_id, i, {strip("b")} AS b FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10) || chr(10))))) AS i, unnest(string_split(text, chr(10) || chr(10))) AS b FROM long)),
+cut AS (SELECT doc_id, i, b, unnest(range(CASE WHEN length(b) > 2 * {J.PIECE_CHARS} THEN ceil((length(b) - 2 * {J.PIECE_CHARS}) / {float(J.PIECE_CHARS)}e0)::BIGINT + 1 ELSE 1 END)) AS k FROM para WHERE b <> ''),
+items AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS rn, CASE WHEN length(b) <= 2 * {J.PIECE_CHARS} THEN b WHEN length(b) - k * {J.PIECE_CHARS} <= 2 * {J.PIECE_CHARS} THEN substring(b, k * {J.PIECE_CHARS} + 1) ELSE substring(b, k * {J.PIECE_CHARS} + 1, {J.PIECE_CHARS}) END AS p FROM cut),
+{packed("items", "doc_id", J.PIECE_CHARS)}, total AS (SELECT doc_id, count(*) AS total FROM pages_of GROUP BY doc_id HAVING count(*) > 1),
+said AS (SELECT conv_id, turn, max(CASE WHEN turn % 4 = 0 THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS origin FROM conversations),
+placed AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, origin ORDER BY turn) AS piece_no FROM said WHERE origin IS NOT NULL)
+SELECT conv_id, turn, piece_no, total, sha1(page) AS piece_sha1 FROM placed JOIN total ON total.doc_id = conv_id JOIN pages_of ON pages_of.doc_id = conv_id AND page_no = piece_no - 1""")
 def translation_turns(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
     named = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("named_text"))
     asked = turns.withColumn("text", F.when(F.col("turn") % 4 == 0, "translate the file").otherwise("continue")).join(named, "conv_id")
-    return J.translation_turns(asked, "conv_id", "turn").select("conv_id", "turn", "piece_no", "total", F.sha1("piece").alias("piece_sha1"))
+    return J.translation_turns(asked, "conv_id", "turn").select("conv_id", "turn", F.col("piece_no").cast("long").alias("piece_no"), F.col("total").cast("long").alias("total"), F.sha1("piece").alias("piece_sha1"))

@@ -122,11 +122,30 @@ def lead_dedupe(spark, sf_dir):
     return P.new_leads(batch, stored, "lead_id").withColumn("name", X.strip(F.col("name")))
 
 
-@query(f"""SELECT c_custkey AS place_id, substring({strip("c_name")}, 1, 255) AS name, CASE WHEN c_custkey % 3 = 0 THEN 'http://x.example/' || c_custkey ELSE '' END AS website, CASE WHEN abs(c_acctbal / 50) <= 90 THEN c_acctbal / 50 END AS lat FROM customer WHERE c_custkey % 7 <> 0""")
+@query("""WITH r AS (SELECT doc_id, coalesce(text, '') AS t, doc_id % 7 AS k FROM documents),
+c AS (SELECT doc_id, t, k, trim(left(t, 300), E' \t\n\r') AS name FROM r WHERE k <> 0)
+SELECT doc_id AS place_id, sha1(name) AS name_sha1, length(trim(left(t || t, 1000), E' \t\n\r'))::BIGINT AS address_chars, length(trim(left(t, 100), E' \t\n\r'))::BIGINT AS phone_chars,
+ CASE WHEN k = 1 THEN 'open' ELSE 'late' END AS hours, CASE WHEN k = 2 THEN 'HTTPS://x.example/' || doc_id ELSE '' END AS website, CASE WHEN k IN (3, 4) THEN doc_id * 1.5e0 END AS lat, CASE WHEN k <> 5 THEN doc_id / 4e0 END AS lng FROM c WHERE name <> ''""")
 def places_clean(spark, sf_dir):
-    n = F.col("c_custkey")
-    rows = table(spark, sf_dir, "customer").select(n.alias("place_id"), F.when(n % 7 != 0, F.col("c_name")).otherwise("  ").alias("name"), F.lit("a").alias("address"), F.lit("1").alias("phone"), F.concat(F.when(n % 3 == 0, "http://x.example/").otherwise("javascript:"), n.cast("string")).alias("website"), (F.col("c_acctbal") / 50).cast("string").alias("lat"), F.lit("x").alias("lng"))
-    return P.clean_places(rows).select("place_id", "name", "website", "lat")
+    """Documents as untrusted places; no bound on the rows, so that all of them are seen."""
+    n, k, t = F.col("doc_id"), F.col("doc_id") % 7, F.coalesce("text", F.lit(""))
+    number = lambda x: F.concat(F.lit(" "), x.cast("string"), F.lit(" "))
+    rows = table(spark, sf_dir, "documents").select(
+        n.alias("place_id"), F.when(k != 0, t).otherwise("  ").alias("name"), F.concat(t, t).alias("address"), t.alias("phone"),
+        F.when(k == 1, "open").alias("hours"), F.lit(" late").alias("opening_hours"), F.concat(F.when(k == 2, " HTTPS://x.example/").otherwise("javascript:"), n.cast("string")).alias("website"),
+        F.when(k.isin(3, 4), number(n * 1.5)).otherwise("north").alias("lat"), F.when(k != 5, number(n / 4)).alias("lon"), F.lit(None).cast("string").alias("lng"),
+    )
+    clean = P.clean_places(rows, most=None)
+    return clean.select("place_id", F.sha1("name").alias("name_sha1"), F.length("address").cast("long").alias("address_chars"), F.length("phone").cast("long").alias("phone_chars"), "hours", "website", "lat", "lng")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN 'http://x.example/' || doc_id ELSE 'title' END AS title, CASE WHEN doc_id % 4 IN (1, 2) THEN 'http://x.example/' || doc_id ELSE '' END AS uri,
+ length(trim(left(coalesce(text, ''), 2000), E' \t\n\r'))::BIGINT AS snippet_chars FROM documents""")
+def web_clean(spark, sf_dir):
+    """Documents as untrusted web results: addresses that aren't http count as content before they are blanked."""
+    k = F.col("doc_id") % 4
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(k >= 2, " title ").otherwise("").alias("title"), F.concat(F.when(k.isin(1, 2), "http://x.example/").otherwise("ftp:"), F.col("doc_id").cast("string")).alias("url"), F.col("text").alias("content"))
+    return P.clean_web(rows, most=None).select("doc_id", "title", "uri", F.length("snippet").cast("long").alias("snippet_chars"))
 
 
 @query("""WITH o AS (SELECT doc_id, 'doc ' || source || '.txt' AS filename, lang FROM documents WHERE lang = 'en'), g AS (SELECT doc_id, 'doc ' || source || '.txt' AS filename FROM documents WHERE doc_id % 5 = 0)
@@ -169,11 +188,15 @@ def study_plan_ids(spark, sf_dir):
     return P.study_tasks(plans).select("plan_id", "task_id")
 
 
-@query(f"""SELECT key, value, layer FROM (SELECT 'model' AS key, {quoted("b")} AS value, 'agent' AS layer UNION ALL SELECT 'top_k', '8', 'default')""")
+@query("""SELECT n_name AS key, CASE WHEN n_nationkey % 5 = 0 AND n_nationkey % 10 <> 0 THEN 'a' || n_nationkey WHEN n_nationkey % 2 = 0 THEN 'w' || n_nationkey ELSE 'd' || n_nationkey END AS value,
+ CASE WHEN n_nationkey % 10 = 5 THEN 'agent' WHEN n_nationkey % 2 = 0 THEN 'workspace' ELSE 'default' END AS layer FROM nation""")
 def layered_settings(spark, sf_dir):
-    kind = "key string, value string, layer string"
-    layers = [spark.createDataFrame([("model", "a", "default"), ("top_k", "8", "default"), ("other", "x", "default")], kind), spark.createDataFrame([("model", "b", "agent")], kind)]
-    return L.merged_settings(layers, ["model", "top_k"])
+    """Nations as settings: all have a default, some a workspace's value, some an agent's, which is null for some."""
+    rows, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    layer = lambda name, held, value: rows.filter(held).select(F.col("n_name").alias("key"), value.alias("value"), F.lit(name).alias("layer"))
+    own = lambda letter: F.concat(F.lit(letter), k.cast("string"))
+    layers = [layer("default", F.lit(True), own("d")), layer("workspace", k % 2 == 0, own("w")), layer("agent", k % 5 == 0, F.when(k % 10 != 0, own("a")))]
+    return L.merged_settings(layers, [r["n_name"] for r in rows.select("n_name").collect()])
 
 
 @query("""WITH t AS (SELECT DISTINCT conv_id AS plan_id, 'w' || (turn // 2 + 1) || 't' || (turn % 2 + 1) AS task_id FROM conversations WHERE turn < 24)
@@ -186,7 +209,10 @@ def plan_progress(spark, sf_dir):
     return P.plan_progress(tasks, done.unionByName(done).unionByName(done.withColumn("task_id", F.lit("w99t1"))))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_ms(ts)::DOUBLE AS "at", row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events WHERE ts IS NOT NULL),
+w AS (SELECT user_id, "at", rn, true AS allowed, ["at"] AS held FROM e WHERE rn = 1
+ UNION ALL SELECT user_id, "at", rn, len(held) < 3 AS allowed, CASE WHEN len(held) < 3 THEN list_append(held, "at") ELSE held END FROM (SELECT e.user_id, e."at", e.rn, list_filter(w.held, lambda h: h >= e."at" - 86400000) AS held FROM w JOIN e ON e.user_id IS NOT DISTINCT FROM w.user_id AND e.rn = w.rn + 1))
+SELECT user_id, "at", allowed FROM w""")
 def rate_limit(spark, sf_dir):
     calls = table(spark, sf_dir, "events").select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).cast("double").alias("at"))
     return J.rate_limited_batch(calls, "user_id", calls=3, period=86_400_000.0)

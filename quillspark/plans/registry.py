@@ -51,3 +51,11 @@ def strip(x: str) -> str:
 
 def listed(values) -> str:
     return "[" + ", ".join(quoted(v) for v in values) + "]"
+
+
+def packed(items: str, key: str, longest: int) -> str:
+    """Recursive CTEs that join the texts of `items` (key, rn, p) to pages of at most `longest` characters: (key, page_no, page)."""
+    grown = f"length(f.page) + 2 + length(i.p) <= {longest}"
+    return f"""fold AS (SELECT {key}, rn, 0::BIGINT AS page_no, p AS page FROM {items} WHERE rn = 1
+ UNION ALL SELECT i.{key}, i.rn, CASE WHEN {grown} THEN f.page_no ELSE f.page_no + 1 END, CASE WHEN {grown} THEN f.page || chr(10) || chr(10) || i.p ELSE i.p END FROM fold AS f JOIN {items} AS i ON i.{key} = f.{key} AND i.rn = f.rn + 1),
+pages_of AS (SELECT {key}, page_no, arg_max(page, rn) AS page FROM fold GROUP BY {key}, page_no)"""

@@ -15,8 +15,8 @@ from ..operators import evaluation as E
 from ..operators import retrieval as R
 from ..operators import scope as S
 from ..operators import structure as T
-from ..session import table
-from .registry import folded, listed, query, quoted, terms, tokens, words
+from ..session import stored, table
+from .registry import folded, listed, query, quoted, strip, terms, tokens, words
 from .text_queries import CHUNK_CTE
 
 WORKSPACE, QUESTION, TITLE_QUESTION, TOP = "en", "the with that", "doc the and with", 8
@@ -45,6 +45,12 @@ def chunks(spark, sf_dir):
     )
 
 
+def stored_chunks(spark, sf_dir, scope=None):
+    """The chunks in scope with their terms, cut and tokenised once for all streams, as ingestion stores them."""
+    rows = chunks(spark, sf_dir)
+    return stored((rows.filter(scope) if scope is not None else rows).withColumn("terms", X.terms(F.col("content"))), "chunks")
+
+
 def query_vector(spark, sf_dir):
     """One vector: the query's."""
     row = table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").first()
@@ -104,12 +110,12 @@ def shown(hits):
 
 @query(f"WITH {cte(OWN)}, {fused(PLAIN_TITLES)}, {RERANK} {FINAL}")
 def hybrid_search(spark, sf_dir):
-    return shown(R.hybrid_search(chunks(spark, sf_dir), WORKSPACE, QUESTION, query_vector(spark, sf_dir), top_k=TOP, settings=SETTINGS))
+    return shown(R.hybrid_search(stored_chunks(spark, sf_dir, F.col("workspace_id") == WORKSPACE), WORKSPACE, QUESTION, query_vector(spark, sf_dir), top_k=TOP, settings=SETTINGS))
 
 
 @query(f"WITH {cte(f'kb_id IN ({", ".join(map(quoted, SHARED_KBS))})')}, {fused(PLAIN_TITLES)}, {RERANK} {FINAL}")
 def hybrid_search_global(spark, sf_dir):
-    shared = chunks(spark, sf_dir).withColumn("workspace_id", F.lit(None).cast("string"))
+    shared = stored_chunks(spark, sf_dir, F.col("kb_id").isin(SHARED_KBS)).withColumn("workspace_id", F.lit(None).cast("string"))
     return shown(R.hybrid_search_global(shared, SHARED_KBS, QUESTION, query_vector(spark, sf_dir), top_k=TOP, settings=SETTINGS))
 
 
@@ -155,7 +161,7 @@ def title_stream(spark, sf_dir):
 
 
 def three_streams(spark, sf_dir):
-    rows = S.candidates(chunks(spark, sf_dir), WORKSPACE)
+    rows = S.candidates(stored_chunks(spark, sf_dir, F.col("workspace_id") == WORKSPACE), WORKSPACE)
     return [(R.vector_stream(rows, query_vector(spark, sf_dir), LIMIT), "vector_rank"), (R.fulltext_stream(rows, QUESTION, LIMIT), "fts_rank"), (R.title_stream(rows, QUESTION, LIMIT), "title_rank")]
 
 
@@ -174,11 +180,17 @@ def threshold(spark, sf_dir):
     return R.threshold(R.fuse(three_streams(spark, sf_dir), TOP), 0.016).select("chunk_id")
 
 
-@query(f"""WITH {cte("true", "cand")} SELECT min(chunk_id) AS chunk_id, count(*) AS copies FROM cand GROUP BY sha1({_norm("content")})""")
+@query(f"""WITH {cte("true", "cand")}, pl AS (SELECT chunk_id, row_number() OVER (ORDER BY chunk_id DESC) - 1 AS position, sha1({_norm("content")}) AS h, {strip("content")} = '' AS blank FROM cand)
+SELECT chunk_id, position FROM pl WHERE blank OR position = (SELECT min(position) FROM pl AS o WHERE o.h = pl.h)""")
 def content_dedupe(spark, sf_dir):
-    """Over all chunks: of equal contents the first, with the number of copies."""
-    rows = chunks(spark, sf_dir).filter("status = 'ready'").select("chunk_id", X.content_hash(F.col("content")).alias("h"))
-    return rows.groupBy("h").agg(F.min("chunk_id").alias("chunk_id"), F.count("*").alias("copies")).drop("h")
+    """All chunks as hits, the last chunk first: of equal contents the best-placed one stays."""
+    rows = chunks(spark, sf_dir).filter("status = 'ready'").select("chunk_id", "content")
+    # places from a running count of ids by document, as a window over all rows would be one task
+    per = rows.groupBy(F.floor(F.col("chunk_id") / 100_000).alias("d")).agg(F.count("*").alias("n"))
+    ahead = per.select("d", (F.sum("n").over(W.orderBy(F.desc("d"))) - F.col("n")).alias("ahead"))
+    own = F.row_number().over(W.partitionBy("d").orderBy(F.desc("chunk_id"))) - 1
+    hits = rows.withColumn("d", F.floor(F.col("chunk_id") / 100_000)).withColumn("own", own).join(ahead, "d").withColumn("position", F.col("ahead") + F.col("own"))
+    return R.dedupe_content(hits.select("chunk_id", "content", "position")).select("chunk_id", "position")
 
 
 @query(f"""WITH {cte(OWN)}, {fused(PLAIN_TITLES)}, n AS (SELECT chunk_id, array_to_string(list(content) OVER (PARTITION BY source_id ORDER BY page_no, chunk_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), chr(10)) AS x FROM cand)
@@ -212,24 +224,28 @@ def eval_inputs(spark, sf_dir):
     longer words come back (eight at most). Both meet on words, and each item's ranking is cut inside its group."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), X.words(F.lower(F.col("text"))).alias("w"))
     docs = table(spark, sf_dir, "documents").select("doc_id", X.words(F.lower(F.col("text"))).alias("w"))
-    key = F.array_join(F.slice("w", 1, 8), " ")
-    shingle = F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))
-    there = docs.filter(F.size("w") >= 8).select("doc_id", F.explode(F.array_distinct(shingle)).alias("key"))
-    expected = items.filter(F.size("w") >= 8).select("question_id", key.alias("key")).join(there, "key").groupBy("question_id").agg(F.collect_set(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("expected"))
+    start = lambda i: F.xxhash64(F.slice("w", i, F.lit(8)))  # noqa: E731  eight words as one number: no text is built or shuffled
+    keys = items.filter(F.size("w") >= 8).select("question_id", start(F.lit(1)).alias("key"))
+    there = docs.filter(F.size("w") >= 8).select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 7), start)).alias("key"))
+    there = there.join(keys.select("key").distinct(), "key", "left_semi").distinct()
+    expected = keys.join(there, "key").groupBy("question_id").agg(F.collect_set(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("expected"))
     questions = items.select("question_id").join(expected, "question_id", "left").withColumn("expected", F.coalesce("expected", F.array().cast("array<string>"))).withColumn("keywords", F.array().cast("array<string>"))
     longer = lambda df, name: df.select(name, F.explode(F.array_distinct(F.filter("w", lambda x: F.length(x) > 6))).alias("t"))
-    shared = longer(items, "question_id").join(longer(docs, "doc_id"), "t").groupBy("question_id", "doc_id").agg(F.count("*").alias("n"))
+    # an index of the items by word: the documents' words meet it once, and a hot word carries its questions as one row
+    index = longer(items, "question_id").groupBy("t").agg(F.collect_list("question_id").alias("questions"))
+    shared = longer(docs, "doc_id").join(index, "t").select("doc_id", F.explode("questions").alias("question_id")).groupBy("question_id", "doc_id").agg(F.count("*").alias("n"))
     ranked = shared.withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("n"), "doc_id"))).filter("rank <= 8")
     returned = ranked.select("question_id", "rank", "n", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source"), F.lit("").alias("text"))
     return questions, returned
 
 
 LOW = words("lower(text)")
-EVAL = f"""i AS (SELECT item_id AS question_id, {LOW} AS w FROM benchmark), d AS (SELECT doc_id, {LOW} AS w FROM documents),
+def evaluated(most: int) -> str:
+    return f"""i AS (SELECT item_id AS question_id, {LOW} AS w FROM benchmark), d AS (SELECT doc_id, {LOW} AS w FROM documents),
 sh AS (SELECT DISTINCT doc_id, array_to_string(w[j : j + 7], ' ') AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS j FROM d WHERE len(w) >= 8)),
 ex AS (SELECT question_id, doc_id FROM (SELECT question_id, array_to_string(w[1:8], ' ') AS key FROM i WHERE len(w) >= 8) JOIN sh USING (key)),
 qt AS (SELECT DISTINCT question_id, t FROM (SELECT question_id, unnest(w) AS t FROM i) WHERE length(t) > 6), dt AS (SELECT DISTINCT doc_id, t FROM (SELECT doc_id, unnest(w) AS t FROM d) WHERE length(t) > 6),
-ra AS (SELECT question_id, doc_id, n, row_number() OVER (PARTITION BY question_id ORDER BY n DESC, doc_id) AS rank FROM (SELECT question_id, doc_id, count(*) AS n FROM qt JOIN dt USING (t) GROUP BY ALL) QUALIFY rank <= 8),
+ra AS (SELECT question_id, doc_id, n, row_number() OVER (PARTITION BY question_id ORDER BY n DESC, doc_id) AS rank FROM (SELECT question_id, doc_id, count(*) AS n FROM qt JOIN dt USING (t) GROUP BY ALL) QUALIFY rank <= {most}),
 rel AS (SELECT ra.*, (ex.doc_id IS NOT NULL)::INT AS rel FROM ra LEFT JOIN ex USING (question_id, doc_id)),
 pq AS (SELECT question_id, count(*) AS hits, sum(rel) AS rel, sum(rel / log2(rank + 1)) AS dcg, min(CASE WHEN rel = 1 THEN rank END) AS first, max(n) AS top FROM rel GROUP BY question_id),
 ne AS (SELECT question_id, count(*) AS ne FROM ex GROUP BY question_id),
@@ -238,6 +254,9 @@ m AS (SELECT i.question_id, coalesce(hits, 0) AS hits, coalesce(ne, 0) AS ne, ro
  round(CASE WHEN idcg > 0 THEN dcg / idcg WHEN ne IS NULL THEN 1 ELSE 0 END, 4) AS ndcg_at_k, round(coalesce(1e0 / first, 0), 4) AS mrr, 1e0 AS keyword_coverage, coalesce(top, 0) AS top FROM i LEFT JOIN pq USING (question_id) LEFT JOIN ne USING (question_id) LEFT JOIN id USING (question_id))"""
 
 
+EVAL = evaluated(8)
+
+
 @query(f"WITH {EVAL} SELECT question_id, hits, recall_at_k, precision_at_k, ndcg_at_k, mrr, keyword_coverage FROM m")
 def eval_rows(spark, sf_dir):
     return E.question_metrics(*eval_inputs(spark, sf_dir))
@@ -261,6 +280,10 @@ def eval_summary(spark, sf_dir):
     return rows.select("arm", "n", "n_answerable", "avg_recall_at_k", "unanswerable_avg_top_score")
 
 
-@query()
+LONG = "UNPIVOT (SELECT question_id, recall_at_k, precision_at_k, ndcg_at_k, mrr, keyword_coverage FROM m) ON COLUMNS(* EXCLUDE question_id) INTO NAME metric VALUE v"
+
+
+@query(f"""WITH a AS (WITH {EVAL} {LONG}), b AS (WITH {evaluated(4)} {LONG})
+SELECT question_id, metric, a.v AS base, b.v AS other, round(b.v - a.v, 4) AS delta FROM a JOIN b USING (question_id, metric)""")
 def eval_delta(spark, sf_dir):
     return E.arm_delta(eval_arms(spark, sf_dir), "none", "short")

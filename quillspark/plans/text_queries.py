@@ -8,7 +8,7 @@ from ..functions import text as X
 from ..operators import structure as T
 from ..session import table
 from ..sources import web
-from .registry import folded, query, quoted, strip, tokens, words
+from .registry import folded, packed, query, quoted, strip, tokens, words
 
 ARABIC = "كتابي مدرسة بَـ "
 
@@ -43,9 +43,12 @@ def segments(spark, sf_dir):
 SEGMENTS = "seg AS (SELECT conv_id, turn * 30000 + (turn // 5) * 100000 AS s, turn * 30000 + (turn // 5) * 100000 + 30000 AS e, text FROM conversations)"
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEGMENTS}, g AS (SELECT conv_id, s, e, t, row_number() OVER (PARTITION BY conv_id ORDER BY s, e, t) AS rn FROM (SELECT conv_id, s, e, {strip("coalesce(text, '')")} AS t FROM seg) WHERE t <> ''),
+f AS (SELECT conv_id, rn, 0::BIGINT AS no, s, e, t, e - s >= {T.TRANSCRIPT_MS} AS closed FROM g WHERE rn = 1
+ UNION ALL SELECT g.conv_id, g.rn, f.no + f.closed::BIGINT, CASE WHEN f.closed THEN g.s ELSE f.s END, g.e, CASE WHEN f.closed THEN g.t ELSE f.t || ' ' || g.t END, g.e - CASE WHEN f.closed THEN g.s ELSE f.s END >= {T.TRANSCRIPT_MS} FROM f JOIN g ON g.conv_id = f.conv_id AND g.rn = f.rn + 1)
+SELECT conv_id, no AS window_no, s::BIGINT AS start_ms, e::BIGINT AS end_ms, t AS content FROM f QUALIFY row_number() OVER (PARTITION BY conv_id, no ORDER BY rn DESC) = 1""")
 def transcript_windows(spark, sf_dir):
-    return T.transcript_windows(segments(spark, sf_dir), "conv_id")
+    return T.transcript_windows(segments(spark, sf_dir), "conv_id").withColumn("window_no", F.col("window_no").cast("long"))
 
 
 @query(f"""WITH {SEGMENTS}, said AS (SELECT conv_id, s, e, {strip("text")} AS t FROM seg WHERE {strip("coalesce(text, '')")} <> ''),
@@ -82,34 +85,57 @@ def text_blocks(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.max(F.length("block")).cast("long").alias("longest"))
 
 
-@query()
+LINES = "SELECT doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents"
+
+
+@query(f"""WITH l AS (SELECT doc_id, i, {strip("line")} AS b FROM ({LINES})),
+k AS (SELECT doc_id, i, CASE WHEN regexp_matches(b, '^#{{1,6}}\\s') THEN 'heading' WHEN regexp_matches(b, {quoted(X.LIST_MARK)}) THEN 'list'
+ WHEN length(b) <= {X.HEADING_CHARS} AND len({words("b")}) <= {X.HEADING_WORDS} AND b[1] <> '[' AND NOT contains({quoted(X.HEADING_BAD_END)}, b[-1]) THEN 'heading' ELSE 'paragraph' END AS kind,
+ CASE WHEN regexp_matches(b, '^#{{1,6}}\\s') THEN {strip("regexp_replace(regexp_replace(b, '^#+', ''), '#+$', '')")} ELSE b END AS block FROM l WHERE b <> ''),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM k WHERE block <> ''),
+h AS (SELECT *, max(CASE WHEN kind = 'heading' THEN n END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at FROM o)
+SELECT h.doc_id, h.n AS document_order, h.kind, 'e' || h.n AS element_id, coalesce(p.block, '') AS section, CASE WHEN h.at IS NULL THEN '' ELSE 'e' || h.at END AS parent_id, sha1(h.block) AS block_sha1 FROM h LEFT JOIN o AS p ON p.doc_id = h.doc_id AND p.n = h.at""")
 def section_chain(spark, sf_dir):
     rows = T.section_chain(T.blocks(table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))), "doc_id")
-    return rows.select("doc_id", "document_order", "kind", "element_id", "section", "parent_id", F.sha1("block").alias("block_sha1"))
+    return rows.select("doc_id", F.col("document_order").cast("long").alias("document_order"), "kind", "element_id", "section", "parent_id", F.sha1("block").alias("block_sha1"))
 
 
-@query()
+@query(f"""WITH RECURSIVE l AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM (SELECT doc_id, i, {strip("line")} AS p FROM ({LINES})) WHERE p <> ''), {packed("l", "doc_id", T.PACK_CHARS)}
+SELECT doc_id, page_no, length(page)::BIGINT AS n_chars, sha1(page) AS page_sha1 FROM pages_of""")
 def pack_paragraphs(spark, sf_dir):
     pages = T.packed(F.split(X.empty(F.col("text")), "\n"))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pages).alias("page_no", "page"))
-    return rows.select("doc_id", "page_no", F.length("page").alias("n_chars"), F.sha1("page").alias("page_sha1"))
+    return rows.select("doc_id", F.col("page_no").cast("long").alias("page_no"), F.length("page").cast("long").alias("n_chars"), F.sha1("page").alias("page_sha1"))
+
+
+RULE = r"'^\s*\|[\s:|-]*-[\s:|-]*$'"
 
 
-@query()
+@query(f"""WITH RECURSIVE l AS (SELECT *, starts_with({strip("line")}, '|') AS pipe, regexp_matches(line, {RULE}) AS rule FROM ({LINES})),
+c AS (SELECT *, CASE WHEN pipe <> lag(pipe, 1, pipe) OVER (PARTITION BY doc_id ORDER BY i) THEN 1 ELSE 0 END AS cut FROM l),
+r AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)::BIGINT AS run_no FROM c),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run_no ORDER BY i) AS row_no, len({words("line")}) AS n FROM r),
+g AS (SELECT doc_id, run_no, count(*) AS n_lines, bool_and(pipe) AND (count(*) >= 3 OR (count(*) = 2 AND bool_or(rule AND row_no = 2))) AS is_table, count(CASE WHEN pipe AND NOT rule THEN 1 END) AS n_rows,
+ coalesce(max(CASE WHEN pipe AND NOT rule THEN len(string_split(regexp_replace({strip("line")}, '^\||\|$', '', 'g'), '|')) END), 0)::BIGINT AS n_cols, sum(n) AS n FROM p GROUP BY doc_id, run_no),
+b AS (SELECT doc_id, run_no, n, row_number() OVER (PARTITION BY doc_id, run_no ORDER BY i) - 2 AS rn FROM p JOIN (SELECT doc_id, run_no FROM g WHERE n > {T.TABLE_WORDS}) USING (doc_id, run_no) WHERE {strip("line")} <> ''),
+f AS (SELECT doc_id, run_no, rn, n AS held, 1::BIGINT AS parts FROM b WHERE rn = 1
+ UNION ALL SELECT b.doc_id, b.run_no, b.rn, CASE WHEN f.held >= {T.PART_WORDS} THEN b.n ELSE f.held + b.n END, CASE WHEN f.held >= {T.PART_WORDS} THEN f.parts + 1 ELSE f.parts END FROM f JOIN b ON b.doc_id = f.doc_id AND b.run_no = f.run_no AND b.rn = f.rn + 1)
+SELECT g.doc_id, g.run_no, g.n_lines, g.is_table, g.n_rows, g.n_cols, CASE WHEN g.n <= {T.TABLE_WORDS} THEN 1 ELSE coalesce((SELECT max(parts) FROM f WHERE f.doc_id = g.doc_id AND f.run_no = g.run_no), 0) END AS parts FROM g""")
 def table_blocks(spark, sf_dir):
     rows = T.table_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     shape = T.table_shape(F.col("block"))
-    return rows.select("doc_id", "run_no", "n_lines", "is_table", shape["n_rows"].alias("n_rows"), shape["n_cols"].alias("n_cols"), F.size(T.table_parts(F.col("block"))).alias("parts"))
+    return rows.select("doc_id", F.col("run_no").cast("long").alias("run_no"), "n_lines", "is_table", shape["n_rows"].cast("long").alias("n_rows"), shape["n_cols"].cast("long").alias("n_cols"), F.size(T.table_parts(F.col("block"))).cast("long").alias("parts"))
 
 
 @query(
-    """WITH a AS (SELECT page_id, url, html FROM pages),
-b AS (SELECT page_id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g'), '(?is)<(script|style|nav|footer|header|head)\\b.*?</(script|style|nav|footer|header|head)\\s*>', ' ', 'g') AS x FROM a),
-c AS (SELECT page_id, url, title, regexp_replace(x, '(?s)<[^>]*>', '\n', 'g') AS x FROM b),
-d AS (SELECT page_id, url, title, replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS x FROM c),
-e AS (SELECT page_id, url, title, array_to_string(list_filter(list_transform(string_split(x, '\n'), lambda l: regexp_replace(l, '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g')), lambda l: l <> ''), '\n') AS x FROM d)
-SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1)) AS host, CASE WHEN regexp_matches(lower(url), '^[a-z]+://([^/:?#]*\\.)?(youtube\\.com|youtu\\.be)([/:?#]|$)') THEN 'youtube' WHEN regexp_matches(lower(url), '^[a-z]+://([^/:?#]*\\.)?instagram\\.com([/:?#]|$)') THEN 'instagram' WHEN regexp_matches(lower(url), '^[a-z]+://([^/:?#]*\\.)?aparat\\.com([/:?#]|$)') THEN 'aparat' ELSE 'generic' END AS provider,
- sha1(substring(x, 1, 20000)) AS text_sha1, least(length(x), 20000)::BIGINT AS n_chars FROM e"""
+    """WITH p AS (SELECT page_id, url, i, x, lower(regexp_extract(x, '^/?[A-Za-z][A-Za-z0-9]*')) AS tag FROM (SELECT page_id, url, unnest(range(len(string_split(html, '<')))) AS i, unnest(string_split(html, '<')) AS x FROM pages)),
+r AS (SELECT *, sum(CASE WHEN tag IN ('script', 'style') THEN 1 WHEN tag IN ('/script', '/style') THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS raw FROM p),
+d AS (SELECT *, sum(CASE WHEN raw > 0 THEN 0 WHEN tag IN ('nav', 'footer', 'header') THEN 1 WHEN tag IN ('/nav', '/footer', '/header') THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM r),
+t AS (SELECT page_id, url, i, tag, replace(replace(replace(replace(CASE WHEN i = 0 THEN x WHEN x LIKE '!--%' THEN substring(x, strpos(x, '-->') + 3) ELSE substring(x, strpos(x, '>') + 1) END, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS said FROM d WHERE raw = 0 AND depth = 0),
+l AS (SELECT page_id, url, i, tag, unnest(range(len(string_split(said, chr(10))))) AS j, trim(unnest(string_split(said, chr(10))), E' \t\r\u00a0') AS line FROM t),
+b AS (SELECT page_id, url, substring(string_agg(line, chr(10) ORDER BY i, j), 1, 20000) AS body, min(CASE WHEN tag = 'title' THEN line END) AS title FROM l WHERE line <> '' GROUP BY page_id, url),
+u AS (SELECT page_id, lower(split_part(split_part(split_part(url, '//', 2), '/', 1), ':', 1)) AS host, CASE WHEN title IS NOT NULL THEN title || chr(10) || body ELSE body END AS x FROM b)
+SELECT page_id, host, CASE WHEN list_contains(['youtube.com', 'youtu.be'], array_to_string(string_split(host, '.')[-2:], '.')) THEN 'youtube' WHEN array_to_string(string_split(host, '.')[-2:], '.') = 'instagram.com' THEN 'instagram' WHEN array_to_string(string_split(host, '.')[-2:], '.') = 'aparat.com' THEN 'aparat' ELSE 'generic' END AS provider, sha1(x) AS text_sha1, length(x)::BIGINT AS n_chars FROM u"""
 )
 def html_to_text(spark, sf_dir):
     rows = web.page_texts(table(spark, sf_dir, "pages"))

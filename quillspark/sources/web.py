@@ -10,8 +10,10 @@ from ..functions import text as X
 MOST_CHARS = 20_000
 # Host names by provider, and the elements whose text isn't content.
 PROVIDERS = {"youtube": ("youtube.com", "youtu.be"), "instagram": ("instagram.com",), "aparat": ("aparat.com",)}
-DROPPED = "script|style|nav|footer|header|head"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+DROPPED = ("script", "style", "nav", "footer", "header")
+ENTITIES = (("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+LINE_ENDS = "[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
+MOST_HTML = 2 * 1024 * 1024  # characters of a page that are read
 
 
 def host(url: Column) -> Column:
@@ -26,26 +28,47 @@ def provider(url: Column) -> Column:
     return out
 
 
+def unescaped(x: Column) -> Column:
+    """Numeric references (decimal or hexadecimal) and the listed named ones as characters."""
+    pieces = F.split(x, r"(?i)&#(?=[0-9]{1,7};|x[0-9a-f]{1,6};)")
+
+    def char(p: Column) -> Column:
+        digits = F.substring_index(p, ";", 1)
+        point = F.when(digits.rlike("(?i)^x"), F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits).cast("long")
+        return F.concat(F.decode(F.unhex(F.lpad(F.hex(F.when(point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF), point).otherwise(0xFFFD)), 8, "0")), "UTF-32"), F.substring(p, F.length(digits) + 2, F.length(p)))
+
+    x = F.when(F.contains(x, F.lit("&#")), F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(char(p))), "")).otherwise(x)
+    for name, own in ENTITIES:
+        x = F.replace(x, F.lit(name), F.lit(own))
+    return x
+
+
 def html_text(html: Column) -> Column:
-    """The content's text, a line per run between tags, blank lines dropped; 20,000 characters at most, as the feature says."""
-    x = F.regexp_replace(X.empty(html), r"(?is)<!--.*?-->", " ")
-    x = F.regexp_replace(x, rf"(?is)<({DROPPED})\b.*?</({DROPPED})\s*>", " ")
-    x = F.regexp_replace(x, r"(?s)<[^>]*>", "\n")
-    for name, char in ENTITIES:
-        x = F.replace(x, F.lit(name), F.lit(char))
-    lines = F.filter(F.transform(F.split(x, "\n"), lambda line: F.regexp_replace(line, r"^[ \t\r]+|[ \t\r]+$", "")), lambda line: line != "")
-    return F.substring(F.array_join(lines, "\n"), 1, MOST_CHARS)
+    """The page's text, a line per run between tags, blank lines dropped; 20,000 characters at most, as the feature says.
+
+    Elements whose text isn't content go whole, each up to its own end tag, scripts first (their text may hold tags); one that is
+    never closed takes the rest.
+    """
+    x = F.substring(X.empty(html), 1, MOST_HTML)
+    for name in DROPPED:
+        x = F.regexp_replace(x, rf"(?is)<{name}(?=[\s/>]).*?(?:</{name}\s*>|\z)", "\n")
+        if name == "style":
+            x = F.regexp_replace(x, r"(?s)<!--.*?-->", "\n")
+    lines = F.split(unescaped(F.regexp_replace(x, r"(?s)<[^>]*>", "\n")), LINE_ENDS)
+    return F.substring(F.array_join(F.filter(F.transform(lines, X.strip), lambda line: line != ""), "\n"), 1, MOST_CHARS)
 
 
 def html_title(html: Column) -> Column:
-    return X.strip(F.regexp_extract(X.empty(html), r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return X.strip(unescaped(F.regexp_extract(X.empty(html), r"(?is)<title(?=[\s>])[^>]*>(.*?)</title", 1)))
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, provider, title, text) of (page_id, url, html). The title is the element's, else the first line."""
-    rows = pages.select("page_id", "url", host(F.col("url")).alias("host"), provider(F.col("url")).alias("provider"), html_title(F.col("html")).alias("__t"), html_text(F.col("html")).alias("text"))
-    first = F.substring(F.substring_index("text", "\n", 1), 1, 300)
-    return rows.withColumn("title", F.when(F.col("__t") != "", F.col("__t")).otherwise(first)).drop("__t")
+    """(page_id, url, host, provider, title, text) of (page_id, url, html): the title's line, if there is a title, then the body.
+    Without a title element the first line is the title."""
+    rows = pages.select("page_id", "url", host(F.col("url")).alias("host"), provider(F.col("url")).alias("provider"), html_title(F.col("html")).alias("__t"), html_text(F.col("html")).alias("__b"))
+    text = F.when((F.col("__t") != "") & (F.col("__b") != ""), F.concat_ws("\n", "__t", "__b")).otherwise(F.col("__b"))
+    first = F.substring(F.substring_index("__b", "\n", 1), 1, 300)
+    return rows.select("page_id", "url", "host", "provider", F.when(F.col("__t") != "", F.col("__t")).otherwise(first).alias("title"), text.alias("text"))
 
 
 def open_graph(html: Column, name: str) -> Column:
