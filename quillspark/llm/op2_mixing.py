@@ -3,8 +3,8 @@
 Temperature mixing: source s, with the share p of all tokens, gets the weight q ~ p ** alpha. alpha in [0, 1] is
 found by bisection: the entropy of q falls and the repetition of small sources shrinks as alpha grows, so alpha is
 the larger of the one that meets the target entropy (a share of the greatest possible, the log of the number of
-sources) and the one that meets the repetition limit; 1 where the corpus is even enough as it is. Every step of the
-bisection is an aggregate over the sources that returns a few sums.
+sources) and the one that meets the repetition limit, how often the most repeated source may be used; 1 where the corpus
+is even enough as it is. Every step of the bisection is an aggregate over the sources that returns a few sums.
 
 The weights are then realised as budgeted block permutations. A source's budget is budget * q tokens; by default
 `budget` is the least with which every document is used at least once. Each epoch of a source is an own
@@ -82,7 +82,7 @@ def bisect(sources: DataFrame, target: float) -> float:
 
 def least_alpha(spread: float, max_repeats: float) -> float:
     """The least alpha with (largest share / smallest share) ** (1 - alpha) <= max_repeats, by bisection. spread: log of
-    that ratio. It bounds how often the most repeated source is used for one use of the least repeated one."""
+    that ratio. With the default budget, which uses the least repeated source once, it bounds the uses of every source."""
     lo, hi = 0.0, 1.0
     if spread <= math.log(max_repeats):
         return 0.0
@@ -92,6 +92,28 @@ def least_alpha(spread: float, max_repeats: float) -> float:
     return hi
 
 
+def repeats(sources: DataFrame, alphas: list[float], scale: float) -> list[float]:
+    """How often the most repeated source, the smallest, is used for each alpha: scale times its weight over its share, with
+    scale the budget over all tokens. One pass, two sums an alpha."""
+    p = F.col("share")
+    row = sources.filter("share > 0").agg(F.min(p).alias("least"), *[F.sum(F.pow(p, F.lit(a))).alias(f"z{i}") for i, a in enumerate(alphas)]).first()
+    return [scale * row["least"] ** (a - 1) / row[f"z{i}"] for i, a in enumerate(alphas)]
+
+
+def budget_alpha(sources: DataFrame, scale: float, max_repeats: float) -> float:
+    """The least alpha at which no source is used more than max_repeats times under a given budget, by bisection; 1, the even
+    use of all sources, where the budget alone asks for more."""
+    lo, hi = 0.0, 1.0
+    first, last = repeats(sources, [0.0, 1.0], scale)
+    if first <= max_repeats or last > max_repeats:
+        return 0.0 if first <= max_repeats else 1.0
+    for _ in range(HALVINGS // AT_ONCE):
+        n = 2**AT_ONCE
+        over = sum(r > max_repeats for r in repeats(sources, [lo + (hi - lo) * k / n for k in range(1, n)], scale))
+        lo, hi = lo + (hi - lo) * over / n, lo + (hi - lo) * (over + 1) / n
+    return hi
+
+
 def source_weights(counts: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS, budget: float | None = None) -> tuple[DataFrame, float, int]:
     """(key, tokens, docs, share, weight, target) of each source, the budget in tokens, and the number of sources."""
     sources = checkpointed(counts.groupBy("key").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
@@ -100,7 +122,8 @@ def source_weights(counts: DataFrame, target_entropy: float = TARGET_ENTROPY, ma
     if not seen["t"]:
         return sources.select("key", "tokens", "docs", F.lit(0.0).alias("share"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("target")), 0.0, seen["n"]
     sources = sources.withColumn("share", F.col("tokens") / F.lit(float(seen["t"])))
-    alpha = max(bisect(sources, target_entropy * math.log(seen["full"])), least_alpha(math.log(seen["hi"] / seen["lo"]), max_repeats))
+    limit = least_alpha(math.log(seen["hi"] / seen["lo"]), max_repeats) if budget is None else budget_alpha(sources, budget / seen["t"], max_repeats)
+    alpha = max(bisect(sources, target_entropy * math.log(seen["full"])), limit)
     raw = F.when(F.col("tokens") > 0, F.pow("share", F.lit(alpha))).otherwise(F.lit(0.0))
     sums = sources.agg(F.sum(raw).alias("z"), F.max(F.when(F.col("tokens") > 0, F.col("tokens") / raw)).alias("most")).first()
     tokens = float(budget) if budget is not None else sums["most"] * sums["z"]

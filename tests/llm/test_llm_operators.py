@@ -450,10 +450,43 @@ def test_mixing_meets_its_targets(spark):
             assert max(per) - min(per) <= 90
     short = rows_of(op2_mixing.mix(df, 0.7, 1e9, budget=2000, block_tokens=500))
     assert abs(sum(r["n_tokens"] for r in short) - 2000) < 250
+    for budget in (20_000, 2 * total, 10 * total):  # the last asks for more than the limit: all sources alike
+        got = rows_of(op2_mixing.mix(df, 0.95, 3.0, budget=budget, block_tokens=5000))
+        weight = {r["source"]: r["weight"] for r in got}
+        uses = {s: budget * weight[s] / words[s] for s in full}
+        assert max(uses.values()) <= max(3.0, budget / total) + 1e-6
     assert op2_mixing.mix(df.limit(0)).count() == 0
     assert op2_mixing.mix(df.filter("source = 'empty'")).count() == 3
 
 
+def test_mixing_query_on_real_rows(spark, real):
+    """The query's weights against temperature mixing by hand, and every document used the right number of times."""
+    rows = [(r["doc_id"], r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in rows_of(real)]
+    tokens = defaultdict(int)
+    for _, s, n in rows:
+        tokens[s] += n
+    total = sum(tokens.values())
+
+    def weights(a):
+        raw = {s: (n / total) ** a for s, n in tokens.items() if n}
+        return {s: x / sum(raw.values()) for s, x in raw.items()}
+
+    even = lambda a: -sum(x * math.log(x) for x in weights(a).values()) >= 0.95 * math.log(len(weights(a)))
+    tame = lambda a: (max(tokens.values()) / min(n for n in tokens.values() if n)) ** (1 - a) <= 4
+    grid = [k / 100_000 for k in range(100_001)]
+    best = max(max((a for a in grid if even(a)), default=0), min(a for a in grid if tame(a)))
+    want = weights(best)
+    got = rows_of(q.op2_mixed_sources(spark, SF))
+    assert all(abs(r["weight"] - want[r["source"]]) < 1e-3 for r in got if r["source"] in want)
+    used = defaultdict(int)
+    for r in got:
+        used[r["doc_id"]] += 1
+    budget = max(n / want[s] for s, n in tokens.items() if n)
+    for i, s, _ in rows:
+        n = budget * want[s] / tokens[s]
+        assert math.floor(n - 0.01) <= used[i] <= math.ceil(n + 0.01) and used[i] >= 1
+
+
 # --- all together
 
 
