@@ -35,6 +35,8 @@ BITS = 256
 PERIOD = 4096  # steps after which the walk's random bits repeat
 BANDS, BAND_BITS = 32, 14
 LONGEST = 1 << 48
+WIDTH = 128
+LEAST = 0.8
 
 
 class Walk:
@@ -99,8 +101,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return max(0.0, 2 * float((a == b).mean()) - 1)
 
 
-def shared_bands(a: np.ndarray, b: np.ndarray) -> int:
-    return int((a[BAND_AT] == b[BAND_AT]).all(axis=1).sum())
+def found(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
+    """Whether two fingerprints share a band and are alike by `least`."""
+    return bool((a[BAND_AT] == b[BAND_AT]).all(axis=1).any()) and likeness(a, b) >= least
 
 
 BAND_AT = np.stack([np.random.default_rng(1000 + k).permutation(BITS)[:BAND_BITS] for k in range(BANDS)])
@@ -124,6 +127,17 @@ def with_fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "fing
     return with_text_columns(df, text_col, [T.StructField(out_col, T.StringType())], make)
 
 
+def part_of(doc_id: F.Column, bounds: list[int]) -> F.Column:
+    """How many bounds lie below an id, 0 for null: found among every WIDTH-th bound, then among those between two of them."""
+    if not bounds:
+        return F.lit(0)
+    below = lambda held: F.size(F.filter(held, lambda b: b < doc_id))
+    groups = [bounds[i : i + WIDTH] for i in range(0, len(bounds), WIDTH)]
+    group = F.greatest(below(F.array(*[F.lit(g[0]) for g in groups])) - 1, F.lit(0))
+    fine = F.array(*[F.array(*map(F.lit, g)) for g in groups])
+    return F.coalesce(F.when(doc_id.isNull(), 0), group * WIDTH + below(F.get(fine, group)))
+
+
 def next_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(part, last, doc_id, text) dealt to partitions by id and sorted: rows of a part in order, then, with last = 1, the
     row that follows them. One shuffle of the texts; bounds and first ids are bounded by the number of parts."""
@@ -133,29 +147,25 @@ def next_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cuts = [k / parts for k in range(1, parts)]
     bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", cuts, 10 * max(1000, parts)).alias("b")).first()["b"] or [])) if cuts else []
 
-    def part(doc_id):
-        if not bounds:
-            return F.lit(0)
-        return F.coalesce(F.when(doc_id.isNull(), 0), F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < doc_id)))
-
-    heads = {r["part"]: r["first"] for r in rows.select(part(F.col("doc_id")).alias("part"), "doc_id").groupBy("part").agg(F.when(F.max(F.col("doc_id").isNull()), None).otherwise(F.min("doc_id")).alias("first")).collect()}
+    own = rows.withColumn("part", part_of(F.col("doc_id"), bounds))
+    first = F.when(F.max(F.col("doc_id").isNull()), None).otherwise(F.min("doc_id")).alias("first")
+    heads = {r["part"]: r["first"] for r in own.groupBy("part").agg(first).collect()}
     used = sorted(heads)
-    before = {p: used[k - 1] for k, p in enumerate(used)}
-    sends = F.lit(None).cast("int")
-    for p in used:
-        sends = F.when((F.col("part") == p) & F.col("doc_id").eqNullSafe(F.lit(heads[p]).cast("long")), before[p]).otherwise(sends)
-    own = rows.withColumn("part", part(F.col("doc_id")))
+    # a row for each part that has rows: its first id, and the part ahead, whose last row that id follows
+    table = spark.createDataFrame([(p, heads[p], used[k - 1]) for k, p in enumerate(used)], "part int, first long, ahead int")
+    sends = F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.col("ahead"))
+    own = own.join(F.broadcast(table), "part")
     both = own.select(F.explode(F.array(F.struct("part", F.lit(0).alias("last")), F.struct(sends.alias("part"), F.lit(1).alias("last")))).alias("to"), "doc_id", "text").filter("to.part is not null")
     return both.select("to.part", "to.last", "doc_id", "text").repartitionById(parts, F.col("part")).sortWithinPartitions("part", "last", F.col("doc_id").asc_nulls_first(), "text")
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bands_edited long, bands_next long"
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, found_edited boolean, found_next boolean"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row its fingerprint, that of its edited text (the last quarter replaced by the first as many code
-    points of the next row's text), their likeness, the next row's, and how many bands each pair shares."""
+    points of the next row's text), their likeness, the next row's, and whether the search would find each pair: banding, then verification."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walk = None
@@ -174,7 +184,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 edited_bits = walk.print_of(np.concatenate([classes[: n - q], tail]), moved)
             else:
                 edited_bits = bits
-            return dict(zip(NAMES, (doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), packed(bits), packed(edited_bits), likeness(bits, edited_bits), likeness(bits, after_bits), shared_bands(bits, edited_bits), shared_bands(bits, after_bits)), strict=True))
+            return dict(zip(NAMES, (doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), packed(bits), packed(edited_bits), likeness(bits, edited_bits), likeness(bits, after_bits), found(bits, edited_bits), found(bits, after_bits)), strict=True))
 
         for batch in batches:
             walk = walk or Walk()
@@ -194,14 +204,15 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return next_in_order(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 
 
-ARROW = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[k]) for n, k in (x.split() for x in SCHEMA.split(", "))])
+ARROW = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}[k]) for n, k in (x.split() for x in SCHEMA.split(", "))])
 
 
-def near_matches(queries: DataFrame, docs: DataFrame, least: float = 0.8, max_edit_share: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_matches(queries: DataFrame, docs: DataFrame, least: float = LEAST, max_edit_share: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, doc_id, near): pairs whose fingerprints share a band and are alike by `least` or more.
 
     Bands join different fingerprints only; copies come back by membership. With max_edit_share the texts' edit
-    distance is verified as well, as a share of the longer one's length.
+    distance is verified as well, as a share of the longer one's length. Rows with a null id are searched and found like others;
+    a row isn't a match of its own id. Empty texts, null included, are alike; a result column takes no input column along.
     """
 
     def keyed(df, name):
@@ -216,7 +227,7 @@ def near_matches(queries: DataFrame, docs: DataFrame, least: float = 0.8, max_ed
     near = F.greatest(F.lit(0.0), 1 - 2 * sum(words[1:], words[0]) / F.lit(BITS))
     pairs = q.join(d, "band").select("a", "b").distinct().withColumn("near", near).filter(F.col("near") >= least)
     q_rows = q_rows.select("a", F.col("id").alias("query_id"), F.col("text").alias("query_text"))
-    out = pairs.join(q_rows, "a").join(d_rows.select("b", F.col("id").alias("doc_id"), "text"), "b").filter("query_id <> doc_id")
+    out = pairs.join(q_rows, "a").join(d_rows.select("b", F.col("id").alias("doc_id"), "text"), "b").filter("not query_id <=> doc_id or query_id is null")
     if max_edit_share is not None:
         longer = F.greatest(F.length("query_text"), F.length("text"))
         out = out.filter(F.levenshtein("query_text", "text") <= max_edit_share * longer)
