@@ -30,14 +30,14 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                 parsed = op3_chat.parse(formatted)
                 starts, ends, mask = (np.array(x.values.to_numpy(zero_copy_only=False)) for x in (starts, ends, mask))
                 loss = op3_chat.loss_text(formatted, starts, ends, mask)
-                rows.append({"conv_id": conv_id, "n_turns": len(parsed), "turns_sha256": sha("".join(f"{r}\n{t}\n" for r, t in parsed)), "loss_chars": len(loss), "loss_sha256": sha(loss), "formatted_chars": len(formatted), "n_tokens": len(mask), "n_loss_tokens": int(mask.sum())})
+                rows.append({"conv_id": conv_id, "n_turns": len(parsed), "turns_sha256": sha("".join(f"{r}\n{t}\n" for r, t in parsed)), "loss_chars": len(loss), "loss_sha256": sha(loss), "formatted_chars": len(formatted)})
             yield pa.RecordBatch.from_pylist(rows, schema=OP3)
 
-    kind = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long"
+    kind = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return op3_chat.format_chats(turns.unionByName(own), finish=digest, finish_schema=kind)
 
 
-OP3 = pa.schema([(n, pa.string() if n.endswith("sha256") else pa.int64()) for n in ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "n_loss_tokens")])
+OP3 = pa.schema([(n, pa.string() if n.endswith("sha256") else pa.int64()) for n in ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")])
 
 
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,4 +118,53 @@ QUERIES = {
         op10_secret_scan,
     )
 }
-ORACLES: dict[str, str] = {}
+
+
+def escaped(x: str) -> str:
+    return f"replace(replace(coalesce({x}, ''), '<\\', '<\\\\'), '<|', '<\\|')"
+
+
+OP3_SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+ coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+ sum(length('<|im_start|>' || {escaped("role")} || '<|im_sep|>' || {escaped("text")} || '<|im_end|>'))::BIGINT AS formatted_chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+
+WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP7_SQL = f"""WITH i AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark WHERE item_id IS NOT NULL), iw AS (SELECT item_id, w, least(13, len(w)) AS n FROM i WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[j : j + n - 1], ' ') AS k FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS j FROM iw)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents),
+dw AS (SELECT r, n, j, array_to_string(w[j : j + n - 1], ' ') AS k FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS j FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+met AS (SELECT r, n, j, item_id FROM dw JOIN win USING (n, k)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(j, j + n)) AS p FROM (SELECT DISTINCT r, n, j FROM met)) GROUP BY r),
+own AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM met) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated FROM d LEFT JOIN hit USING (r) LEFT JOIN own USING (r)"""
+
+
+def either_case(words: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+#: kind, pattern, characters of the match that are context alone, and what a match must pass; by kind as listed
+SECRET_RULES = (
+    ("assign", "(" + either_case("password|passwd|secret|token|api_?key") + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 0, "length(v) >= 6"),
+    ("access", "AKIA[A-Z0-9]+", 0, "length(m) >= 20"),
+    ("hex", "[0-9a-f]+", 0, "length(m) >= 24"),
+    ("pem", "-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", 0, "true"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, "true"),
+    ("url", r"://[A-Za-z0-9._-]{1,64}:[^\s:@/]{3,128}@", 3, "true"),
+)
+OP10_SQL = (
+    "WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), f AS ("
+    + " UNION ALL ".join(
+        f"""SELECT r, {no} AS no, '{kind}' AS kind, pos + {skip} AS start, pos + length(m) AS till FROM (SELECT r, m, v, sum(length(g) + length(m)) OVER (PARTITION BY r ORDER BY i) - length(m) AS pos FROM
+ (SELECT r, unnest(range(len(ms))) AS i, unnest(ms) AS m, unnest(vs) AS v, unnest(gaps[1 : len(ms)]) AS g FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS ms, regexp_extract_all(t, '{pattern}', {2 if kind == "assign" else 0}) AS vs, string_split_regex(t, '{pattern}') AS gaps FROM d))) WHERE {passes}"""
+        for no, (kind, pattern, skip, passes) in enumerate(SECRET_RULES)
+    )
+    + """), s AS (SELECT r, count(CASE WHEN no = 0 THEN 1 END) AS n_assign, count(CASE WHEN no = 1 THEN 1 END) AS n_access, count(CASE WHEN no = 2 THEN 1 END) AS n_hex,
+ string_agg(CASE WHEN no < 3 THEN kind || ':' || start || ':' || till END, ',' ORDER BY start, no) AS base, string_agg(kind || ':' || start || ':' || till, ',' ORDER BY start, no) AS spans FROM f GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (r)"""
+)
+
+ORACLES: dict[str, str] = {"op3_chat_format": OP3_SQL, "op7_decontaminated": OP7_SQL, "op10_secret_scan": OP10_SQL}
