@@ -36,13 +36,15 @@ PERIOD = 4096  # steps after which the walk's random bits repeat
 BANDS, BAND_BITS = 32, 14
 LONGEST = 1 << 48
 WIDTH = 128
-LEAST = 0.8
+SEED = 20240229
+WALKS = 3  # a walk falls out of step for good after one edit of ten in a text of 600 characters; a search takes several
+LEAST = 0.7  # a pair this alike shares a band with probability 0.96
 
 
 class Walk:
     """The randomness that all texts share, from one seed."""
 
-    def __init__(self, seed: int = 20240229):
+    def __init__(self, seed: int = SEED):
         rng = np.random.default_rng(seed)
         moves = rng.integers(0, 2, (PERIOD, 256), dtype=np.uint8)
         stay = np.ones((PERIOD, 256), np.int64)
@@ -109,11 +111,11 @@ def found(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
 BAND_AT = np.stack([np.random.default_rng(1000 + k).permutation(BITS)[:BAND_BITS] for k in range(BANDS)])
 
 
-def with_fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
+def with_fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "fingerprint", seed: int = SEED) -> DataFrame:
     """Adds the fingerprint of each whole text as hex digits; no shuffle."""
 
     def make():
-        walk = Walk()
+        walk = Walk(seed)
 
         def compute(texts):
             out = []
@@ -207,28 +209,31 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 ARROW = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}[k]) for n, k in (x.split() for x in SCHEMA.split(", "))])
 
 
-def near_matches(queries: DataFrame, docs: DataFrame, least: float = LEAST, max_edit_share: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(query_id, doc_id, near): pairs whose fingerprints share a band and are alike by `least` or more.
+def near_matches(queries: DataFrame, docs: DataFrame, least: float = LEAST, max_edit_share: float | None = None, id_col: str = "doc_id", text_col: str = "text", walks: int = WALKS) -> DataFrame:
+    """(query_id, doc_id, near): pairs whose fingerprints, by one of `walks` independent walks, share a band and are alike by
+    `least` or more; near is the greatest likeness.
 
     Bands join different fingerprints only; copies come back by membership. With max_edit_share the texts' edit
     distance is verified as well, as a share of the longer one's length. Rows with a null id are searched and found like others;
-    a row isn't a match of its own id. Empty texts, null included, are alike; a result column takes no input column along.
+    a row isn't a match of its own id. Empty texts, null included, are alike; other columns, whatever their names, stay behind.
     """
 
-    def keyed(df, name):
-        rows = with_fingerprint(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).withColumnRenamed("fingerprint", name)
+    def banded(rows: DataFrame, name: str) -> DataFrame:
         bits = F.concat(*[F.lpad(F.conv(F.substring(name, 1 + 8 * i, 8), 16, 2), 32, "0") for i in range(BITS // 32)])
         bands = [F.concat_ws(":", F.lit(str(k)), F.concat(*[F.substring("bits", int(i) + 1, 1) for i in at])) for k, at in enumerate(BAND_AT)]
-        return rows, rows.select(name).distinct().withColumn("bits", bits).select(name, F.explode(F.array(*bands)).alias("band"))
+        return rows.select(name).distinct().withColumn("bits", bits).select(name, F.explode(F.array(*bands)).alias("band"))
 
-    q_rows, q = keyed(queries, "a")
-    d_rows, d = keyed(docs, "b")
     words = [F.bit_count(F.conv(F.substring("a", 1 + 8 * i, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("b", 1 + 8 * i, 8), 16, 10).cast("long"))) for i in range(BITS // 32)]
     near = F.greatest(F.lit(0.0), 1 - 2 * sum(words[1:], words[0]) / F.lit(BITS))
-    pairs = q.join(d, "band").select("a", "b").distinct().withColumn("near", near).filter(F.col("near") >= least)
-    q_rows = q_rows.select("a", F.col("id").alias("query_id"), F.col("text").alias("query_text"))
-    out = pairs.join(q_rows, "a").join(d_rows.select("b", F.col("id").alias("doc_id"), "text"), "b").filter("not query_id <=> doc_id or query_id is null")
-    if max_edit_share is not None:
-        longer = F.greatest(F.length("query_text"), F.length("text"))
-        out = out.filter(F.levenshtein("query_text", "text") <= max_edit_share * longer)
-    return out.select("query_id", "doc_id", "near")
+    q_texts, d_texts = (df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) for df in (queries, docs))
+    union = None
+    for walk in range(walks):
+        q_rows, d_rows = with_fingerprint(q_texts, "text", "a", SEED + walk), with_fingerprint(d_texts, "text", "b", SEED + walk)
+        pairs = banded(q_rows, "a").join(banded(d_rows, "b"), "band").select("a", "b").distinct().withColumn("near", near).filter(F.col("near") >= least)
+        out = pairs.join(q_rows.select("a", F.col("id").alias("query_id"), F.col("text").alias("query_text")), "a").join(d_rows.select("b", F.col("id").alias("doc_id"), "text"), "b")
+        out = out.filter("not query_id <=> doc_id or query_id is null")
+        if max_edit_share is not None:
+            out = out.filter(F.levenshtein("query_text", "text") <= max_edit_share * F.greatest(F.length("query_text"), F.length("text")))
+        out = out.select("query_id", "doc_id", "near")
+        union = out if union is None else union.unionByName(out)
+    return union.groupBy("query_id", "doc_id").agg(F.max("near").alias("near"))

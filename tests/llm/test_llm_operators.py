@@ -274,12 +274,25 @@ def test_fingerprints(docs, real):
     assert op4_fingerprint.fingerprint_edits(real.limit(0)).count() == 0
 
 
-def test_fingerprint_search_recall(spark, real):
-    base = [(r["doc_id"], r["text"]) for r in rows_of(real.filter("length(text) > 600").dropDuplicates(["text"]).limit(60))]
-    near = [(i + 10_000, t[:300] + "zq" + t[300:]) for i, t in base]  # an insertion shifts all that follows
-    all_ = spark.createDataFrame(base + near, "doc_id long, text string")
-    got = {(r["query_id"], r["doc_id"]) for r in op4_fingerprint.near_matches(spark.createDataFrame(base, "doc_id long, text string"), all_, 0.5, 0.05).collect()}
-    assert len([1 for i, _ in base if (i, i + 10_000) in got]) >= 0.9 * len(base)
+@pytest.mark.parametrize("kind", ["insertion", "deletion", "replacement"])
+def test_fingerprint_search_recall(spark, real, kind):
+    """Ids divisible by 100 against all rows, at the default parameters: nine of ten texts a few edits away are found."""
+    edits = {"insertion": lambda t, i: t[:i] + "zq" + t[i:], "deletion": lambda t, i: t[:i] + t[i + 2 :], "replacement": lambda t, i: t[:i] + "zq" + t[i + 2 :]}
+    texts = sorted({r["text"] for r in rows_of(real.filter("length(text) > 600"))})[:80]
+    base = [(i * 100, t) for i, t in enumerate(texts)]
+    near = [(i + 1, edits[kind](edits[kind](t, len(t) // 3), len(t) // 2)) for i, t in base]
+    all_ = spark.createDataFrame(base + near + [(None, texts[0]), (7, ""), (8, None)], "doc_id long, text string").withColumn("near", F.lit("clash"))
+    queries = all_.filter("doc_id % 100 = 0 or doc_id is null or doc_id = 7")
+    got = {(r["query_id"], r["doc_id"]): r["near"] for r in op4_fingerprint.near_matches(queries, all_).collect()}
+    assert len([1 for i, _ in base if (i, i + 1) in got]) >= 0.9 * len(base)
+    assert got[None, 0] == got[0, None] == got[7, 8] == 1.0
+    brute = set()
+    for seed in range(op4_fingerprint.WALKS):
+        walk = op4_fingerprint.Walk(op4_fingerprint.SEED + seed)
+        bits = lambda t: walk.print_of(op4_fingerprint.classes_of(t), walk.steps(op4_fingerprint.classes_of(t)))  # noqa: B023, E731
+        prints = {i: bits(t) for i, t in base + near}
+        brute |= {(i, j) for i, _ in base for j in prints if i != j and op4_fingerprint.likeness(prints[i], prints[j]) >= op4_fingerprint.LEAST}
+    assert len(brute & set(got)) >= 0.9 * len(brute) and {p for p in got if None not in p and 7 not in p} <= brute
 
 
 # --- 6, 8, 1
