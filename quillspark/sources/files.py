@@ -6,10 +6,11 @@ generators in mapInPandas (no built-in reader knows them). A file is the unit of
 
 from __future__ import annotations
 
+import datetime
 import io
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -38,6 +39,7 @@ MAGIC = {"25504446": "application/pdf", "504B0304": "application/zip", "89504E47
 MOST_BYTES = 50 * 1024 * 1024
 MOST_SHEETS, MOST_ROWS = 50, 200_000
 SEPARATORS = ",;|\t"
+SNIFFED, SNIFFED_LINES = 65_536, 2_000
 
 
 def valid_type(kind: Column, filename: Column) -> Column:
@@ -78,18 +80,33 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def separator(head: str) -> str:
-    """The separator that the first line has most often."""
-    line = next((x for x in head.lstrip("﻿").splitlines() if x.strip()), "")
-    return max(SEPARATORS, key=lambda s: (line.count(s), -SEPARATORS.index(s)))
-
-
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings under sanitised names; the separator is told from the first line alone, cells are stripped."""
-    first = spark.read.text(path).limit(5).collect()
-    head = "\n".join(r["value"] for r in first)
-    df = spark.read.option("header", "true").option("sep", separator(head)).option("ignoreLeadingWhiteSpace", "true").option("ignoreTrailingWhiteSpace", "true").csv(path)
+    """The separator that splits the head's lines most evenly: it is in the most lines, as often in each; then the most often.
+    Quoted parts don't count."""
+    lines = [re.sub(r'"[^"]*"', "", x) for x in head.lstrip("﻿").splitlines() if x.strip()]
+
+    def fit(sep: str) -> tuple:
+        counts = [x.count(sep) for x in lines]
+        usual = max(set(counts), key=lambda n: (counts.count(n), n), default=0)
+        return usual > 0, counts.count(usual) if usual else 0, usual, -SEPARATORS.index(sep)
+
+    return max(SEPARATORS, key=fit)
+
+
+def read_delimited(spark: SparkSession, path: str, quoted_lines: bool = True) -> DataFrame:
+    """All columns as strings under sanitised names; the separator is told from the first SNIFFED bytes of lines, cells are
+    stripped. With quoted_lines a quoted cell may go over several lines, whose ends are dropped, and a task reads a whole file;
+    without, large files are split among tasks."""
+    head, held = [], 0
+    for row in spark.read.text(path).limit(SNIFFED_LINES).toLocalIterator():
+        held += len(row["value"])
+        if held > SNIFFED:
+            break
+        head.append(row["value"])
+    options = {"header": "true", "sep": separator("\n".join(head)), "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "multiLine": str(quoted_lines).lower(), "escape": '"'}
+    df = spark.read.options(**options).csv(path)
     names = header_names([c.lstrip("﻿") if not re.fullmatch(r"_c\d+", c) else "" for c in df.columns])
-    return df.toDF(*(names + [f"_extra_{i}" for i in range(len(names), len(df.columns))])).select(*names).dropna("all")
+    whole = df.toDF(*(names + [f"_extra_{i}" for i in range(len(names), len(df.columns))])).select(*names)
+    return whole.select(*[F.regexp_replace(c, "[\r\n]+", "").alias(c) for c in names]).dropna("all")
 
 
 def _tag(node) -> str:
@@ -122,17 +139,45 @@ def pptx_pages(content: bytes) -> Iterator[tuple[int, str]]:
             yield i, "\n".join(t for p in root.iter() if _tag(p) == "p" and (t := _said(p)).strip())
 
 
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    """The numbers of cell styles that show dates: a built-in date format, or an own one with a day, month or year."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    root = ElementTree.fromstring(book.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\[[^\]]*\]', "", f.get("formatCode", "")).lower() for f in root.iter() if _tag(f) == "numFmt"}
+    formats = [int(x.get("numFmtId", "0")) for table in root if _tag(table) == "cellXfs" for x in table]
+    return {i for i, n in enumerate(formats) if 14 <= n <= 22 or re.search("[dmyh]", own.get(n, ""))}
+
+
+def _cell(cell, value: str | None, shared: list[str], dates: set[int]) -> str | None:
+    """A cell's value as text; booleans as true and false, dates in ISO form (days since the end of 1899)."""
+    kind = cell.get("t")
+    if kind == "inlineStr":
+        return _said(cell)
+    if value is None:
+        return None
+    if kind == "s":
+        return shared[int(value)]
+    if kind == "b":
+        return "true" if value == "1" else "false"
+    if kind in (None, "n") and int(cell.get("s", "0")) in dates:
+        return (datetime.datetime(1899, 12, 30) + datetime.timedelta(days=float(value))).isoformat(sep=" ", timespec="seconds")
+    return value
+
+
 def xlsx_rows(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
     """(sheet, row number, cells) of a workbook; raises beyond 50 sheets or 200,000 rows of a sheet."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
         shared = [_said(si) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
         book = ElementTree.fromstring(z.read("xl/workbook.xml"))
-        titles = [s.get("name") for s in book.iter() if _tag(s) == "sheet"]
-        files = sorted((int(m[1]), n) for n in names if (m := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n)))
-        if len(files) > MOST_SHEETS:
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        sheets = [(s.get("name"), targets[next(v for k, v in s.attrib.items() if k.endswith("}id"))]) for s in book.iter() if _tag(s) == "sheet"]
+        dates = _date_styles(z)
+        if len(sheets) > MOST_SHEETS:
             raise ValueError(f"more than {MOST_SHEETS} sheets")
-        for title, (_, name) in zip(titles, files, strict=False):
+        for title, target in sheets:
+            name = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
             n = 0
             for _, row in ElementTree.iterparse(io.BytesIO(z.read(name))):
                 if _tag(row) != "row":
@@ -145,7 +190,7 @@ def xlsx_rows(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
                         at = at * 26 + ord(ch) - 64
                     cells += [None] * (at - 1 - len(cells))
                     value = next((v.text for v in c if _tag(v) == "v"), None)
-                    cells.append(shared[int(value)] if c.get("t") == "s" and value is not None else _said(c) if c.get("t") == "inlineStr" else value)
+                    cells.append(_cell(c, value, shared, dates))
                 row.clear()
                 if any(x not in (None, "") for x in cells):
                     n += 1
@@ -206,3 +251,22 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
     """Golden questions (JSON lines); a line that isn't JSON fails the read."""
     kind = "question string, kb_id string, expected_sources array<string>, expected_keywords array<string>, type string"
     return spark.read.schema(kind).option("mode", "FAILFAST").json(path)
+
+
+def parse_source(spark: SparkSession, kind: str, path: str, seams: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """The files at `path` read as sources of one type. Texts, office files and tables have readers here; other types (pdf, image,
+    audio, video, url, note, youtube) go through the caller's function for that type, from binary files to rows. A type
+    that isn't known, or has no function, fails at once."""
+    if kind not in TYPES:
+        raise ValueError(f"unknown source type {kind}")
+    if seams and kind in seams:
+        return seams[kind](read_files(spark, path))
+    if kind == "txt":
+        return read_texts(spark, path).select("path", F.lit(1).alias("page_no"), "text", F.lit(None).cast("string").alias("problem"))
+    if kind in ("docx", "pptx"):
+        return {"docx": docx_texts, "pptx": pptx_texts}[kind](read_files(spark, path))
+    if kind == "excel":
+        return xlsx_cells(read_files(spark, path))
+    if kind == "csv":
+        return read_delimited(spark, path)
+    raise ValueError(f"no reader for source type {kind}: give one in seams")

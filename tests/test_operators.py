@@ -249,3 +249,32 @@ def test_reingest(spark):
     stored = spark.createDataFrame([("s1", "old"), ("s2", "kept")], "source_id string, content string")
     fresh = spark.createDataFrame([("s1", "new")], "source_id string, content string")
     assert sorted(tuple(r) for r in sinks.replaced(stored, fresh).collect()) == [("s1", "new"), ("s2", "kept")]
+
+
+def test_workbook_relations_types_and_dispatch(spark, tmp_path):
+    head = '<workbook xmlns:r="u"><sheets><sheet name="Second" r:id="b"/><sheet name="First" r:id="a"/></sheets></workbook>'
+    sheet = lambda rows: "<worksheet><sheetData>" + "".join(f"<row>{r}</row>" for r in rows) + "</sheetData></worksheet>"
+    cell = lambda r, v, more="": f'<c r="{r}" {more}><v>{v}</v></c>'
+    said = lambda r, v: f'<c r="{r}" t="inlineStr"><is><t>{v}</t></is></c>'
+    first = sheet([said("A1", "ok") + said("B1", "day") + said("C1", "n") + said("D1", "x"), cell("A2", 1, 't="b"') + cell("B2", 45292.5, 's="1"') + cell("C2", 7) + cell("D2", 1.5), cell("A3", 0, 't="b"') + cell("B3", 45293, 's="1"') + cell("C3", 8) + said("D3", "2e3")])
+    blob = io.BytesIO()
+    with zipfile.ZipFile(blob, "w") as z:
+        z.writestr("xl/workbook.xml", head)
+        z.writestr("xl/_rels/workbook.xml.rels", '<r><x Id="a" Target="worksheets/sheet2.xml"/><x Id="b" Target="/xl/worksheets/sheet1.xml"/></r>')
+        z.writestr("xl/styles.xml", '<s><numFmts><numFmt numFmtId="170" formatCode="yyyy-mm-dd"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="170"/></cellXfs></s>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet([said("A1", "other")]))
+        z.writestr("xl/worksheets/sheet2.xml", first)
+    (tmp_path / "book").mkdir()
+    (tmp_path / "book" / "b.xlsx").write_bytes(blob.getvalue())
+    cells = files.parse_source(spark, "excel", str(tmp_path / "book"))
+    rows = sorted((r["sheet"], r["row_no"], r["cells"]) for r in cells.collect())
+    assert rows[0] == ("First", 1, ["ok", "day", "n", "x"]) and rows[1][2] == ["true", "2024-01-01 12:00:00", "7", "1.5"] and rows[-1][:2] == ("Second", 1)
+    df = spark.createDataFrame([(i, *r[2]) for i, r in enumerate(rows[1:3])], "i int, ok string, day string, n string, x string").withColumn("none", F.lit(" "))
+    kinds = {r["column"]: r["dtype"] for r in tabular.infer_sheet_types(df, "i", ["ok", "day", "n", "x", "none"]).collect()}
+    assert kinds == {"ok": "bool", "day": "date", "n": "int", "x": "float", "none": "text"}
+    (tmp_path / "c.csv").write_text('name;note\n"a, b";"two\nlines"\nc;"d, e, f"\n')
+    assert [tuple(r) for r in files.parse_source(spark, "csv", str(tmp_path / "c.csv")).collect()] == [("a, b", "twolines"), ("c", "d, e, f")]
+    for kind in ("parquet", "pdf"):
+        with pytest.raises(ValueError):
+            files.parse_source(spark, kind, str(tmp_path))
+    assert files.parse_source(spark, "pdf", str(tmp_path / "book"), {"pdf": lambda f: f.select("path")}).count() == 1
