@@ -317,6 +317,18 @@ def test_toxicity_learns_and_handles_edges(spark, docs):
     assert {r["score"] for r in rows_of(op6_toxicity.score(docs, None))} == {0.0}
 
 
+def test_toxicity_query_on_held_out_rows(spark):
+    """sf0.1: over half of the toxic rows that the model never saw are found, and next to none of the others flagged."""
+    sf = "/root/testdata/sf0.1"
+    got = {r["doc_id"]: r for r in q.op6_toxic_scores(spark, sf).collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    test = [i for i in labels if held(i)]
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count() and all(got[i]["held_out"] for i in test)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got.values())
+    toxic, others = [i for i in test if labels[i] == 1], [i for i in test if labels[i] == 0]
+    assert sum(got[i]["predicted"] for i in toxic) >= 0.5 * len(toxic) and sum(got[i]["predicted"] for i in others) <= 0.005 * len(others)
+
+
 def test_language_id(spark, docs):
     sf = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in q.op8_languages(spark, sf).collect()}
