@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,17 +54,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def slices(texts: Sequence[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+def ranges(lengths: Iterable[int], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about so many characters; one long text makes a range of its own."""
-    start = held = 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
+    start = held = i = 0
+    for i, n in enumerate(lengths, 1):
         if held and held + n > chars:
-            yield start, i
-            start, held = i, 0
+            yield start, i - 1
+            start, held = i - 1, 0
         held += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < i:
+        yield start, i
+
+
+def slices(texts: Sequence[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    return ranges((len(t) if t else 0 for t in texts), chars)
+
+
+def parts_of(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """The batch in ranges of rows, each with its texts: no more of a batch than a range is held as Python strings."""
+    for a, b in ranges(pc.fill_null(pc.utf8_length(batch.column(at)), 0).to_pylist()):
+        part = batch.slice(a, b - a)
+        yield part, part.column(at).to_pylist()
 
 
 Columns = dict[str, Sequence]
@@ -87,10 +98,8 @@ def with_text_columns(df: DataFrame, text_col: str, fields: Sequence[T.StructFie
         compute = None
         for batch in batches:
             compute = compute or make()
-            texts = batch.column(at).to_pylist()
-            for a, b in slices(texts):
-                got = compute(texts[a:b])
-                part = batch.slice(a, b - a)
+            for part, texts in parts_of(batch, at):
+                got = compute(texts)
                 arrays = [part.column(i) for i in keep_at] + [pa.array(got[n], type=t) for n, t in zip(labels, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[batch.schema.names[i] for i in keep_at] + labels)
 
@@ -105,8 +114,7 @@ def filter_by_text(df: DataFrame, text_col: str, make: Callable[[], Callable[[li
         keeps = None
         for batch in batches:
             keeps = keeps or make()
-            texts = batch.column(at).to_pylist()
-            mask = [bool(x) for a, b in slices(texts) for x in keeps(texts[a:b])]
+            mask = [bool(x) for _, texts in parts_of(batch, at) for x in keeps(texts)]
             yield batch.filter(pa.array(mask, type=pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
