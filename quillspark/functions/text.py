@@ -24,8 +24,9 @@ REDACTIONS = (
     (r"\b\d{10}\b", "[id-number]"),
 )
 INJECTION = r"(ignore (all )?previous instructions|disregard .*instructions|system prompt|jailbreak|pretend (you are|to be)|do anything now|DAN mode)"
-HEADING_CHARS, HEADING_WORDS, HEADING_BAD_END = 100, 12, ".!?\u061f\u2026:\u061b,\u060c;"
-LIST_MARK = r"^\s*(?:[-*\x{2022}\x{2013}\x{2014}]|\d{1,3}[.)\x{2013}-])\s+"
+# Bounds of a heading, the marks that end none, and what begins a list item.
+HEADING_CHARS, HEADING_WORDS, HEADING_BAD_END = 100, 12, ".!?؟…:؛,،;"
+LIST_MARK = r"^\s*(?:[-*•–—]|\d{1,3}[.)–-])\s+"
 MAX_MESSAGE = 4000
 
 

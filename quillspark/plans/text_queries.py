@@ -116,7 +116,7 @@ c AS (SELECT *, CASE WHEN pipe <> lag(pipe, 1, pipe) OVER (PARTITION BY doc_id O
 r AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)::BIGINT AS run_no FROM c),
 p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run_no ORDER BY i) AS row_no, len({words("line")}) AS n FROM r),
 g AS (SELECT doc_id, run_no, count(*) AS n_lines, bool_and(pipe) AND (count(*) >= 3 OR (count(*) = 2 AND bool_or(rule AND row_no = 2))) AS is_table, count(CASE WHEN pipe AND NOT rule THEN 1 END) AS n_rows,
- coalesce(max(CASE WHEN pipe AND NOT rule THEN len(string_split(regexp_replace({strip("line")}, '^\||\|$', '', 'g'), '|')) END), 0)::BIGINT AS n_cols, sum(n) AS n FROM p GROUP BY doc_id, run_no),
+ coalesce(max(CASE WHEN pipe AND NOT rule THEN len(string_split(regexp_replace({strip("line")}, '^\\||\\|$', '', 'g'), '|')) END), 0)::BIGINT AS n_cols, sum(n) AS n FROM p GROUP BY doc_id, run_no),
 b AS (SELECT doc_id, run_no, n, row_number() OVER (PARTITION BY doc_id, run_no ORDER BY i) - 2 AS rn FROM p JOIN (SELECT doc_id, run_no FROM g WHERE n > {T.TABLE_WORDS}) USING (doc_id, run_no) WHERE {strip("line")} <> ''),
 f AS (SELECT doc_id, run_no, rn, n AS held, 1::BIGINT AS parts FROM b WHERE rn = 1
  UNION ALL SELECT b.doc_id, b.run_no, b.rn, CASE WHEN f.held >= {T.PART_WORDS} THEN b.n ELSE f.held + b.n END, CASE WHEN f.held >= {T.PART_WORDS} THEN f.parts + 1 ELSE f.parts END FROM f JOIN b ON b.doc_id = f.doc_id AND b.run_no = f.run_no AND b.rn = f.rn + 1)
