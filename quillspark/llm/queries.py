@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_quality, op2_mixing, op3_chat, op4_fingerprint, op5_simhash, op6_toxicity, op7_decontaminate, op8_language, op9_pii, op10_secrets
+from . import op1_quality, op2_mixing, op3_chat, op4_fingerprint, op5_simhash, op6_toxicity, op7_decontaminate, op8_language, op9_pii, op10_secrets, op11_trie, op12_sharding, op13_audit
 from .common import held_out, table
 
 
@@ -103,6 +103,19 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, op9_pii.BASE_KINDS), F.sha2(op9_pii.spans_text(base), 256).alias("base_sha256"), op9_pii.spans_text(F.col("spans")).alias("spans"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_trie.build(table(spark, sf_dir, "conversations"))
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op12_sharding.place(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_audit.audit(op13_audit.failures(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -116,6 +129,9 @@ QUERIES = {
         op8_languages,
         op9_personal_data,
         op10_secret_scan,
+        op11_prefix_trie,
+        op12_shards,
+        op13_filter_audit,
     )
 }
 
@@ -167,4 +183,53 @@ OP10_SQL = (
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (r)"""
 )
 
-ORACLES: dict[str, str] = {"op3_chat_format": OP3_SQL, "op7_decontaminated": OP7_SQL, "op10_secret_scan": OP10_SQL}
+CRC_TABLE = "[" + "list_reduce(list_concat([{n}::BIGINT], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR n IN range(256)".replace("{n}", "n") + "]"
+
+
+def crc32(octets: str) -> str:
+    """CRC-32 of a list of octets, by the table in column `crc`."""
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {octets}), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+#: Turns are numbered once, so that a rebuilt conversation is a list of numbers and a prefix a part of it.
+OP11_SQL = f"""WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+u AS (SELECT c, text, dense_rank() OVER (ORDER BY role, text) AS no, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text)) AS j FROM t),
+s AS (SELECT c, list(no ORDER BY j) AS own FROM u GROUP BY c), texts AS (SELECT no, max(strlen(text)) AS bytes FROM u GROUP BY no),
+tab AS (SELECT {CRC_TABLE} AS crc),
+h AS (SELECT c, own, c - c % 5 AS base, {crc32("list_transform(regexp_extract_all(hex(encode(c::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT)")} % 9 AS h FROM s, tab),
+r AS (SELECT h.c, list_concat(coalesce(b.own[1 : h.h], []), h.own[h.h + 1 :]) AS path FROM h LEFT JOIN s AS b ON b.c = h.base),
+p AS (SELECT c, d, path[1 : d] AS k, len(path) = d AS ends FROM (SELECT c, path, unnest(range(len(path) + 1)) AS d FROM r)),
+n AS (SELECT k, d AS depth, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CASE WHEN ends THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends_sha256 FROM p GROUP BY k, d),
+ch AS (SELECT k[1 : depth - 1] AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * coalesce(bytes, 0) AS saves FROM n LEFT JOIN ch USING (k) LEFT JOIN texts ON no = k[depth]),
+up AS (SELECT k[1 : a] AS k, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(saves)::BIGINT AS saved_tokens FROM (SELECT k, n_children, saves, unnest(range(depth + 1)) AS a FROM f) GROUP BY 1)
+SELECT f.conv_id, f.depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256 FROM f JOIN up USING (k) LEFT JOIN f AS q ON f.depth > 0 AND q.k = f.k[1 : f.depth - 1]"""
+
+#: The search's state is (low, high, end so far, shards so far); a capacity's walk takes a row a shard.
+OP12_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 16 AS size FROM documents),
+o AS (SELECT *, sha256(text) AS k, row_number() OVER w AS pos, sum(size) OVER w AS through FROM d WINDOW w AS (ORDER BY sha256(text), doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT list(through ORDER BY through) AS ends, max(through) AS total FROM (SELECT max(through)::BIGINT AS through FROM o GROUP BY k)),
+f AS (SELECT 0::BIGINT AS low, total AS high, 0::BIGINT AS x, 0 AS n, ends, total FROM g WHERE total IS NOT NULL
+ UNION ALL SELECT CASE WHEN y < total AND n = 39 THEN mid + 1 ELSE low END, CASE WHEN y = total THEN mid ELSE high END, CASE WHEN y = total OR n = 39 THEN 0 ELSE y END, CASE WHEN y = total OR n = 39 THEN 0 ELSE n + 1 END, ends, total
+ FROM (SELECT *, greatest(coalesce(list_max(list_filter(ends, lambda s: s <= x + mid)), 0), list_min(list_filter(ends, lambda s: s > x))) AS y FROM (SELECT *, (low + high) // 2 AS mid FROM f WHERE low < high))),
+best AS (SELECT low AS capacity, ends, total FROM f WHERE low = high LIMIT 1),
+cut AS (SELECT 0 AS shard, greatest(coalesce(list_max(list_filter(ends, lambda s: s <= capacity)), 0), ends[1]) AS till, 0::BIGINT AS since FROM best
+ UNION ALL SELECT shard + 1, greatest(list_max(list_filter(ends, lambda s: s <= till + capacity)), list_min(list_filter(ends, lambda s: s > till))), till FROM cut, best WHERE till < total),
+c AS (SELECT {CRC_TABLE} AS crc)
+SELECT doc_id, size, {crc32("list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)")} AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY pos) - 1 AS slot, NULL::INT AS grown_shard
+FROM o JOIN cut ON through > since AND through <= till, c"""
+
+AUDIT_WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
+OP13_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part FROM documents), w AS (SELECT *, {AUDIT_WORDS} AS w, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+l AS (SELECT doc_id, max((quality = 1)::BIGINT) AS good, max((toxic = 1)::BIGINT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (CASE WHEN len(w) < 100 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END)
+ || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN doc_id > least THEN 'E' ELSE '' END) AS fails FROM w LEFT JOIN l USING (doc_id)),
+n AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x AS a, x AS b, x AS c, x AS d, x AS e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step::INT AS step, filter_order[step] AS x, filter_order[1 : step - 1] AS ahead FROM orders, range(1, 6) AS r(step)),
+r AS (SELECT *, contains(fails, x) AS here, ahead <> '' AND regexp_matches(fails, '[' || ahead || '_]') AS before FROM s, n),
+t AS (SELECT part, filter_order, step, x, sum(CASE WHEN NOT here AND NOT before THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN here AND NOT before THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN here AND before THEN n ELSE 0 END)::BIGINT AS redundant,
+ sum(CASE WHEN fails = x THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN here AND NOT before THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN here AND NOT before THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM t"""
+
+ORACLES: dict[str, str] = {"op3_chat_format": OP3_SQL, "op7_decontaminated": OP7_SQL, "op10_secret_scan": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_shards": OP12_SQL, "op13_filter_audit": OP13_SQL}
