@@ -97,19 +97,23 @@ def sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", overhea
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest"))
 
 
-def ends_by_block(ends: DataFrame, starts: list[int], width: int) -> list[tuple[int, int, int]]:
-    """First, last and number of ends in blocks of so many bytes, each within one of the ranges that begin at starts."""
-    span = F.size(F.filter(F.array(*[F.lit(s).cast("long") for s in starts]), lambda s: s <= F.col("through")))
-    found = ends.groupBy(span.alias("span"), F.floor(F.col("through") / F.lit(width)).alias("block")).agg(F.min("through").alias("first"), F.max("through").alias("last"), F.count("*").alias("n"))
+def ends_by_block(ends: DataFrame, width: int) -> list[tuple[int, int, int]]:
+    """First, last and number of ends in each block of so many bytes."""
+    found = ends.groupBy(F.floor(F.col("through") / F.lit(width)).alias("block")).agg(F.min("through").alias("first"), F.max("through").alias("last"), F.count("*").alias("n"))
     return [(r["first"], r["last"], r["n"]) for r in found.collect()]
 
 
 def least_cuts(ends: DataFrame, shards: int, blocks: int = BLOCKS) -> tuple[int, list[int]]:
-    """The smallest feasible capacity over all group ends (column through), and the greedy cuts there."""
+    """The smallest feasible capacity over all group ends (column through), and the greedy cuts there.
+
+    Widths are powers of two, so a block is split along its own borders; blocks that are open lie within those of the round
+    before, and their width is halved once at least.
+    """
     total = ends.agg(F.max("through")).first()[0]
     if total is None:
         return 0, []
-    known = Ends(ends_by_block(ends, [0], -(-total // blocks)))
+    width = 1 << max(0, total // blocks).bit_length()
+    known = Ends(ends_by_block(ends, width))
     while True:
         low, high = known.least_capacity(shards, 1), known.least_capacity(shards, 0)
         if low == high and known.walk(low, shards, 0) == known.walk(low, shards, 1):
@@ -122,9 +126,11 @@ def least_cuts(ends: DataFrame, shards: int, blocks: int = BLOCKS) -> tuple[int,
                     spans[-1][1] = block[1]
                 else:
                     spans.append([block[0], block[1]])
+        width //= 2
+        while width > 1 and 2 * sum(b - a + 1 for a, b in spans) // width <= blocks:
+            width //= 2
         inside = ends.filter(" or ".join(f"through between {a} and {b}" for a, b in spans))
-        finer = ends_by_block(inside, [a for a, _ in spans], -(-sum(b - a + 1 for a, b in spans) // blocks))
-        known = Ends([b for b, o in zip(known.blocks, opened, strict=True) if not o] + finer)
+        known = Ends([b for b, o in zip(known.blocks, opened, strict=True) if not o] + ends_by_block(inside, width))
 
 
 def plan(placed: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> Cuts:
