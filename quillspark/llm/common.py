@@ -80,6 +80,16 @@ def parts_of(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, l
 Columns = dict[str, Sequence]
 
 
+def quoted(name: str) -> Column:
+    """A column by its name, whatever characters that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def by_position(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The named columns as c0, c1, ...: mapInArrow looks up the names that it is given unquoted."""
+    return df.select(*[quoted(n).alias(f"c{i}") for i, n in enumerate(names)])
+
+
 def with_text_columns(df: DataFrame, text_col: str, fields: Sequence[T.StructField], make: Callable[[], Callable[[list], Columns]]) -> DataFrame:
     """Adds columns computed from the texts of each Arrow batch, without a shuffle; other columns pass untouched.
 
@@ -87,8 +97,8 @@ def with_text_columns(df: DataFrame, text_col: str, fields: Sequence[T.StructFie
     """
     names = {f.name for f in fields}
     kept = [c for c in df.columns if c not in names or c == text_col]
-    base = df.select(*[F.col(f"`{c}`") for c in kept])
-    out = T.StructType([f for f in base.schema.fields if f.name not in names] + list(fields))
+    base = by_position(df, kept)
+    out = T.StructType([f for f in df.select(*map(quoted, kept)).schema.fields if f.name not in names] + list(fields))
     at = kept.index(text_col)
     keep_at = [i for i, c in enumerate(kept) if c not in names]
     arrow = [to_arrow_type(f.dataType) for f in fields]
@@ -101,20 +111,21 @@ def with_text_columns(df: DataFrame, text_col: str, fields: Sequence[T.StructFie
             for part, texts in parts_of(batch, at):
                 got = compute(texts)
                 arrays = [part.column(i) for i in keep_at] + [pa.array(got[n], type=t) for n, t in zip(labels, arrow, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[batch.schema.names[i] for i in keep_at] + labels)
+                yield pa.RecordBatch.from_arrays(arrays, names=[kept[i] for i in keep_at] + labels)
 
     return base.mapInArrow(run, out)
 
 
 def filter_by_text(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], Sequence[bool]]]) -> DataFrame:
     """Keeps the rows whose text passes, with all their columns and without a shuffle."""
-    at = df.columns.index(text_col)
+    names = df.columns
+    at = names.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keeps = None
         for batch in batches:
             keeps = keeps or make()
             mask = [bool(x) for _, texts in parts_of(batch, at) for x in keeps(texts)]
-            yield batch.filter(pa.array(mask, type=pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(mask, type=pa.bool_())).columns, names=names)
 
-    return df.mapInArrow(run, df.schema)
+    return by_position(df, names).mapInArrow(run, df.schema)

@@ -42,6 +42,9 @@ def row_key(id_col: str, text_col: str) -> F.Column:
 
 def survivors(df: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row of df for each component of `named` (__row, doc_id, component): that of the least id, null ids last; all columns stay."""
-    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("w")).select(F.col("w.__row").alias("__row"))
-    kept = df.withColumn("__row", row_key(id_col, text_col)).join(first, "__row", "left_semi")
-    return kept.dropDuplicates(["__row"]).drop("__row")
+    key = "__row"
+    while key in df.columns:  # a user's column of that name stays
+        key += "_"
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("w")).select(F.col("w.__row").alias(key))
+    kept = df.withColumn(key, row_key(id_col, text_col)).join(first, key, "left_semi")
+    return kept.dropDuplicates([key]).drop(key)
