@@ -15,8 +15,9 @@ from ..operators import intents as I
 from ..operators import media as M
 from ..operators import places as P
 from ..operators import retrieval as R
-from ..session import table
+from ..session import shared_path, table
 from ..streaming import jobs as J
+from ..streaming.leases import Leases
 from .registry import packed, query, quoted, strip
 from .retrieval_queries import OWN, PLAIN_TITLES, QUESTION, TOP, WORKSPACE, chunks, cte, fused, three_streams
 
@@ -135,6 +136,21 @@ def ingest_claims(spark, sf_dir):
     return J.claimed(sources, o.select((F.col("o_orderkey") + 1).alias("source_id")), NOW, fresh=365 * 86_400).select("source_id", "outcome")
 
 
+@query("""WITH s AS (SELECT o_orderkey AS source_id, o_custkey % 3 = 0 AS first_run, o_orderkey % 10 = 0 AND o_custkey % 3 = 0 AS ended FROM orders)
+SELECT 'one' AS run_id, source_id, 'claimed' AS outcome FROM s WHERE first_run UNION ALL SELECT 'two', source_id, CASE WHEN first_run AND NOT ended THEN 'refused' ELSE 'claimed' END FROM s""")
+def lease_claims(spark, sf_dir):
+    """Through the log of commits: run one claims the orders of some customers and ends a part of them, run two asks for all orders."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("at"))
+    never = F.lit(None).cast("timestamp")
+    sources = o.select(F.col("o_orderkey").alias("source_id"), F.lit("pending").alias("status"), never.alias("heartbeat_at"), never.alias("processing_started_at"), F.col("at").alias("created_at"))
+    log = Leases(spark, shared_path(spark, "leases"))
+    mine = o.filter("o_custkey % 3 = 0").select(F.col("o_orderkey").alias("source_id"))
+    one = log.claim(sources, mine, "one", NOW)
+    log.finish("one", mine.filter("source_id % 10 = 0").withColumn("status", F.lit("ready")), NOW)
+    two = log.claim(sources, sources.select("source_id"), "two", NOW)
+    return one.withColumn("run_id", F.lit("one")).unionByName(two.withColumn("run_id", F.lit("two"))).select("run_id", "source_id", "outcome")
+
+
 @query(f"""WITH {cte(OWN)}, {fused(PLAIN_TITLES)}, so AS (SELECT source_id, count(*) AS n, min(pos) AS first FROM b GROUP BY source_id), c AS (SELECT source_id FROM so ORDER BY n DESC, first LIMIT 1),
 whole AS (SELECT source_id, string_agg({strip("content")}, chr(10) || chr(10) ORDER BY page_no) AS t FROM chunks SEMI JOIN c USING (source_id) WHERE {strip("content")} <> '' GROUP BY source_id)
 SELECT source_id, 'dominant' AS rule, length(t) > {U.FULLTEXT_CHARS} AS truncated, sha1(substring(t, 1, {U.FULLTEXT_CHARS}) || CASE WHEN length(t) > {U.FULLTEXT_CHARS} THEN chr(10) || '…(truncated)' ELSE '' END) AS text_sha1 FROM whole""")

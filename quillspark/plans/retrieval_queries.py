@@ -11,11 +11,13 @@ from pyspark.sql.window import Window as W
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..indexes import postings as P
+from ..indexes import vectors as N
 from ..operators import evaluation as E
 from ..operators import retrieval as R
 from ..operators import scope as S
 from ..operators import structure as T
-from ..session import stored, table
+from ..session import shared_path, stored, table
 from .registry import folded, listed, query, quoted, strip, terms, tokens, words
 from .text_queries import CHUNK_CTE
 
@@ -150,6 +152,53 @@ def fts_all_terms(spark, sf_dir):
     return stream_shown(R.fulltext_stream(S.candidates(chunks(spark, sf_dir), WORKSPACE), QUESTION, LIMIT), "frequency", "fts_rank")
 
 
+def text_index(spark, sf_dir):
+    """Posting lists of all ready chunks of every workspace."""
+    path = shared_path(spark, "postings")
+    P.write(chunks(spark, sf_dir).filter("status = 'ready'"), path)
+    return path
+
+
+@query(f"WITH {cte(OWN)}, {streams(PLAIN_TITLES)} SELECT chunk_id, m::BIGINT AS frequency, r AS fts_rank FROM f")
+def fts_indexed(spark, sf_dir):
+    return stream_shown(P.search(spark, text_index(spark, sf_dir), WORKSPACE, QUESTION, LIMIT), "frequency", "fts_rank")
+
+
+NEAR = "CASE WHEN a.pos = b.pos THEN 1e0 ELSE 1 - sqrt(0.01e0 * CASE WHEN abs(a.pos - b.pos) > 100 THEN 1e-30 ELSE 1 / (1.005e0 + 0.05e0 * exp(abs(a.pos - b.pos) / 1.5e0 - 2)) END) END"
+
+
+@query(f"""WITH {cte(OWN)}, oc AS (SELECT chunk_id, unnest(ts) AS term, unnest(range(1, len(ts) + 1)) AS pos FROM (SELECT chunk_id, {terms("content")} AS ts FROM cand)),
+mt AS (SELECT chunk_id, term, pos FROM oc WHERE term IN ({", ".join(map(quoted, TERMS))}) QUALIFY row_number() OVER (PARTITION BY chunk_id, term ORDER BY pos) <= 256),
+wt AS (SELECT a.chunk_id, round(1 - product({NEAR}), 9) AS weight FROM mt AS a JOIN mt AS b ON a.chunk_id = b.chunk_id AND a.term < b.term GROUP BY 1),
+fr AS (SELECT chunk_id, count(*) AS frequency FROM mt GROUP BY 1 HAVING count(DISTINCT term) = {len(TERMS)})
+SELECT chunk_id, frequency, round(weight, 6) AS weight, row_number() OVER (ORDER BY weight DESC, chunk_id) - 1 AS fts_rank FROM fr JOIN wt USING (chunk_id) QUALIFY fts_rank < {LIMIT}""")
+def fts_weighted(spark, sf_dir):
+    found = P.search(spark, text_index(spark, sf_dir), WORKSPACE, QUESTION, LIMIT, rank="weighted")
+    return found.select("chunk_id", "frequency", F.round("weight", 6).alias("weight"), F.col("fts_rank").cast("long").alias("fts_rank"))
+
+
+def vector_index(spark, sf_dir):
+    path = shared_path(spark, "vectors")
+    N.build(table(spark, sf_dir, "embeddings"), path)
+    return path
+
+
+@query(f"""WITH q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0)
+SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], qv), 6) AS similarity FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], qv) DESC, vec_id LIMIT {LIMIT}""")
+def ann_exact(spark, sf_dir):
+    """The index opens every list that can hold a nearer vector, so the rows are those of a full scan."""
+    found = N.search(spark, vector_index(spark, sf_dir), query_vector(spark, sf_dir), LIMIT, exact=True)
+    return found.select(F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def ann_neighbours(spark, sf_dir):
+    """Ten neighbours of each row whose id is divisible by 100, among all rows, in the lists that reach the index's recall; no SQL, as a list
+    that isn't opened is lost by design: tests hold its recall against brute force."""
+    asked = table(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return N.neighbours(asked, vector_index(spark, sf_dir)).select("query_id", F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
 @query(f"""WITH {cte(OWN)} SELECT chunk_id, m::BIGINT AS frequency, row_number() OVER (ORDER BY m DESC, chunk_id) - 1 AS fts_rank FROM (SELECT chunk_id, {" + ".join(f"contains(content, {quoted(t)})::INT" for t in TOKENS)} AS m FROM cand) WHERE m > 0 QUALIFY fts_rank < {LIMIT}""")
 def fts_any_term(spark, sf_dir):
     return stream_shown(R.fulltext_stream(S.candidates(chunks(spark, sf_dir), WORKSPACE), QUESTION, LIMIT, all_terms=False), "frequency", "fts_rank")
