@@ -318,7 +318,7 @@ def test_toxicity_learns_and_handles_edges(spark, docs):
 
 
 def test_toxicity_query_on_held_out_rows(spark):
-    """sf0.1: over half of the toxic rows that the model never saw are found, and next to none of the others flagged."""
+    """sf0.1: of the toxic rows that the model never saw 0.85 are found over all languages and 0.8 in each; next to none of the others are flagged."""
     sf = "/root/testdata/sf0.1"
     got = {r["doc_id"]: r for r in q.op6_toxic_scores(spark, sf).collect()}
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -326,7 +326,38 @@ def test_toxicity_query_on_held_out_rows(spark):
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count() and all(got[i]["held_out"] for i in test)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got.values())
     toxic, others = [i for i in test if labels[i] == 1], [i for i in test if labels[i] == 0]
-    assert sum(got[i]["predicted"] for i in toxic) >= 0.5 * len(toxic) and sum(got[i]["predicted"] for i in others) <= 0.005 * len(others)
+    assert sum(got[i]["predicted"] for i in toxic) >= 0.85 * len(toxic) and sum(got[i]["predicted"] for i in others) <= 0.005 * len(others)
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    for own in ("en", "de", "fr", "es"):
+        of = [got[i]["predicted"] for i in toxic if lang[i] == own]
+        assert len(of) >= 10 and sum(of) >= 0.8 * len(of)
+
+
+def test_toxicity_finds_groups_by_text_alone():
+    """Two made-up languages, each with marks of its own; few training rows make one group."""
+    import random
+
+    rng = random.Random(4)
+    tongues = [(["vermok", "vermat", "vermil"], ["river", "mountain", "letter", "garden"]), (["ußling", "ußkopf", "ußtier"], ["straße", "fenster", "möbel", "schön"])]
+    rows = [(" ".join(rng.choice(bad if toxic and rng.random() < 0.1 else plain) for _ in range(80)), toxic) for i in range(400) for toxic in [i % 4 == 0] for bad, plain in [tongues[i // 4 % 2]]]
+    model = op6_toxicity.train_on([t for t, toxic in rows[:300] if toxic], [t for t, toxic in rows[:300] if not toxic])
+    assert 2 <= len(model.groups) <= op6_toxicity.GROUPS
+    score = op6_toxicity.scorer(model)
+    right = [(s >= 0.7) == toxic for s, (_, toxic) in zip(score([t for t, _ in rows[300:]]), rows[300:], strict=True)]
+    assert sum(right) >= 0.97 * len(right)
+    few = op6_toxicity.train_on(["one bad text", ""], ["a plain text", "one"])
+    assert len(few.groups) == 1 and all(0 <= s <= 1 for s in op6_toxicity.scorer(few)([None, "", "...", "one bad text", "x" * 100_000]))
+
+
+def test_any_column_name_passes(spark):
+    """Dotted, quoted and reserved names stay as they are."""
+    df = spark.createDataFrame([(1, "a b c", "en", 1, 2, 3), (2, "a b c", "de", 4, 5, 6), (3, None, None, 7, 8, 9)], "doc_id long, text string, lang string, `a.b` int, `__row` int, `q``q` int")
+    model = op6_toxicity.train_on(["bad words " * 9], ["good day to all of you"])
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    for out in (op4_fingerprint.with_fingerprint(df), op5_simhash.with_fingerprints(df), op6_toxicity.score(df, model), op6_toxicity.drop_toxic(df, model), op7_decontaminate.decontaminate(df, bench), op8_language.identify(df, op8_language.train(df)), op10_secrets.scan_versions(df)):
+        assert {tuple(r[n] for n in ("a.b", "__row", "q`q")) for r in out.collect()} == {(1, 2, 3), (4, 5, 6), (7, 8, 9)}
+    assert op7_decontaminate.drop_contaminated(df, bench).select("`a.b`", "__row").collect() == [(7, 8)]
+    assert sorted(r["a.b"] for r in op5_simhash.keep_one(df).collect()) == [1, 7] and set(op5_simhash.keep_one(df).columns) == set(df.columns)
 
 
 def test_language_id(spark, docs):
