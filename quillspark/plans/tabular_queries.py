@@ -61,6 +61,51 @@ def sheet_summary(spark, sf_dir):
     return T.sheet_summary("nation", table(spark, sf_dir, "nation"))
 
 
+JOINED = "customer JOIN orders ON o_custkey = c_custkey"
+#: question, the SQL of its rows (group_value, value)
+JOINED_QUESTIONS = (
+    ("total o_totalprice of orders for customers", f"SELECT NULL, round(sum(o_totalprice), 2) FROM {JOINED}"),
+    ("count o_orderkey of orders for customer", f"SELECT NULL, count(o_orderkey) FROM {JOINED}"),
+    ("count c_mktsegment and o_orderstatus group", f"SELECT c_mktsegment, count(*) FROM {JOINED} GROUP BY 1"),
+    ("max c_acctbal of customer by o_orderpriority of orders", f"SELECT o_orderpriority, max(c_acctbal) FROM {JOINED} GROUP BY 1"),
+)
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS question_no, g::VARCHAR AS group_value, v::DOUBLE AS value FROM ({sql}) AS t(g, v)" for i, (_, sql) in enumerate(JOINED_QUESTIONS)))
+def keyword_joined(spark, sf_dir):
+    """Counts and other aggregates over two tables, with and without groups."""
+    tables = stars(spark, sf_dir, ("customer", "orders"))
+    infos, rows = [T.info(n, d) for n, d in tables.items()], None
+    for i, (question, _) in enumerate(JOINED_QUESTIONS):
+        got = T.run(T.ask_joined(question, infos, [ORDERS_CUSTOMER]), tables, [ORDERS_CUSTOMER])
+        group = F.col("group_value").cast("string") if "group_value" in got.columns else F.lit(None).cast("string")
+        part = got.select(F.lit(i).alias("question_no"), group.alias("group_value"), F.round(F.col("value").cast("double"), 2).alias("value"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+@query(f"SELECT c_name AS customer_c_name, o_orderdate AS orders_o_orderdate FROM {JOINED} ORDER BY 1, 2 LIMIT 200")
+def keyword_columns(spark, sf_dir):
+    tables = stars(spark, sf_dir, ("customer", "orders"))
+    plan = T.ask_joined("list c_name of customer and o_orderdate of orders", [T.info(n, d) for n, d in tables.items()], [ORDERS_CUSTOMER])
+    return T.select(plan, tables, [ORDERS_CUSTOMER])
+
+
+@query("""WITH a AS (SELECT o_orderpriority AS g, count(o_custkey) AS n FROM orders GROUP BY 1) SELECT 'a' AS source_id, 'orders' AS "table", count(*) AS n_rows,
+ 'Excel result — a.xlsx / sheet orders (SQL: SELECT orders.o_orderpriority, COUNT(orders.o_custkey) FROM orders GROUP BY orders.o_orderpriority LIMIT 200)' || chr(10) || 'group_value | value' || chr(10) || string_agg(g || ' | ' || n, chr(10) ORDER BY g) AS content FROM a
+ UNION ALL SELECT 'b', NULL, NULL, 'AnalysisException' UNION ALL SELECT 'c', 'nation', 1, 'Excel result — c.xlsx / sheet nation (SQL: SELECT COUNT(*) FROM nation)' || chr(10) || 'value' || chr(10) || count(*) FROM nation""")
+def excel_answers(spark, sf_dir):
+    """One question of three workbooks, of which the second can't be read."""
+    sources = [
+        T.Workbook("a", "a.xlsx", lambda: stars(spark, sf_dir, ("orders",))),
+        T.Workbook("b", "b.xlsx", lambda: {"gone": table(spark, sf_dir, "no_such_table")}),
+        T.Workbook("c", "c.xlsx", lambda: stars(spark, sf_dir, ("nation",))),
+    ]
+    found, passed = T.answers("count o_custkey by o_orderpriority", sources)
+    rows = [(a.source_id, a.table, len(a.rows), a.content) for a in found] + [(s, None, None, why) for s, why in passed]
+    return spark.createDataFrame(rows, "source_id string, table string, n_rows long, content string")
+
+
 def asked(spark, sf_dir, question, *names):
     tables = stars(spark, sf_dir, names)
     infos = [T.info(n, d) for n, d in tables.items()]

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +28,40 @@ def session(app: str = "quillspark", **more: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Fixed value: seconds that a scan for a question may take.
+SCAN_SECONDS = 15
+R = TypeVar("R")
+
+
+class ScanTimeout(TimeoutError):
+    """A scan took longer than it may."""
+
+
+def bounded(spark: SparkSession, seconds: float, action: Callable[[], R]) -> R:
+    """What action() returns, or ScanTimeout once its jobs have run for `seconds`: they carry a tag of their own, and a timer cancels
+    that tag alone, so other queries go on. Tags of the context, as a session's can only be interrupted by the thread that set them."""
+    sc, tag, late = spark.sparkContext, f"scan-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        while not done.wait(0.2):  # an action may start job after job
+            sc.cancelJobsWithTag(tag)
+
+    done, timer = threading.Event(), threading.Timer(seconds, stop)
+    sc.addJobTag(tag)
+    timer.start()
+    try:
+        return action()
+    except Exception as e:
+        if late.is_set():
+            raise ScanTimeout(f"stopped after {seconds:g} s") from e
+        raise
+    finally:
+        done.set()
+        timer.cancel()
+        sc.removeJobTag(tag)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,12 +1,13 @@
 """Small fixtures with known results, and the brute-force versions of what SQL can't express."""
 
 import io
+import time
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark import seams
+from quillspark import seams, session
 from quillspark.functions import text as X
 from quillspark.operators import evaluation, ledger, people, retrieval, scope, structure, tabular
 from quillspark.sources import files, sinks, web
@@ -160,6 +161,48 @@ def test_joined_sheets(spark):
         tabular.run(plan, tables, [])
 
 
+def test_joined_questions_of_each_form(spark):
+    orders = spark.createDataFrame([(1, "C1", 100), (2, "C2", 200), (3, "C1", 50)], "order_id long, customer_id string, amount long")
+    customers = spark.createDataFrame([("C1", "Ali"), ("C2", "Sara")], "customer_id string, name string")
+    tables, edges = {"Orders": orders, "Customers": customers}, [tabular.Edge("Orders", "customer_id", "Customers", "customer_id")]
+    infos = [tabular.info(n, d) for n, d in tables.items()]
+    ask = lambda q: tabular.ask_joined(q, infos, edges)
+    run = lambda q: [tuple(r) for r in tabular.run(ask(q), tables, edges).collect()]
+    assert run("total amount of orders for customers") == [(350,)]
+    assert run("count orders amount by name") == [(50, 1), (100, 1), (200, 1)]
+    assert run("count amount of customers") == [(3,)]
+    assert run("average amount by name") == [("Ali", 75.0), ("Sara", 200.0)]
+    plan = ask("list name and amount")
+    assert isinstance(plan, tabular.Selection) and plan.columns == (("Orders", "amount"), ("Customers", "name"))
+    assert [tuple(r) for r in tabular.select(plan, tables, edges).collect()] == [(50, "Ali"), (100, "Ali"), (200, "Sara")]
+    assert tabular.described(plan) == "SELECT Orders.amount, Customers.name FROM Orders JOIN Customers ON Orders.customer_id = Customers.customer_id LIMIT 200"
+    assert ask("sum of name by amount") is not None and ask("max by name") is None and ask("amount") is None
+    assert tabular.ask_joined("list name and amount", infos, []) is None
+    with pytest.raises(tabular.NotAllowed):
+        tabular.select(plan, tables, [])
+    with pytest.raises(tabular.NotAllowed):
+        tabular.select(tabular.Selection((("Orders", "zz"),), edges[0]), tables, edges)
+
+
+def test_a_broken_or_slow_source_does_not_stop_the_others(spark):
+    good = spark.createDataFrame([("x", 1), ("y", 2)], "label string, amount long")
+    slow = good.withColumn("amount", F.udf(lambda n: (time.sleep(60), n)[1], "long")("amount"))
+
+    def broken():
+        raise OSError("no such file")
+
+    book = lambda i, load: tabular.Workbook(str(i), f"{i}.xlsx", load)
+    began = time.time()
+    found, passed = tabular.answers("sum of amount", [book(1, broken), book(2, lambda: {"s": slow}), book(3, lambda: {"sales": good}), book(4, lambda: {"sales": good})], seconds=4)
+    assert time.time() - began < 40 and [(a.source_id, a.rows) for a in found] == [("3", (("3",),))]
+    assert passed == [("1", "OSError"), ("2", "ScanTimeout")]
+    assert found[0].chunk_id == "excel:3:sales" and found[0].content.endswith("(SQL: SELECT SUM(sales.amount) FROM sales)\nvalue\n3")
+    assert tabular.answers("hello there", [book(1, lambda: {"sales": good})]) == ([], [("1", "no plan")])
+    assert session.bounded(spark, 30, good.count) == 2
+    with pytest.raises(ZeroDivisionError):
+        session.bounded(spark, 30, lambda: 1 // 0)
+
+
 def test_headers():
     assert tabular.header_names(["Name", "name", "", "2nd", None]) == ["name", "name_2", "col_3", "col_4"]
 
