@@ -165,18 +165,30 @@ def _cell(cell, value: str | None, shared: list[str], dates: set[int]) -> str |
     return value
 
 
-def xlsx_rows(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
-    """(sheet, row number, cells) of a workbook; raises beyond 50 sheets or 200,000 rows of a sheet."""
+def _sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(title, part) of each sheet."""
+    book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+    targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    sheets = [(s.get("name"), targets[next(v for k, v in s.attrib.items() if k.endswith("}id"))]) for s in book.iter() if _tag(s) == "sheet"]
+    if len(sheets) > MOST_SHEETS:
+        raise ValueError(f"more than {MOST_SHEETS} sheets")
+    return sheets
+
+
+def sheet_names(content: bytes) -> list[str]:
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        return [title for title, _ in _sheets(z)]
+
+
+def xlsx_rows(content: bytes, only: str | None = None) -> Iterator[tuple[str, int, list[str | None]]]:
+    """(sheet, row number, cells) of a workbook, or of one of its sheets; raises beyond 50 sheets or 200,000 rows of a sheet."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
         shared = [_said(si) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        sheets = [(s.get("name"), targets[next(v for k, v in s.attrib.items() if k.endswith("}id"))]) for s in book.iter() if _tag(s) == "sheet"]
         dates = _date_styles(z)
-        if len(sheets) > MOST_SHEETS:
-            raise ValueError(f"more than {MOST_SHEETS} sheets")
-        for title, target in sheets:
+        for title, target in _sheets(z):
+            if only is not None and title != only:
+                continue
             name = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
             n = 0
             for _, row in ElementTree.iterparse(io.BytesIO(z.read(name))):

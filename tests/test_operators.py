@@ -1,5 +1,6 @@
 """Small fixtures with known results, and the brute-force versions of what SQL can't express."""
 
+import datetime
 import io
 import time
 import zipfile
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from quillspark import seams, session
 from quillspark.functions import text as X
 from quillspark.operators import evaluation, ledger, people, retrieval, scope, structure, tabular
-from quillspark.sources import files, sinks, web
+from quillspark.sources import files, sinks, web, workbook
 from quillspark.streaming import jobs
 
 
@@ -312,6 +313,23 @@ def test_workbook_relations_types_and_dispatch(spark, tmp_path):
     cells = files.parse_source(spark, "excel", str(tmp_path / "book"))
     rows = sorted((r["sheet"], r["row_no"], r["cells"]) for r in cells.collect())
     assert rows[0] == ("First", 1, ["ok", "day", "n", "x"]) and rows[1][2] == ["true", "2024-01-01 12:00:00", "7", "1.5"] and rows[-1][:2] == ("Second", 1)
+    workbook.register(spark)
+    reader = spark.read.format("workbook")
+    every = reader.option("cells", "true").load(str(tmp_path / "book"))
+    assert every.rdd.getNumPartitions() == 2 and sorted((r["_sheet"], r["_row_no"], r["cells"]) for r in every.collect()) == rows
+    typed = spark.read.format("workbook").option("sheet", "First").load(str(tmp_path / "book"))
+    assert typed.dtypes == [("ok", "boolean"), ("day", "timestamp_ntz"), ("n", "bigint"), ("x", "double")]
+    assert [tuple(r) for r in typed.orderBy("n").collect()] == [(True, datetime.datetime(2024, 1, 1, 12), 7, 1.5), (False, datetime.datetime(2024, 1, 2), 8, 2000.0)]
+    strings = files.sheet_table(cells, cells.first()["path"], "First")
+    assert [tuple(r) for r in strings.select(tabular.coerce(F.col("n"), "int"), tabular.coerce(F.col("x"), "float")).collect()] == [(r["n"], r["x"]) for r in typed.orderBy("n").collect()]
+    named = spark.read.format("workbook").option("columns", "names").load(str(tmp_path / "book" / "b.xlsx"))
+    assert named.columns == ["other", "_path", "_sheet", "_row_no"] and named.count() == 0  # the first sheet: a header alone
+    (tmp_path / "book" / "a.xlsx").write_bytes(b"not a workbook")
+    with pytest.raises(Exception, match="a.xlsx is no workbook"):
+        spark.read.format("workbook").load(str(tmp_path / "book")).count()
+    with pytest.raises(Exception, match="has no header"):
+        spark.read.format("workbook").option("sheet", "Third").load(str(tmp_path / "book" / "b.xlsx"))
+    (tmp_path / "book" / "a.xlsx").unlink()
     df = spark.createDataFrame([(i, *r[2]) for i, r in enumerate(rows[1:3])], "i int, ok string, day string, n string, x string").withColumn("none", F.lit(" "))
     kinds = {r["column"]: r["dtype"] for r in tabular.infer_sheet_types(df, "i", ["ok", "day", "n", "x", "none"]).collect()}
     assert kinds == {"ok": "bool", "day": "date", "n": "int", "x": "float", "none": "text"}
