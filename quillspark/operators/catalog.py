@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -76,6 +76,23 @@ def patched(states: DataFrame, patches: DataFrame, key: str) -> DataFrame:
     return both.select(key, F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new).alias("state"))
 
 
+def patched_json(states: DataFrame, patches: DataFrame, key: str) -> DataFrame:
+    """(key, state) of free-form states and patches (key, state: JSON text of an object): each state with the keys of its patch set anew, whatever
+    lies below them; values stay what they are, nested ones too. A text that is no object counts as an empty one; of a key that
+    comes twice in one object the last counts."""
+    parsed = lambda df, name: df.select(key, F.coalesce(F.from_json("state", "map<string,variant>"), F.create_map().cast("map<string,variant>")).alias(name))
+    both = parsed(states, "__s").join(parsed(patches, "__p"), key, "full")
+    none = F.create_map().cast("map<string,variant>")
+    old, new = F.coalesce("__s", none), F.coalesce("__p", none)
+    merged = F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)
+    return both.select(key, F.to_json(merged).alias("state"))
+
+
+def at_path(state: Column, path: str, kind: str = "string") -> Column:
+    """The value at a path such as `$.task.steps[0]` of a JSON text, in a type; null where there is none or it doesn't fit."""
+    return F.try_variant_get(F.try_parse_json(state), path, kind)
+
+
 def knowledge_of(instances: DataFrame, definitions_kbs: DataFrame, instance_kbs: DataFrame) -> DataFrame:
     """(instance_id, kb_id): an agent's own knowledge bases and those of its definition, each once."""
     shared = instances.select("instance_id", "definition_id").join(definitions_kbs, "definition_id").select("instance_id", "kb_id")

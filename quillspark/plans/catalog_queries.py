@@ -86,6 +86,18 @@ def state_patch(spark, sf_dir):
     return done.select("id", *[F.col("state")[k].alias(k) for k in ("mood", "topic", "step")])
 
 
+@query("""SELECT event_id, (props->>'k')::BIGINT AS k, CASE WHEN user_id % 3 = 0 THEN user_id END AS owner, CASE WHEN user_id % 3 = 0 THEN event_type WHEN event_id % 2 = 0 THEN 'old' END AS tag, CASE WHEN user_id % 3 = 0 THEN NULL WHEN event_id % 2 = 0 THEN round(value, 6) END AS kept FROM events""")
+def state_json_patch(spark, sf_dir):
+    """Event properties as states: half of them have a nested task, a third get a patch that sets the task anew as a whole."""
+    e = table(spark, sf_dir, "events")
+    task = F.to_json(F.struct(F.struct(F.round("value", 6).alias("score"), F.array(F.lit("new"), F.lit("old")).alias("tags")).alias("task")))
+    half = F.when(F.col("event_id") % 2 == 0, F.concat(F.substring_index("props", "}", 1), F.lit(", "), F.substring(task, 2, 1_000_000))).otherwise(F.col("props"))
+    patch = F.to_json(F.struct(F.struct(F.struct(F.col("user_id").alias("id")).alias("owner"), F.array(F.lit("x"), F.col("event_type")).alias("tags")).alias("task")))
+    done = C.patched_json(e.select("event_id", half.alias("state")), e.filter("user_id % 3 = 0").select("event_id", patch.alias("state")), "event_id")
+    at = lambda path, kind: C.at_path(F.col("state"), path, kind)
+    return done.select("event_id", at("$.k", "long").alias("k"), at("$.task.owner.id", "long").alias("owner"), at("$.task.tags[1]", "string").alias("tag"), at("$.task.score", "double").alias("kept"))
+
+
 @query("""SELECT DISTINCT instance_id, kb_id FROM (SELECT s_suppkey AS instance_id, c_mktsegment AS kb_id FROM supplier JOIN customer ON c_nationkey = s_nationkey UNION ALL SELECT s_suppkey, 'own' FROM supplier WHERE s_suppkey % 2 = 0)""")
 def agent_knowledge(spark, sf_dir):
     agents = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("instance_id"), F.col("s_nationkey").alias("definition_id"))

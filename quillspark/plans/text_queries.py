@@ -128,7 +128,7 @@ def table_blocks(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT page_id, url, i, x, lower(regexp_extract(x, '^/?[A-Za-z][A-Za-z0-9]*')) AS tag FROM (SELECT page_id, url, unnest(range(len(string_split(html, '<')))) AS i, unnest(string_split(html, '<')) AS x FROM pages)),
+    """WITH p AS (SELECT page_id, url, i, x, lower(regexp_extract(x, '^/?[A-Za-z][A-Za-z0-9]*')) AS tag FROM (SELECT page_id, url, unnest(range(len(cut))) AS i, unnest(cut) AS x FROM (SELECT *, string_split(regexp_replace(html, '<([A-Za-z/!?])', chr(1) || '\\1', 'g'), chr(1)) AS cut FROM pages))),
 r AS (SELECT *, sum(CASE WHEN tag IN ('script', 'style') THEN 1 WHEN tag IN ('/script', '/style') THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS raw FROM p),
 d AS (SELECT *, sum(CASE WHEN raw > 0 THEN 0 WHEN tag IN ('nav', 'footer', 'header') THEN 1 WHEN tag IN ('/nav', '/footer', '/header') THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM r),
 t AS (SELECT page_id, url, i, tag, replace(replace(replace(replace(CASE WHEN i = 0 THEN x WHEN x LIKE '!--%' THEN substring(x, strpos(x, '-->') + 3) ELSE substring(x, strpos(x, '>') + 1) END, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS said FROM d WHERE raw = 0 AND depth = 0),
@@ -142,6 +142,31 @@ def html_to_text(spark, sf_dir):
     return rows.select("page_id", "host", "provider", F.sha1("text").alias("text_sha1"), F.length("text").cast("long").alias("n_chars"))
 
 
+@query("""SELECT conv_id, kind, count(*)::BIGINT AS n, sum(turn * 4000 + 100)::BIGINT AS starts, sum(turn * 4000 + 2600)::BIGINT AS ends, sha1(string_agg(x, '|' ORDER BY turn)) AS text_sha1
+ FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM conversations), (SELECT unnest(['srt', 'ttml', 'vtt']) AS kind) WHERE x <> '' GROUP BY ALL""")
+def subtitle_forms(spark, sf_dir):
+    """Each conversation as a VTT, an SRT and a TTML file: the cues of the three are those of its turns."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"\s+", " ").alias("x"), (F.col("turn") * 4000 + 100).alias("a"), (F.col("turn") * 4000 + 2600).alias("b"))
+
+    def clock(ms, point):
+        part = lambda x, n: F.lpad(F.floor(x).cast("string"), n, "0")
+        return F.concat(part(F.col(ms) / 3_600_000, 2), F.lit(":"), part(F.col(ms) / 60_000 % 60, 2), F.lit(":"), part(F.col(ms) / 1000 % 60, 2), F.lit(point), part(F.col(ms) % 1000, 3))
+
+    escaped = F.replace(F.replace(F.replace("x", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    forms = {
+        "vtt": ("WEBVTT\n\n", F.concat(clock("a", "."), F.lit(" --> "), clock("b", "."), F.lit(" align:start\n"), F.col("x")), "\n\n"),
+        "srt": ("", F.concat((F.col("turn") + 1).cast("string"), F.lit("\n"), clock("a", ","), F.lit(" --> "), clock("b", ","), F.lit("\n"), F.col("x")), "\n\n"),
+        "ttml": ("<tt><body><div>", F.concat(F.lit('<p xml:id="p" end="'), clock("b", "."), F.lit('" begin="'), clock("a", "."), F.lit('"><span>'), escaped, F.lit("</span></p>")), "\n"),
+    }
+    out = None
+    for kind, (head, block, between) in forms.items():
+        files = t.groupBy("conv_id").agg(F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", block.alias("b")))), lambda x: x["b"]), between)).alias("text"))
+        found = web.cues(files, "conv_id").groupBy("conv_id").agg(F.count("*").alias("n"), F.sum("start_ms").alias("starts"), F.sum("end_ms").alias("ends"), F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cue_no", "text"))), lambda x: x["text"]), "|")).alias("text_sha1"))
+        part = found.withColumn("kind", F.lit(kind))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     r"""SELECT doc_id, sha1(t) AS redacted_sha1, ((length(t) - length(replace(t, '[email]', ''))) // 7)::BIGINT AS emails FROM (SELECT doc_id,
  regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'), '\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b', '[card]', 'g'), '\+?\d[\d\s\-()]{7,}\d', '[phone]', 'g'), '\b\d{10}\b', '[id-number]', 'g') AS t FROM documents)"""

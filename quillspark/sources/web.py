@@ -46,15 +46,15 @@ def unescaped(x: Column) -> Column:
 def html_text(html: Column) -> Column:
     """The page's text, a line per run between tags, blank lines dropped; 20,000 characters at most, as the feature says.
 
-    Elements whose text isn't content go whole, each up to its own end tag, scripts first (their text may hold tags); one that is
-    never closed takes the rest.
+    Elements whose text isn't content go whole, each up to its own end tag, scripts and comments first (their text may hold tags); one
+    that is never closed takes the rest. A tag begins with a letter, `/`, `!` or `?`: a bare `<` is text.
     """
     x = F.substring(X.empty(html), 1, MOST_HTML)
-    for name in DROPPED:
-        x = F.regexp_replace(x, rf"(?is)<{name}(?=[\s/>]).*?(?:</{name}\s*>|\z)", "\n")
-        if name == "style":
-            x = F.regexp_replace(x, r"(?s)<!--.*?-->", "\n")
-    lines = F.split(unescaped(F.regexp_replace(x, r"(?s)<[^>]*>", "\n")), LINE_ENDS)
+    raw, blocks = DROPPED[:2], DROPPED[2:]
+    # a pass for both kinds: each match ends at its own name's end tag
+    x = F.regexp_replace(x, rf"(?is)<!--.*?-->|<({'|'.join(raw)})(?=[\s/>]).*?(?:</\1\s*>|\z)", "\n")
+    x = F.regexp_replace(x, rf"(?is)<({'|'.join(blocks)})(?=[\s/>]).*?(?:</\1\s*>|\z)", "\n")
+    lines = F.split(unescaped(F.regexp_replace(x, r"(?s)<[A-Za-z/!?][^>]*>", "\n")), LINE_ENDS)
     return F.substring(F.array_join(F.filter(F.transform(lines, X.strip), lambda line: line != ""), "\n"), 1, MOST_CHARS)
 
 
@@ -88,13 +88,19 @@ def descriptors(rows: DataFrame, json_col: str = "value") -> DataFrame:
 
 
 def cues(rows: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """(key, cue_no, start_ms, end_ms, text) of WebVTT or SRT files: tags stripped, what isn't a cue skipped."""
+    """(key, cue_no, start_ms, end_ms, text) of WebVTT, SRT or TTML files: tags stripped, what isn't a cue skipped. A file with timed `p`
+    elements is TTML; their attributes stand in any order, and a line break is a space."""
     time = r"(?:[0-9]+:)?[0-9]{1,2}:[0-9]{1,2}[.,][0-9]{1,3}"
-    blocks = F.split(F.regexp_replace(X.empty(F.col(text_col)), "\r\n?", "\n"), "\n[ \t]*\n")
+    said = X.empty(F.col(text_col))
+    timed = F.regexp_extract_all(said, F.lit(r"(?is)<p\s[^>]*\bbegin\s*=[^>]*>.*?</p\s*>"), F.lit(0))
+    value = lambda p, name: F.regexp_extract(p, rf"""(?is)^<p\s(?:[^>]*\s)?{name}\s*=\s*["']([^"']*)["']""", 1)
+    body = lambda p: F.regexp_replace(F.regexp_replace(p, r"(?is)^<p\s[^>]*>|</p\s*>$", ""), r"(?i)<br\s*/?>", "\n")
+    as_blocks = F.transform(timed, lambda p: F.concat(value(p, "begin"), F.lit(" --> "), value(p, "end"), F.lit("\n"), unescaped(body(p))))
+    blocks = F.when(F.size(timed) > 0, as_blocks).otherwise(F.split(F.regexp_replace(said, "\r\n?", "\n"), "\n[ \t]*\n"))
     b = rows.select(key, F.posexplode(blocks).alias("cue_no", "b"))
     pattern = rf"(?s)({time})\s*-->\s*({time})[^\n]*\n(.*)"
-    body = X.strip(F.regexp_replace(F.regexp_replace(F.regexp_extract("b", pattern, 3), r"<[^>]*>", ""), r"\s*\n\s*", " "))
-    out = b.filter(F.col("b").rlike(pattern)).select(key, "cue_no", X.clock_ms(F.regexp_extract("b", pattern, 1)).alias("start_ms"), X.clock_ms(F.regexp_extract("b", pattern, 2)).alias("end_ms"), body.alias("text"))
+    text = X.strip(F.regexp_replace(F.regexp_replace(F.regexp_extract("b", pattern, 3), r"<[^>]*>", ""), r"\s*\n\s*", " "))
+    out = b.filter(F.col("b").rlike(pattern)).select(key, "cue_no", X.clock_ms(F.regexp_extract("b", pattern, 1)).alias("start_ms"), X.clock_ms(F.regexp_extract("b", pattern, 2)).alias("end_ms"), text.alias("text"))
     return out.filter("text <> ''")
 
 

@@ -2,6 +2,7 @@
 
 import datetime
 import io
+import json
 import time
 import zipfile
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark import seams, session
 from quillspark.functions import text as X
-from quillspark.operators import evaluation, ledger, people, retrieval, scope, structure, tabular
+from quillspark.operators import catalog, evaluation, ledger, people, retrieval, scope, structure, tabular
 from quillspark.sources import files, sinks, web, workbook
 from quillspark.streaming import jobs
 
@@ -234,6 +235,33 @@ def test_leads(spark, tmp_path):
     assert part.decode().startswith("﻿name,address")
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [("<p>1 < 2</p>", "1 < 2"), ("<p>a<b>c</b> <3 & x</p>", "a\nc\n<3 & x"), ("a<script>if (1 < 2) '</p>'</script>b", "a\nb"), ("<NAV x=1>n</NAV >m<style>p{}</style><!-- <p> -->e", "m\ne"), ("k<header>never closed", "k"), ("<headerless>t</headerless>", "t"), (None, ""), ("x <", "x <")],
+)
+def test_page_text(spark, html, want):
+    assert one(spark, web.html_text(F.col("x")), html) == want
+
+
+def test_cues_of_three_forms_are_equal(spark):
+    vtt = "WEBVTT\n\n00:01.500 --> 00:00:03.000 align:start\nHello <i>there</i>\nyou\n\nNOTE x\n\n01:00:00.000 --> 01:00:01.000\n1 & 2"
+    srt = "1\r\n00:00:01,500 --> 00:00:03,000\r\nHello there\r\nyou\r\n\r\n2\r\n01:00:00,000 --> 01:00:01,000\r\n1 & 2\r\n"
+    ttml = '<?xml version="1.0"?><tt><body><div><p begin="00:00:01.500" end="00:00:03.000">Hello <span>there</span><br/>you</p>\n<P  xml:id=\'b\' end="01:00:01.000" region="r" begin="01:00:00.000">1 &amp; 2</P><p>untimed</p><p begin="00:00:09.000" end="x">bad</p></div></body></tt>'
+    rows = web.cues(spark.createDataFrame([("vtt", vtt), ("srt", srt), ("ttml", ttml), ("none", None), ("blank", "<p begin='00:00:01.0' end='00:00:02.0'> </p>")], "f string, text string"), "f").collect()
+    by = {f: sorted((r["start_ms"], r["end_ms"], r["text"]) for r in rows if r["f"] == f) for f in ("vtt", "srt", "ttml", "none", "blank")}
+    assert by["vtt"] == by["srt"] == by["ttml"] == [(1500, 3000, "Hello there you"), (3_600_000, 3_601_000, "1 & 2")] and by["none"] == by["blank"] == []
+
+
+def test_free_form_states(spark):
+    kind = "id int, state string"
+    states = spark.createDataFrame([(1, '{"a": {"b": [1, {"c": null}]}, "n": 1.5, "s": "x"}'), (2, "not json"), (3, None), (4, "[1, 2]"), (5, '{"keep": true}')], kind)
+    patches = spark.createDataFrame([(1, '{"a": {"d": 2}, "new": [true]}'), (2, '{"x": {"y": 1}}'), (3, '{"z": null}'), (6, '{"only": "patch"}')], kind)
+    got = {r["id"]: json.loads(r["state"]) for r in catalog.patched_json(states, patches, "id").collect()}
+    assert got == {1: {"a": {"d": 2}, "n": 1.5, "s": "x", "new": [True]}, 2: {"x": {"y": 1}}, 3: {"z": None}, 4: {}, 5: {"keep": True}, 6: {"only": "patch"}}
+    at = lambda path, kind: one(spark, catalog.at_path(F.col("x"), path, kind), '{"a": {"b": [1, {"c": "deep"}]}}')
+    assert at("$.a.b[1].c", "string") == "deep" and at("$.a.b[0]", "long") == 1 and at("$.a.z", "string") is None and at("$.a.b[1].c", "long") is None
+
+
 def test_metrics(spark):
     questions = spark.createDataFrame([(1, ["acids", "missing"], ["a", "b", "zz"]), (2, ["acids"], []), (3, [], [])], "question_id int, expected array<string>, keywords array<string>")
     returned = spark.createDataFrame([(1, 1, "other", "a"), (1, 2, "acids", "b"), (2, 1, "other", ""), (2, 2, "acids", ""), (2, 3, "acids", "")], "question_id int, rank int, source string, text string")
