@@ -86,12 +86,17 @@ def fulltext_stream(candidates: DataFrame, query: str, limit: int, all_terms: bo
         wanted = query_terms(query)
         if not wanted:
             return candidates.limit(0).select(*_carried(candidates), F.lit(0).alias("frequency"), F.lit(0).alias("fts_rank"))
-        found = F.col("terms") if "terms" in candidates.columns else X.terms(F.col("content"))
-        # a cheap substring test of each term first: most rows are never tokenised
-        low = F.lower(X.normalize(X.empty(F.col("content"))))
         maybe = candidates
-        for t in wanted:
-            maybe = maybe.filter(F.contains(low, F.lit(t)))
+        if "terms" in candidates.columns:
+            found = F.col("terms")
+            for t in wanted:
+                maybe = maybe.filter(F.array_contains(found, t))
+        else:
+            found = X.terms(F.col("content"))
+            # a cheap substring test of each term first: most rows are never tokenised
+            low = F.lower(X.normalize(X.empty(F.col("content"))))
+            for t in wanted:
+                maybe = maybe.filter(F.contains(low, F.lit(t)))
         hits = F.filter(found, lambda t: F.array_contains(strings(wanted), t))
         scored = maybe.select(*_carried(candidates), hits.alias("__h")).filter(F.size(F.array_distinct("__h")) == len(wanted))
         scored = scored.withColumn("frequency", F.size("__h")).drop("__h")
