@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -198,16 +198,35 @@ def rerank(query: str, hits: DataFrame, top_k: int, settings: Settings) -> DataF
     return with_position(both, F.desc_nulls_last("rerank_score"), F.col("__p")).drop("__p").filter(F.col("position") < top_k)
 
 
-def search_in(rows: DataFrame, query: str, qvec: Sequence[float] | None, top_k: int | None = None, settings: Settings = Settings()) -> DataFrame:
-    """Hybrid search over candidates that are already in scope."""
+Trace = dict[str, Observation]
+
+
+def watched(df: DataFrame, trace: Trace | None, name: str, *more: Column) -> DataFrame:
+    """df, whose rows are counted under a name while the plan that holds it runs: no job of its own."""
+    if trace is None:
+        return df
+    trace[name] = Observation()
+    return df.observe(trace[name], F.count(F.lit(1)).alias("rows"), *more)
+
+
+def traced(trace: Trace) -> dict[str, dict]:
+    """What was counted, once the plan has run: rows by name, and each stream's best score."""
+    return {name: dict(o.get) for name, o in trace.items()}
+
+
+def search_in(rows: DataFrame, query: str, qvec: Sequence[float] | None, top_k: int | None = None, settings: Settings = Settings(), trace: Trace | None = None) -> DataFrame:
+    """Hybrid search over candidates that are already in scope. trace, an empty dictionary, gets a counter of each stream, of the fused hits
+    and of those that stay; `traced` reads them after the search has run."""
     k, limit = limits(top_k, settings)
-    streams = [(fulltext_stream(rows, query, limit, settings.all_terms), "fts_rank"), (title_stream(rows, query, limit), "title_rank")]
+    streams = [(fulltext_stream(rows, query, limit, settings.all_terms), "fts_rank", "frequency"), (title_stream(rows, query, limit), "title_rank", "cover")]
     if qvec is not None:
-        streams.insert(0, (vector_stream(rows, qvec, limit), "vector_rank"))
-    hits = fuse(streams, settings.fuse_width or k, settings.rrf_k)
+        streams.insert(0, (vector_stream(rows, qvec, limit), "vector_rank", "similarity"))
+    found = [(watched(s, trace, rank.removesuffix("_rank"), F.max(F.col(metric).cast("double")).alias("best")), rank) for s, rank, metric in streams]
+    hits = fuse(found, settings.fuse_width or k, settings.rrf_k)
     if qvec is None:
         hits = hits.withColumn("vector_rank", F.lit(None).cast("int"))
-    hits = dedupe_content(threshold(title_boost(hits, query), settings.min_score))
+    hits = watched(hits, trace, "fused")
+    hits = watched(dedupe_content(threshold(title_boost(hits, query), settings.min_score)), trace, "kept")
     return rerank(query, with_position(hits.withColumnRenamed("position", "__p"), F.col("__p")).drop("__p"), k, settings)
 
 

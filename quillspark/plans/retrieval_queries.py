@@ -115,6 +115,16 @@ def hybrid_search(spark, sf_dir):
     return shown(R.hybrid_search(stored_chunks(spark, sf_dir, F.col("workspace_id") == WORKSPACE), WORKSPACE, QUESTION, query_vector(spark, sf_dir), top_k=TOP, settings=SETTINGS))
 
 
+@query(f"""WITH {cte(OWN)}, {fused(PLAIN_TITLES)} SELECT 'vector' AS stream, count(*) AS n, round(max(m), 6) AS best FROM v UNION ALL SELECT 'fts', count(*), max(m) FROM f UNION ALL SELECT 'title', count(*), max(m) FROM t
+ UNION ALL SELECT 'fused', count(*), NULL FROM fu UNION ALL SELECT 'kept', count(*), NULL FROM d""")
+def search_trace(spark, sf_dir):
+    """What a search counts while it runs."""
+    trace: R.Trace = {}
+    rows = S.candidates(stored_chunks(spark, sf_dir, F.col("workspace_id") == WORKSPACE), WORKSPACE)
+    R.search_in(rows, QUESTION, query_vector(spark, sf_dir), TOP, SETTINGS, trace).collect()
+    return spark.createDataFrame([(name, x["rows"], x.get("best")) for name, x in R.traced(trace).items()], "stream string, n long, best double").withColumn("best", F.round("best", 6))
+
+
 @query(f"WITH {cte(f'kb_id IN ({", ".join(map(quoted, SHARED_KBS))})')}, {fused(PLAIN_TITLES)}, {RERANK} {FINAL}")
 def hybrid_search_global(spark, sf_dir):
     shared = stored_chunks(spark, sf_dir, F.col("kb_id").isin(SHARED_KBS)).withColumn("workspace_id", F.lit(None).cast("string"))

@@ -49,6 +49,19 @@ def test_search_hides_unready_and_repeated(chunks):
     assert retrieval.hybrid_search(chunks.withColumn("status", F.lit("processing")), "A", "acids", [1.0, 0, 0, 0]).count() == 0
 
 
+def test_a_trace_costs_no_job(spark, chunks):
+    rows = scope.candidates(chunks, "A")
+    jobs_of = {}
+    for name, trace in (("plain", None), ("traced", {})):
+        spark.sparkContext.setJobGroup(name, name)
+        got = retrieval.search_in(rows, "acids donate", [1.0, 0, 0, 0], 2, trace=trace).collect()
+        jobs_of[name] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    found = retrieval.traced(trace)
+    assert jobs_of["plain"] == jobs_of["traced"] and {n: x["rows"] for n, x in found.items()} == {"vector": 3, "fts": 1, "title": 0, "fused": 2, "kept": len(got)}
+    assert found["vector"]["best"] == pytest.approx(1.0) and found["title"]["best"] is None
+
+
 def test_limits():
     assert retrieval.limits(4) == (4, 12) and retrieval.limits(None) == (8, 24) and retrieval.limits(500) == (50, 150)
 
