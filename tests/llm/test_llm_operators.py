@@ -557,4 +557,4 @@ def test_empty_tables_and_nulls(spark, docs):
 
 
 def test_every_query_is_registered():
-    assert [n.split("_")[0] for n in q.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in q.QUERIES] == [f"op{i}" for i in range(1, 14)]
