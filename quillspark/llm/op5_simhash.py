@@ -230,7 +230,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     ids = df.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(id_col, text_col).alias("__row"), F.col(f"`{text_col}`").alias("text"))
     if least is not None:
         prints = checkpointed(similar.with_bands(ids, words, seed).drop("text"))
-        named = components(prints.select("doc_id", "__row", "fingerprint"), similar.links(ids, prints, words, least, seed, node_limit))
+        named = components(prints.select("doc_id", "__row", "fingerprint"), similar.links(ids, prints, words, least, seed, min(node_limit, similar.NODE_LIMIT)))
     else:
         prints = checkpointed(with_fingerprints(ids, "text", words, seed).select("doc_id", "__row", "fingerprint"))
         named = components(prints, links(prints.select("fingerprint").distinct(), max_diff, node_limit))

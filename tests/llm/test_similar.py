@@ -65,12 +65,26 @@ def test_pairs_the_leader_does_not_link(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == brute(rows)
 
 
-def test_nodes_beyond_the_limit(spark):
+def test_nodes_beyond_the_limit(spark, monkeypatch):
+    """One bucket for all classes, dealt to dozens of blocks at both steps: no pair is lost, whatever the size of its node."""
+    monkeypatch.setattr(similar, "with_bands", lambda df, *how, f=similar.with_bands: f(df, *how).withColumn("bands", similar.F.expr("if(size > 0, array(1L), null)")))
+    monkeypatch.setattr(similar, "NODE_SHINGLES", 2000)
     rows = texts()
-    kept = op5_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), words=5, least=0.8, node_limit=4)
+    kept = op5_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), words=5, least=0.8, node_limit=16)
     assert sorted(r["doc_id"] for r in kept.collect()) == brute(rows)
 
 
+def test_each_pair_of_a_node_has_a_cell(spark):
+    rows = spark.createDataFrame([(b, f, f, 10) for b, n in ((1, 40), (2, 3)) for f in range(n)], "bucket long, fingerprint long, component long, size long")
+    held = {}
+    for r in similar.cells(rows, 50).collect():
+        held.setdefault((r["bucket"], r["low"], r["high"]), set()).add(r["fingerprint"])
+    for bucket, n in ((1, 40), (2, 3)):
+        mine = [c for (b, *_), c in held.items() if b == bucket]
+        assert all(any({x, y} <= c for c in mine) for x in range(n) for y in range(x))
+    assert sum(b == 2 for b, *_ in held) == 1 < max(len(c) for c in held.values()) < 40
+
+
 def test_overlaps_in_pieces(monkeypatch):
     rng = random.Random(2)
     sets = [np.array(rng.sample(range(60), rng.randrange(1, 30))) for _ in range(50)]
