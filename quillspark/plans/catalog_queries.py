@@ -126,13 +126,13 @@ def latest_plan(spark, sf_dir):
     return P.latest_plan(rows).select("user_id", "conversation_id")
 
 
-@query("""SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim(left(coalesce(text, ''), 70), E' \\t\\n\\r')), '[^a-z0-9_]', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g')[1:60], ''), 'col_1') AS name,
- sha1(regexp_replace(lower(left(coalesce(text, ''), 70)), '\\s', '', 'g')) AS squeezed_sha1, left(regexp_replace(upper(replace(coalesce(left(text, 70), ''), 'ß', 'ss')), '[^RIASEC]', '', 'g'), 3) AS interests,
+@query("""SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce(text, ''), E' \\t\\n\\r')), '[^a-z0-9_]', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g')[1:60], ''), 'col_1') AS name,
+ sha1(regexp_replace(lower(coalesce(text, '')), '\\s', '', 'g')) AS squeezed_sha1, left(regexp_replace(upper(replace(coalesce(text, ''), 'ß', 'ss')), '[^RIASEC]', '', 'g'), 3) AS interests,
  nullif(left(trim(coalesce(text, ''), E' \\t\\n\\r'), 4000), '') IS NOT NULL AS said, 'report.' || lang AS file, round(0.95e0 - (doc_id % 10) * 0.05e0, 3) AS score, sha256(source) AS token,
  'Dear ' || source || ', ' || lang AS letter, (doc_id % 100 * 60 + doc_id % 60) * 1000 + 250 AS clock FROM documents""")
 def text_helpers(spark, sf_dir):
     """Names, messages, times and digests of every document."""
-    t, n = F.substring("text", 1, 70), F.col("doc_id")
+    t, n = F.col("text"), F.col("doc_id")
     clock = F.concat(F.lpad((n % 100).cast("string"), 2, "0"), F.lit(":"), F.lpad((n % 60).cast("string"), 2, "0"), F.lit(",25"))
     return table(spark, sf_dir, "documents").select(
         "doc_id", X.sanitize_name(t, F.lit("col_1")).alias("name"), F.sha1(X.squeezed(t)).alias("squeezed_sha1"), X.interest_code(t).alias("interests"), X.message(F.col("text")).isNotNull().alias("said"),

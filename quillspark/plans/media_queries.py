@@ -169,13 +169,14 @@ def debug_context(spark, sf_dir):
     return U.debug_context(hits.withColumn("page_no", F.col("chunk_id") % 100_000).withColumn("start_ms", none).withColumn("end_ms", none))
 
 
-@query("""WITH h AS (SELECT conv_id, turn, ['W', 'G', 'M', 'Q'][(conv_id + turn) % 4 + 1] AS kind, role, text FROM conversations WHERE conv_id < 5), n AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY conv_id * 1000 + turn) AS i FROM h)
-SELECT CASE kind WHEN 'G' THEN 1 WHEN 'W' THEN 2 ELSE 5 END AS place, kind, sha1(string_agg('[' || kind || i || '] (' || role || CASE WHEN turn % 2 = 0 THEN ' / t' || turn ELSE '' END || ') ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY i)) AS block_sha1 FROM n WHERE kind <> 'Q' GROUP BY kind""")
+@query(f"""WITH {cte(OWN)}, {fused(PLAIN_TITLES)}, kinds AS (SELECT *, ['W', 'G', 'M', 'Q'][pos % 4 + 1] AS kind FROM d JOIN chunks USING (chunk_id, content, filename)), numbered AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY pos) AS i FROM kinds)
+SELECT CASE kind WHEN 'G' THEN 1 WHEN 'W' THEN 2 ELSE 5 END AS place, kind, sha1(string_agg('[' || kind || i || '] (' || filename || CASE WHEN pos % 8 < 4 THEN ' / p' || page_no ELSE '' END || ') ' || content, chr(10) || chr(10) ORDER BY i)) AS block_sha1 FROM numbered WHERE kind <> 'Q' GROUP BY kind""")
 def context_blocks(spark, sf_dir):
-    """The turns of five conversations stand in for the hits of one question."""
-    kind = F.element_at(F.array(*map(F.lit, "WGMQ")), ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))
-    detail = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("t"), F.col("turn").cast("string")))
-    hits = table(spark, sf_dir, "conversations").filter("conv_id < 5").select(kind.alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("position"), F.col("role").alias("source"), detail.alias("detail"), F.col("text").alias("content"))
+    """The fused hits of one question, as hits of four kinds in turn; half of them tell their page."""
+    fused_hits = R.dedupe_content(R.title_boost(R.fuse(three_streams(spark, sf_dir), TOP), QUESTION))
+    kind = F.element_at(F.array(*map(F.lit, "WGMQ")), (F.col("position") % 4 + 1).cast("int"))
+    detail = F.when(F.col("position") % 8 < 4, F.concat(F.lit("p"), (F.col("chunk_id") % 100_000).cast("string")))
+    hits = fused_hits.select(kind.alias("kind"), "position", F.col("filename").alias("source"), detail.alias("detail"), "content")
     return U.context_blocks(hits).select("place", "kind", F.sha1("block").alias("block_sha1"))
 
 

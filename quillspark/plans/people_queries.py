@@ -199,14 +199,14 @@ def layered_settings(spark, sf_dir):
     return L.merged_settings(layers, [r["n_name"] for r in rows.select("n_name").collect()])
 
 
-@query("""WITH t AS (SELECT DISTINCT conv_id AS plan_id, 'w' || (turn // 2 + 1) || 't' || (turn % 2 + 1) AS task_id FROM conversations WHERE turn < 24)
+@query("""WITH t AS (SELECT DISTINCT conv_id AS plan_id, 'w' || (turn // 2 + 1) || 't' || (turn % 2 + 1) AS task_id FROM conversations)
 SELECT plan_id, count(CASE WHEN (hash_key % 3) = 0 THEN 1 END) AS done, count(*) AS total FROM (SELECT plan_id, task_id, ascii(task_id[2]) AS hash_key FROM t) GROUP BY plan_id""")
 def plan_progress(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").filter("turn < 24")
+    turns = table(spark, sf_dir, "conversations")
     task = F.concat(F.lit("w"), (F.floor(F.col("turn") / 2) + 1).cast("string"), F.lit("t"), (F.col("turn") % 2 + 1).cast("string"))
     tasks = turns.select(F.col("conv_id").alias("plan_id"), task.alias("task_id")).distinct()
     done = tasks.filter(F.ascii(F.substring("task_id", 2, 1)) % 3 == 0)
-    return P.plan_progress(tasks, done.unionByName(done).unionByName(done.withColumn("task_id", F.lit("w99t1"))))
+    return P.plan_progress(tasks, done.unionByName(done).unionByName(done.withColumn("task_id", F.lit("w0t1"))))
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, epoch_ms(ts)::DOUBLE AS "at", row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events WHERE ts IS NOT NULL),

@@ -24,6 +24,7 @@ from .text_queries import CHUNK_CTE
 WORKSPACE, QUESTION, TITLE_QUESTION, TOP = "en", "the with that", "doc the and with", 8
 SETTINGS = R.Settings(rerank="heuristic")
 SHARED_KBS = ["src1", "src2", "src3"]
+PASSAGE = 9000
 
 
 def chunks(spark, sf_dir):
@@ -252,13 +253,22 @@ def content_dedupe(spark, sf_dir):
     return R.dedupe_content(hits.select("chunk_id", "content", "position")).select("chunk_id", "position")
 
 
-@query(f"""WITH {cte(OWN)}, {fused(PLAIN_TITLES)}, n AS (SELECT chunk_id, array_to_string(list(content) OVER (PARTITION BY source_id ORDER BY page_no, chunk_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), chr(10)) AS x FROM cand)
-SELECT fu.chunk_id, round(score, 6) AS score, length(CASE WHEN length(x) > 2000 THEN x[1:2000] || '…' ELSE x END)::BIGINT AS n_chars, sha1(CASE WHEN length(x) > 2000 THEN x[1:2000] || '…' ELSE x END) AS passage_sha1 FROM fu JOIN n USING (chunk_id)""")
+@query(f"""WITH RECURSIVE {cte(OWN)}, {fused(PLAIN_TITLES)}, near AS (SELECT c.chunk_id, max(fu.score - abs(c.page_no - a.page_no) * 1e-4) AS score FROM fu JOIN cand AS a USING (chunk_id) JOIN cand AS c ON c.source_id = a.source_id GROUP BY c.chunk_id),
+n AS (SELECT chunk_id, source_id, page_no, list(chunk_id) OVER o AS ids, array_to_string(list(content) OVER o, chr(10)) AS x, first_value(content) OVER (PARTITION BY source_id ORDER BY page_no) AS head FROM cand WINDOW o AS (PARTITION BY source_id ORDER BY page_no, chunk_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+win AS (SELECT n.*, score, CASE WHEN page_no >= 2 AND page_no % 3 <> 2 AND {strip("head")} <> '' THEN '[' || {strip("head")} || ']' || chr(10) ELSE '' END || x AS whole, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, chunk_id) AS rn FROM near JOIN n USING (chunk_id)),
+cover AS (SELECT source_id, rn, chunk_id, true AS kept, ids AS seen FROM win WHERE rn = 1
+ UNION ALL SELECT source_id, rn, chunk_id, fresh, CASE WHEN fresh THEN list_concat(seen, ids) ELSE seen END FROM (SELECT w.source_id, w.rn, w.chunk_id, w.ids, c.seen, NOT list_has_all(c.seen, w.ids) AS fresh FROM cover AS c JOIN win AS w ON w.source_id = c.source_id AND w.rn = c.rn + 1)),
+cut AS (SELECT chunk_id, score, CASE WHEN length(whole) > {PASSAGE} THEN whole[1:{PASSAGE}] || '…' ELSE whole END AS passage FROM win JOIN cover USING (chunk_id) WHERE kept)
+SELECT chunk_id, round(score, 6) AS score, length(passage)::BIGINT AS n_chars, sha1(passage) AS passage_sha1 FROM cut""")
 def passage_windows(spark, sf_dir):
-    """The windows of the fused hits; none covers another here, as their documents differ."""
-    rows = S.candidates(chunks(spark, sf_dir), WORKSPACE).withColumn("element_id", F.lit(None).cast("string")).withColumn("parent_id", F.lit(None).cast("string"))
-    hits = R.fuse(three_streams(spark, sf_dir), TOP)
-    own = R.passages(hits, rows)
+    """Windows of all chunks of the documents that hold a fused hit, those near to it first: most are covered by better ones. A
+    document's first chunk is the heading of two chunks in three."""
+    rows = S.candidates(stored_chunks(spark, sf_dir, F.col("workspace_id") == WORKSPACE), WORKSPACE)
+    rows = rows.withColumn("element_id", F.concat(F.lit("c"), F.col("page_no").cast("string"))).withColumn("parent_id", F.when(F.col("page_no") % 3 != 2, "c0"))
+    hits = R.fuse(three_streams(spark, sf_dir), TOP).select("chunk_id", "score")
+    found = rows.select("chunk_id", "document_id", "page_no").join(F.broadcast(hits), "chunk_id").select("document_id", F.col("page_no").alias("at"), "score")
+    near = rows.select("chunk_id", "document_id", "page_no").join(F.broadcast(found), "document_id").groupBy("chunk_id").agg(F.max(F.col("score") - F.abs(F.col("page_no") - F.col("at")) * F.lit(1e-4)).alias("score"))
+    own = R.passages(near, rows, cap=PASSAGE)
     return own.select("chunk_id", F.round("score", 6).alias("score"), F.length("passage").cast("long").alias("n_chars"), F.sha1("passage").alias("passage_sha1"))
 
 

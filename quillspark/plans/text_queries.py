@@ -75,14 +75,19 @@ def chapter_asof(spark, sf_dir):
     return found.select("conv_id", "start_ms", "chapter_start_ms").distinct().join(counted, ["conv_id", "start_ms"])
 
 
-@query(f"""WITH b AS (SELECT doc_id, {strip("x.b")} AS block, x.i AS i FROM (SELECT doc_id, unnest(list_transform(string_split(coalesce(text, ''), '\n\n'), lambda b, i: {{'b': b, 'i': i}})) AS x FROM documents))
-SELECT doc_id, count(*) AS blocks, max(length(block)) AS longest FROM b WHERE block <> '' AND NOT regexp_matches(split_part(block, '\n', 1), '^#{{1,6}}\\s') GROUP BY doc_id""")
+@query(f"""WITH b AS (SELECT doc_id, {strip("b")} AS block FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10) || chr(10))) AS b FROM documents)),
+c AS (SELECT doc_id, block, {strip("split_part(block, chr(10), 1)")} AS line, regexp_matches({strip("split_part(block, chr(10), 1)")}, '^#{{1,6}}\\s') AS marked FROM b WHERE block <> ''),
+e AS (SELECT doc_id, true AS marked, {strip("regexp_replace(regexp_replace(line, '^#+', ''), '#+$', '')")} AS p FROM c WHERE marked
+ UNION ALL SELECT doc_id, false, {strip("substring(block, instr(block, chr(10)) + 1)")} FROM c WHERE marked AND contains(block, chr(10)) UNION ALL SELECT doc_id, false, block FROM c WHERE NOT marked),
+l AS (SELECT *, len(list_filter(string_split(p, chr(10)), lambda x: regexp_matches(x, {quoted(X.LIST_MARK)}))) AS items, len(list_filter(string_split(p, chr(10)), lambda x: {strip("x")} <> '')) AS n FROM e WHERE p <> ''),
+k AS (SELECT doc_id, p, CASE WHEN marked THEN 'heading' WHEN items >= 1 AND items * 2 >= n THEN 'list'
+ WHEN NOT contains(p, chr(10)) AND length(p) <= {X.HEADING_CHARS} AND len({words("p")}) <= {X.HEADING_WORDS} AND p[1] <> '[' AND NOT regexp_matches(p, {quoted(X.LIST_MARK)}) AND NOT contains({quoted(X.HEADING_BAD_END)}, p[-1]) THEN 'heading' ELSE 'paragraph' END AS kind FROM l)
+SELECT doc_id, count(*) AS blocks, count(CASE WHEN kind = 'heading' THEN 1 END) AS headings, count(CASE WHEN kind = 'list' THEN 1 END) AS lists, max(length(p)) AS longest FROM k GROUP BY doc_id""")
 def text_blocks(spark, sf_dir):
-    """Blocks a document has, apart from those that begin with a Markdown heading."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.empty(F.col("text")).alias("text"))
-    plain = F.filter(F.split("text", "\n\n"), lambda b: ~F.substring_index(X.strip(b), "\n", 1).rlike(r"^#{1,6}\s"))
-    rows = T.blocks(docs.withColumn("text", F.array_join(plain, "\n\n")))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("blocks"), F.max(F.length("block")).cast("long").alias("longest"))
+    """All blocks of each document by kind: a Markdown heading line is one, what follows it in its block another."""
+    rows = T.blocks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    return rows.groupBy("doc_id").agg(F.count("*").alias("blocks"), of("heading").alias("headings"), of("list").alias("lists"), F.max(F.length("block")).cast("long").alias("longest"))
 
 
 LINES = "SELECT doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents"
