@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..operators import fulltext as U
 from ..operators import intents as I
 from ..operators import media as M
+from ..operators import pdf as PDF
 from ..operators import places as P
 from ..operators import retrieval as R
 from ..session import shared_path, table
@@ -124,6 +125,54 @@ def page_batches(spark, sf_dir):
     return M.page_batches(rows, "conv_id", 2).select("conv_id", "page_no", "route", "batch_no")
 
 
+def page_model(prompt):
+    """Stands in for a model: marks up the pages it is given, with a heading on each fifth. It fails for batches that begin at a page
+    7n + 5 and leaves out the marks of pages 11n + 6."""
+    pages = [(int(n), body) for n, body in zip(*[iter(PDF.MARK.split(prompt.split("mark.\n", 1)[1])[1:])] * 2)]
+    if pages[0][0] % 7 == 5:
+        raise RuntimeError("no answer")
+    section = prompt.split("section: ", 1)[1].split("\n", 1)[0] if "section: " in prompt.split("[PAGE", 2)[1] else ""
+    said = "\n".join(f"[PAGE {n}]\n" + (f"## S{n}\n\n" if n % 5 == 0 else "") + f"under {section or 'none'}: {len(body.strip())}" for n, body in pages if n % 11 != 6)
+    return said, {"prompt_tokens": 3, "completion_tokens": len(pages)}
+
+
+def page_vision(image, section):
+    return f"# V{image}\n\nfigure" if int(image) % 2 else None
+
+
+STATED = "translate(coalesce(text, ''), '#[', '')"
+MARKED = f"""p AS (SELECT conv_id, turn, {strip(STATED)} AS t, (turn % 7 = 3 OR {strip(STATED)} = '')::INTEGER AS blank FROM conversations), r AS (SELECT *, sum(blank) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM p),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id, run, blank ORDER BY turn) - 1 AS place FROM r),
+b AS (SELECT *, sum(CASE WHEN blank = 1 OR place % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS batch_no FROM s),
+f AS (SELECT *, min(turn) OVER (PARTITION BY conv_id, batch_no) AS head, min(turn) FILTER (turn % 11 <> 6) OVER (PARTITION BY conv_id, batch_no) AS said FROM b),
+st AS (SELECT *, CASE WHEN blank = 1 THEN CASE WHEN turn % 2 = 1 THEN 'ok' ELSE 'failed' END WHEN head % 7 <> 5 AND turn % 11 <> 6 THEN 'ok' ELSE 'raw' END AS status FROM f),
+hd AS (SELECT conv_id, batch_no, arg_max(CASE WHEN blank = 1 THEN 'V' || turn ELSE 'S' || turn END, turn) FILTER (status = 'ok' AND (blank = 1 OR turn % 5 = 0)) AS name FROM st GROUP BY conv_id, batch_no),
+ah AS (SELECT conv_id, batch_no, coalesce(last_value(name IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY batch_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before FROM hd),
+mk AS (SELECT conv_id, turn AS page_no, batch_no, CASE WHEN blank = 1 THEN 'vision' ELSE 'text' END AS route, status, before, head,
+ CASE WHEN status = 'failed' THEN NULL WHEN status = 'raw' THEN t WHEN blank = 1 THEN '# V' || turn || chr(10) || chr(10) || 'figure'
+ ELSE CASE WHEN turn % 5 = 0 THEN '## S' || turn || chr(10) || chr(10) ELSE '' END || 'under ' || coalesce(nullif(before, ''), 'none') || ': ' || length(t) END AS page FROM st JOIN ah USING (conv_id, batch_no))"""
+
+
+def marked_pages(spark, sf_dir):
+    """Conversations as documents and turns as pages, each seventh without text; marks of headings and pages are taken out."""
+    text = F.when(F.col("turn") % 7 != 3, X.strip(F.translate(X.empty(F.col("text")), "#[", "")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("page_no"), text.alias("text"), F.col("turn").cast("string").alias("image"))
+    return PDF.marked_up(rows, "conv_id", page_model, page_vision, size=2, most_pages=100_000, page_input=1_000_000)
+
+
+@query(f"WITH {MARKED} SELECT conv_id, page_no, batch_no, route, status, before AS section_before, sha1(page) AS text_sha1 FROM mk")
+def structured_pages(spark, sf_dir):
+    rows = marked_pages(spark, sf_dir)
+    return rows.select("conv_id", F.col("page_no").cast("long").alias("page_no"), "batch_no", "route", "status", "section_before", F.sha1("text").alias("text_sha1"))
+
+
+@query(f"""WITH {MARKED} SELECT conv_id, count(*) AS pages, count(DISTINCT CASE WHEN route = 'text' THEN batch_no END) AS text_batches, count(CASE WHEN route = 'vision' AND status = 'ok' THEN 1 END) AS vision_done,
+ count(CASE WHEN status = 'raw' THEN 1 END) AS raw_pages, count(CASE WHEN status = 'failed' THEN 1 END) AS failed_pages, bool_or(status <> 'ok') AS degraded, sum(CASE WHEN route = 'text' AND page_no = head AND head % 7 <> 5 THEN 3 ELSE 0 END)::BIGINT AS prompt_tokens FROM mk GROUP BY conv_id""")
+def structured_report(spark, sf_dir):
+    rows = PDF.report(marked_pages(spark, sf_dir), "conv_id")
+    return rows.select("conv_id", "pages", "text_batches", "vision_done", *[F.size(c).cast("long").alias(c) for c in ("raw_pages", "failed_pages")], "degraded", "prompt_tokens")
+
+
 NOW = datetime.datetime(1998, 1, 1, tzinfo=datetime.timezone.utc)
 
 
