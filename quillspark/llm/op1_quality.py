@@ -5,7 +5,8 @@
    all labelled rows outside the held-out fold; a logistic slope and intercept calibrate the sum.
 2. Hosts and paths get posteriors from grouped aggregates of their documents' probabilities: a host's mean is shrunk
    towards the global mean, a path's towards its host's. How much, the prior's strength in documents, comes from the
-   data by moments: the spread of the groups' means beyond what sampling explains. A sparse site stays near the prior.
+   data by moments: the spread of hosts about the global mean, and of paths about their own host's, beyond what sampling
+   explains; documents vary within their path. A sparse site stays near the prior.
 3. A document's score adds, in log-odds, its own evidence and its path's posterior against the global mean, with its own
    part taken out of the sums.
 
@@ -13,7 +14,8 @@ Sums run with map-side combine, so a hot host costs a partial row a task; docume
 equi-join of narrow rows that adaptive execution can split.
 
 Defined cases: null texts count as empty; a null host or path is a group of its own; without labels of both
-kinds the evidence is 0 and scores are 0.5; repeated rows each get a row.
+kinds the evidence is 0 and scores are 0.5; repeated rows each get a row, and equal texts of one path equal scores; a score of
+exactly KEEP is kept; texts of any length are read whole; other columns, of whatever name, aren't read and don't come back.
 """
 
 from __future__ import annotations
@@ -91,13 +93,18 @@ def calibration(labelled: DataFrame) -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
-def strength(groups: DataFrame, mean: float, within: float) -> float:
-    """The prior's strength in documents, by moments: groups' means vary by between + within / n; within / between."""
-    row = groups.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.lit(mean), F.lit(2))).alias("v"), F.count("*").alias("k"), F.sum(F.col("n") * F.col("n")).alias("nn")).first()
-    if not row["k"] or row["k"] < 2:
+def strength(groups: DataFrame, within: float) -> float:
+    """The prior's strength in documents, by moments, from groups (parent, n, s): means of a parent's groups vary about the parent's
+    own mean by between + within / n, and so `within / between` documents weigh as much as the parent. Parents of one group tell
+    nothing. Only sums of sums leave the executors."""
+    mean = F.col("s") / F.col("n")
+    # the spread about the parent's mean, as a difference of sums of squares, so that one aggregate by parent is enough
+    per = groups.groupBy("parent").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("s") * mean).alias("ss"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("k"))
+    several = per.filter("k > 1").select((F.col("ss") - F.col("s") * mean).alias("v"), (F.col("k") - 1).alias("free"), (F.col("n") - F.col("nn") / F.col("n")).alias("spread"))
+    row = several.agg(*[F.sum(c).alias(c) for c in ("v", "free", "spread")]).first()
+    if row["free"] is None:
         return 1e6
-    spread = max(row["n"] - row["nn"] / row["n"], 1e-9)
-    between = max((row["v"] - (row["k"] - 1) * within) / spread, 1e-9)
+    between = max((row["v"] - row["free"] * within) / max(row["spread"], 1e-9), 1e-9)
     return min(max(within / between, 1.0), 1e6)
 
 
@@ -114,12 +121,13 @@ def assess(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_co
         evidence = F.lit(slope) * weighted_sum(weights) + F.lit(intercept)
     p = 1 / (1 + F.exp(-F.col("evidence")))
     scored = rows.select("doc_id", "host", "path", F.greatest(F.lit(-12.0), F.least(F.lit(12.0), evidence)).alias("evidence")).withColumn("p", p)
-    whole = scored.agg(F.avg("p").alias("m"), F.coalesce(F.var_samp("p"), F.lit(0.0)).alias("v")).first()
+    paths = checkpointed(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.coalesce(F.var_samp("p"), F.lit(0.0)).alias("v")))
+    spread = F.sum(F.col("v") * (F.col("n") - 1)) / F.nullif(F.sum(F.col("n") - 1), F.lit(0))
+    whole = paths.agg((F.sum("s") / F.sum("n")).alias("m"), spread.alias("v")).first()
     mean, within = whole["m"] if whole["m"] is not None else 0.5, max(whole["v"] or 0.0, 1e-6)
-    paths = checkpointed(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
-    k_host = strength(hosts.select(F.col("host_n").alias("n"), F.col("host_s").alias("s")), mean, within)
-    k_path = strength(paths, mean, within)
+    k_host = strength(hosts.select(F.lit(0).alias("parent"), F.col("host_n").alias("n"), F.col("host_s").alias("s")), within)
+    k_path = strength(paths.select(F.col("host").alias("parent"), "n", "s"), within)
     sites = paths.join(hosts, "host")
     less = lambda c, by: F.greatest(F.col(c) - by, F.lit(0.0))
     host_post = (less("host_s", F.col("p")) + F.lit(k_host * mean)) / (less("host_n", F.lit(1)) + F.lit(k_host))
