@@ -25,6 +25,8 @@ REDACTIONS = (
     (r"\+?\d[\d\s\-()]{7,}\d", "[phone]"),
     (r"\b\d{10}\b", "[id-number]"),
 )
+#: What a card, a phone number and an id of these patterns each have in them.
+LONG_NUMBER = r"\d[\d\s\-()]{7,}\d"
 INJECTION = r"(ignore (all )?previous instructions|disregard .*instructions|system prompt|jailbreak|pretend (you are|to be)|do anything now|DAN mode)"
 # Bounds of a heading, the marks that end none, and what begins a list item.
 HEADING_CHARS, HEADING_WORDS, HEADING_BAD_END = 100, 12, ".!?؟…:؛,،;"
@@ -86,11 +88,18 @@ def squeezed(x: Column) -> Column:
 
 
 def redact(x: Column) -> Column:
-    """E-mail addresses, card numbers, phone numbers and ten-digit ids, replaced in this order; null gives ''."""
-    out = empty(x)
-    for pattern, mark in REDACTIONS:
-        out = F.regexp_replace(out, pattern, mark.replace("[", r"\["))
-    return out
+    """E-mail addresses, card numbers, phone numbers and ten-digit ids, replaced in this order; null gives ''. A text without an @, or
+    without nine digits in a row of digits and separators, which each of the three kinds of numbers has, skips their passes."""
+
+    def replaced(y: Column, kinds: list[tuple[str, str]]) -> Column:
+        for pattern, mark in kinds:
+            y = F.regexp_replace(y, pattern, mark.replace("[", r"\["))
+        return y
+
+    # a match begins where a run of its first characters does, or where the last match ended: a long run is read once
+    email = [(r"(?:\G|(?<![A-Za-z0-9._%+-]))" + pattern, mark) for pattern, mark in REDACTIONS[:1]]
+    out = F.when(F.contains(empty(x), F.lit("@")), replaced(empty(x), email)).otherwise(empty(x))
+    return F.when(out.rlike(LONG_NUMBER), replaced(out, REDACTIONS[1:])).otherwise(out)
 
 
 def injection_attempt(x: Column) -> Column:

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import text as X
 
@@ -62,10 +63,19 @@ def newest(df: DataFrame, limit: int, most: int, key: str, at: str = "created_at
     return df.orderBy(F.desc(at), key).limit(max(1, min(limit, most)))
 
 
+def list_order() -> list[Column]:
+    """Pinned conversations first, then the newest, ties by id."""
+    return [F.desc(F.coalesce("pinned", F.lit(False))), F.desc("created_at"), F.col("conversation_id")]
+
+
 def conversation_list(conversations: DataFrame, owner: str) -> DataFrame:
     """An owner's conversations, pinned ones first, then the newest."""
-    own = conversations.filter(F.col("user_id") == owner)
-    return own.orderBy(F.desc(F.coalesce("pinned", F.lit(False))), F.desc("created_at"), "conversation_id")
+    return conversations.filter(F.col("user_id") == owner).orderBy(*list_order())
+
+
+def conversation_places(conversations: DataFrame) -> DataFrame:
+    """All rows with `place`, from 1, in the list of their owner."""
+    return conversations.withColumn("place", F.row_number().over(W.partitionBy("user_id").orderBy(*list_order())))
 
 
 def patched(states: DataFrame, patches: DataFrame, key: str) -> DataFrame:

@@ -162,10 +162,13 @@ def threshold(hits: DataFrame, min_score: float) -> DataFrame:
 
 
 def dedupe_content(hits: DataFrame) -> DataFrame:
-    """Of equal normalised contents the best-placed one; blank ones all stay."""
+    """Of equal normalised contents the best-placed one; blank ones all stay, each a group of its own, so that many of them aren't one
+    window. Hits of one content and place all stay but one."""
+    blank = X.strip(X.empty(F.col("content"))) == ""
     own = W.partitionBy("__d").orderBy("position")
-    marked = hits.withColumn("__d", X.content_hash(F.col("content"))).withColumn("__n", F.row_number().over(own))
-    return marked.filter((F.col("__n") == 1) | (X.strip(X.empty(F.col("content"))) == "")).drop("__d", "__n")
+    digest = F.when(blank, F.concat(F.lit("blank "), F.col("position").cast("string"))).otherwise(X.content_hash(F.col("content")))
+    marked = hits.withColumn("__b", blank).withColumn("__d", digest).withColumn("__n", F.row_number().over(own))
+    return marked.filter((F.col("__n") == 1) | F.col("__b")).drop("__b", "__d", "__n")
 
 
 def heuristic_rerank(query: str, hits: DataFrame, top_k: int) -> DataFrame:

@@ -68,13 +68,12 @@ def audit_newest(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT conv_id, max(turn) AS turns FROM conversations GROUP BY conv_id)
-SELECT conv_id, row_number() OVER (ORDER BY CASE WHEN conv_id % 9 = 0 THEN 0 ELSE 1 END, turns DESC, conv_id) AS place FROM c WHERE conv_id % 2 = 0""")
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id // 10 ORDER BY CASE WHEN conv_id % 9 = 0 THEN 0 ELSE 1 END, turns DESC, conv_id) AS place FROM c""")
 def conversation_list(spark, sf_dir):
-    """The list in order: places are those of the rows as they come."""
+    """The lists of all people, ten conversations each."""
     by = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("conversation_id")).agg(F.max("turn").alias("created_at"))
-    rows = by.withColumn("pinned", F.when(F.col("conversation_id") % 9 == 0, True)).withColumn("user_id", (F.col("conversation_id") % 2).cast("string"))
-    whole = C.conversation_list(rows, "0").agg(F.collect_list("conversation_id").alias("l"))  # one person's list, as it is shown
-    return whole.select(F.posexplode("l").alias("p", "conv_id")).select("conv_id", (F.col("p") + 1).cast("long").alias("place"))
+    rows = by.withColumn("pinned", F.when(F.col("conversation_id") % 9 == 0, True)).withColumn("user_id", F.floor(F.col("conversation_id") / 10).cast("string"))
+    return C.conversation_places(rows).select(F.col("conversation_id").alias("conv_id"), F.col("place").cast("long").alias("place"))
 
 
 @query("""WITH k AS (SELECT p_partkey AS id, p_size % 3 AS a, p_size % 4 AS b FROM part)

@@ -240,17 +240,12 @@ def threshold(spark, sf_dir):
     return R.threshold(R.fuse(three_streams(spark, sf_dir), TOP), 0.016).select("chunk_id")
 
 
-@query(f"""WITH {cte("true", "cand")}, pl AS (SELECT chunk_id, row_number() OVER (ORDER BY chunk_id DESC) - 1 AS position, sha1({_norm("content")}) AS h, {strip("content")} = '' AS blank FROM cand)
+@query(f"""WITH {cte("true", "cand")}, pl AS (SELECT chunk_id, -chunk_id AS position, sha1({_norm("content")}) AS h, {strip("content")} = '' AS blank FROM cand)
 SELECT chunk_id, position FROM pl WHERE blank OR position = (SELECT min(position) FROM pl AS o WHERE o.h = pl.h)""")
 def content_dedupe(spark, sf_dir):
     """All chunks as hits, the last chunk first: of equal contents the best-placed one stays."""
-    rows = chunks(spark, sf_dir).filter("status = 'ready'").select("chunk_id", "content")
-    # places from a running count of ids by document, as a window over all rows would be one task
-    per = rows.groupBy(F.floor(F.col("chunk_id") / 100_000).alias("d")).agg(F.count("*").alias("n"))
-    ahead = per.select("d", (F.sum("n").over(W.orderBy(F.desc("d"))) - F.col("n")).alias("ahead"))
-    own = F.row_number().over(W.partitionBy("d").orderBy(F.desc("chunk_id"))) - 1
-    hits = rows.withColumn("d", F.floor(F.col("chunk_id") / 100_000)).withColumn("own", own).join(ahead, "d").withColumn("position", F.col("ahead") + F.col("own"))
-    return R.dedupe_content(hits.select("chunk_id", "content", "position")).select("chunk_id", "position")
+    rows = chunks(spark, sf_dir).filter("status = 'ready'").select("chunk_id", "content", (-F.col("chunk_id")).alias("position"))
+    return R.dedupe_content(rows).select("chunk_id", "position")
 
 
 @query(f"""WITH RECURSIVE {cte(OWN)}, {fused(PLAIN_TITLES)}, near AS (SELECT c.chunk_id, max(fu.score - abs(c.page_no - a.page_no) * 1e-4) AS score FROM fu JOIN cand AS a USING (chunk_id) JOIN cand AS c ON c.source_id = a.source_id GROUP BY c.chunk_id),
