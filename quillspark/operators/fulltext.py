@@ -19,9 +19,9 @@ RULES = ("named", "file", "dominant")
 CONTEXT_KINDS = ("G", "W", "X", "S", "M")  # shared and workspace knowledge, sheets, web search, maps
 
 
-def chosen_source(hits: DataFrame, titles: DataFrame, query: str, share: float = DOMINANCE, least: int = LEAST_CHUNKS) -> DataFrame:
+def chosen_source(hits: DataFrame, titles: DataFrame, query: str, share: float = DOMINANCE, least: int = LEAST_CHUNKS, rules: Sequence[str] = RULES) -> DataFrame:
     """(source_id, filename, title, rule) of the source whose full text is wanted, or no row. Rules in order: the title and
-    name hold every query token; the query speaks of files and shares a longer token with the name; the source owns most hits.
+    name hold every query token; the query speaks of files and shares a longer token with the name; the source owns most hits. Those of `rules` alone are tried.
 
     hits: source_id, filename, position (50 rows at most); titles: source_id, title, of which the longest counts.
     """
@@ -34,14 +34,15 @@ def chosen_source(hits: DataFrame, titles: DataFrame, query: str, share: float =
     tokens = X.tokens(F.concat_ws(" ", "title", X.empty(F.col("filename"))))
     named = F.lit(bool(asked)) & (F.size(F.array_except(R.strings(asked), tokens)) == 0)
     overlap = F.size(F.array_intersect(F.filter(X.tokens(F.col("filename")), lambda t: F.length(t) >= LONG_TOKEN), R.strings(asked)))
-    rule = F.when(named, 0).when(F.lit(about_files) & (overlap > 0), 1).when((F.col("n") >= least) & (F.col("n") / F.col("__all") >= share), 2)
+    holds = {"named": named, "file": F.lit(about_files) & (overlap > 0), "dominant": (F.col("n") >= least) & (F.col("n") / F.col("__all") >= share)}
+    rule = F.coalesce(*[F.when(holds[r] & F.lit(r in rules), k) for k, r in enumerate(RULES)])
     ranked = x.withColumn("__rule", rule).filter("__rule is not null").orderBy("__rule", F.when(F.col("__rule") == 1, -overlap).otherwise(-F.col("n") * (F.col("__rule") == 2).cast("int")), "first")
     return ranked.limit(1).select("source_id", "filename", "title", F.element_at(R.strings(RULES), F.col("__rule") + 1).alias("rule"))
 
 
-def source_fulltext(hits: DataFrame, titles: DataFrame, segments: DataFrame, query: str, order: Sequence[str] = ("document_id", "page_no", "start_ms"), cap: int = FULLTEXT_CHARS, share: float = DOMINANCE, least: int = LEAST_CHUNKS) -> DataFrame:
+def source_fulltext(hits: DataFrame, titles: DataFrame, segments: DataFrame, query: str, order: Sequence[str] = ("document_id", "page_no", "start_ms"), cap: int = FULLTEXT_CHARS, share: float = DOMINANCE, least: int = LEAST_CHUNKS, rules: Sequence[str] = RULES) -> DataFrame:
     """chosen_source with its `text` (cut at `cap`) and `truncated`; no row where nothing is chosen or it has no text."""
-    chosen = chosen_source(hits, titles, query, share, least)
+    chosen = chosen_source(hits, titles, query, share, least, rules)
     return chosen.crossJoin(F.broadcast(I.capped_text(I.of_source(segments, chosen), order, cap)))  # one row by one row
 
 

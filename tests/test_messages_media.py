@@ -73,6 +73,13 @@ def test_chosen_source(spark, query, hits, want):
     assert (row and (row["source_id"], row["rule"])) == want
 
 
+def test_one_rule_alone(spark):
+    titles = spark.createDataFrame([("a", "The Annual Summary")], "source_id string, title string")
+    hits = spark.createDataFrame([("b", "x.txt", 0), ("b", "x.txt", 1), ("a", "q.txt", 2)], HITS)
+    row = fulltext.chosen_source(hits, titles, "annual summary", rules=("dominant",)).first()
+    assert (row["source_id"], row["rule"]) == ("b", "dominant")
+
+
 def test_fulltext_needs_text(spark):
     titles = spark.createDataFrame([("b", "t")], "source_id string, title string")
     hits = spark.createDataFrame([("b", "x.txt", 0), ("b", "x.txt", 1)], HITS)

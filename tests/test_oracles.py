@@ -34,3 +34,21 @@ def test_text_blocks_of_texts_with_headings(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert QUERIES["text_blocks"](spark, str(tmp_path)).count() == 12  # a heading without a title is no block
     assert compare.difference(spark, con, "text_blocks", QUERIES["text_blocks"], ORACLES["text_blocks"], str(tmp_path)) is None
+
+
+def differs(spark, path, name, **tables):
+    """difference of a query on tables of its own: (rows, schema) by name."""
+    con = compare.duckdb.connect()
+    for t, (rows, kind) in tables.items():
+        spark.createDataFrame(rows, kind).write.parquet(f"{path}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}/{t}.parquet/*.parquet')")
+    return compare.difference(spark, con, name, QUERIES[name], ORACLES[name], str(path))
+
+
+DOCS, VECTORS = "doc_id long, text string, lang string, source string", ([(0, [1.0] + [0.0] * 63)], "vec_id long, embedding array<float>")
+
+
+def test_source_fulltext_where_another_is_named(spark, tmp_path):
+    """A title holds the whole question, and another document has most hits: SQL takes the dominant one."""
+    texts = ["the with that " * 3, "that the x with " * 9, "with that the " * 500]
+    assert differs(spark, tmp_path, "source_fulltext", documents=([(k + 1, t, "en", "src1") for k, t in enumerate(texts)], DOCS), embeddings=VECTORS) is None
