@@ -70,11 +70,12 @@ def content_hash(x: Column) -> Column:
     return F.sha1(normalize(empty(x)))
 
 
-def sanitize_name(x: Column, fallback: Column) -> Column:
-    """A column name: [a-z0-9_], single inner underscores, no leading digit, 60 characters at most."""
+def sanitize_name(x: Column, fallback: Column, digit_first: bool = False) -> Column:
+    """A column name: [a-z0-9_], single inner underscores, 60 characters at most; no leading digit unless digit_first."""
     name = F.regexp_replace(F.regexp_replace(F.lower(strip(empty(x))), "[^a-z0-9_]", "_"), "_+", "_")
     name = F.regexp_replace(name, "^_|_$", "")
-    return F.substring(F.when(name.rlike("^[0-9]") | (name == ""), fallback).otherwise(name), 1, 60)
+    unfit = (name == "") if digit_first else name.rlike("^[0-9]") | (name == "")
+    return F.substring(F.when(unfit, fallback).otherwise(name), 1, 60)
 
 
 def value_norm(x: Column) -> Column:

@@ -88,6 +88,8 @@ def test_scalars(spark):
     assert one(spark, X.clock_ms(F.col("x")), "01:02.500") == 62_500
     assert one(spark, X.sanitize_name(F.col("x"), F.lit("col_1")), " Total (USD) ") == "total_usd"
     assert one(spark, X.sanitize_name(F.col("x"), F.lit("col_1")), "نام") == "col_1"
+    assert one(spark, X.sanitize_name(F.col("x"), F.lit("col_1")), "2024 sales") == "col_1"
+    assert one(spark, X.sanitize_name(F.col("x"), F.lit("col_1"), digit_first=True), "2024 sales") == "2024_sales"
     assert one(spark, X.json_object(F.col("x")), 'sure:\n```json\n{"a": 1}\n```') == '{"a": 1}'
     assert one(spark, X.json_strings(F.col("x")), 'x ["a", "a", " b "]') == ["a", "b"]
     assert one(spark, X.render("hi {name}", name=F.col("x")), "Al") == "hi Al" and one(spark, X.render("hi {other}", name=F.col("x")), "Al") is None

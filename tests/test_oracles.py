@@ -52,3 +52,8 @@ def test_source_fulltext_where_another_is_named(spark, tmp_path):
     """A title holds the whole question, and another document has most hits: SQL takes the dominant one."""
     texts = ["the with that " * 3, "that the x with " * 9, "with that the " * 500]
     assert differs(spark, tmp_path, "source_fulltext", documents=([(k + 1, t, "en", "src1") for k, t in enumerate(texts)], DOCS), embeddings=VECTORS) is None
+
+
+def test_text_helpers_of_texts_that_begin_with_a_digit(spark, tmp_path):
+    texts = ["2024 sales", "94 182.225", " 7", "_9 lives_", "one 2", "نام", "", None]
+    assert differs(spark, tmp_path, "text_helpers", documents=([(k, t, "en", "src1") for k, t in enumerate(texts)], DOCS)) is None
