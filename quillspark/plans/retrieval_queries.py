@@ -17,7 +17,7 @@ from ..operators import evaluation as E
 from ..operators import retrieval as R
 from ..operators import scope as S
 from ..operators import structure as T
-from ..session import shared_path, stored, table
+from ..session import numbered, shared_path, stored, table
 from .registry import folded, listed, query, quoted, strip, terms, tokens, words
 from .text_queries import CHUNK_CTE
 
@@ -240,12 +240,12 @@ def threshold(spark, sf_dir):
     return R.threshold(R.fuse(three_streams(spark, sf_dir), TOP), 0.016).select("chunk_id")
 
 
-@query(f"""WITH {cte("true", "cand")}, pl AS (SELECT chunk_id, -chunk_id AS position, sha1({_norm("content")}) AS h, {strip("content")} = '' AS blank FROM cand)
+@query(f"""WITH {cte("true", "cand")}, pl AS (SELECT chunk_id, row_number() OVER (ORDER BY chunk_id DESC) - 1 AS position, sha1({_norm("content")}) AS h, {strip("content")} = '' AS blank FROM cand)
 SELECT chunk_id, position FROM pl WHERE blank OR position = (SELECT min(position) FROM pl AS o WHERE o.h = pl.h)""")
 def content_dedupe(spark, sf_dir):
     """All chunks as hits, the last chunk first: of equal contents the best-placed one stays."""
-    rows = chunks(spark, sf_dir).filter("status = 'ready'").select("chunk_id", "content", (-F.col("chunk_id")).alias("position"))
-    return R.dedupe_content(rows).select("chunk_id", "position")
+    rows = chunks(spark, sf_dir).filter("status = 'ready'").select("chunk_id", "content")
+    return R.dedupe_content(numbered(rows, "position", F.desc("chunk_id"))).select("chunk_id", "position")
 
 
 @query(f"""WITH RECURSIVE {cte(OWN)}, {fused(PLAIN_TITLES)}, near AS (SELECT c.chunk_id, max(fu.score - abs(c.page_no - a.page_no) * 1e-4) AS score FROM fu JOIN cand AS a USING (chunk_id) JOIN cand AS c ON c.source_id = a.source_id GROUP BY c.chunk_id),

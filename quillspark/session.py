@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings that results or plans rely on; cluster sizes (executors, memory, shuffle partitions) stay with the caller.
 SETTINGS = {
@@ -81,3 +82,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df with each row's place in this order, from 0. Rows are dealt by ranges of the order and numbered within their partition; the driver
+    sees one count a partition, so no task holds them all. df is written first, as dealing by range reads it twice."""
+    dealt = stored(df, f"{name}-rows").repartitionByRange(*order).sortWithinPartitions(*order)
+    # the lower 33 bits are the row within its partition
+    local = stored(dealt.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), f"{name}-places")
+    ahead, n = [], 0
+    for part, count in sorted(local.groupBy("__part").count().collect()):
+        ahead.append((part, n))
+        n += count
+    offsets = F.broadcast(df.sparkSession.createDataFrame(ahead, "__part int, __ahead long"))
+    return local.join(offsets, "__part").withColumn(name, F.col("__ahead") + F.col("__row")).select(*df.columns, name)

@@ -382,3 +382,10 @@ def test_workbook_relations_types_and_dispatch(spark, tmp_path):
         with pytest.raises(ValueError):
             files.parse_source(spark, kind, str(tmp_path))
     assert files.parse_source(spark, "pdf", str(tmp_path / "book"), {"pdf": lambda f: f.select("path")}).count() == 1
+
+
+def test_numbered_over_many_partitions(spark):
+    df = spark.range(1000).withColumn("k", F.col("id") * 7919 % 1009).repartition(7)
+    rows = session.numbered(df, "n", F.desc("k")).collect()
+    assert [r["n"] for r in sorted(rows, key=lambda r: -r["k"])] == list(range(1000))
+    assert session.numbered(df.filter("id < 0"), "n", F.desc("k")).count() == 0

@@ -57,3 +57,12 @@ def test_source_fulltext_where_another_is_named(spark, tmp_path):
 def test_text_helpers_of_texts_that_begin_with_a_digit(spark, tmp_path):
     texts = ["2024 sales", "94 182.225", " 7", "_9 lives_", "one 2", "نام", "", None]
     assert differs(spark, tmp_path, "text_helpers", documents=([(k, t, "en", "src1") for k, t in enumerate(texts)], DOCS)) is None
+
+
+def test_content_dedupe_counts_places(spark, tmp_path):
+    """Places run from 0 over all chunks, those of removed copies too."""
+    texts = ["b c d " * 200, "a", "b", "a", "x y " * 500, "b", "A", None, " "]
+    docs = [(k * 7, t, "en", "src1") for k, t in enumerate(texts)]
+    assert differs(spark, tmp_path, "content_dedupe", documents=(docs, DOCS), embeddings=VECTORS) is None
+    places = [r["position"] for r in QUERIES["content_dedupe"](spark, str(tmp_path)).collect()]
+    assert min(places) == 0 and max(places) < 12
