@@ -1,7 +1,7 @@
 """An inverted full-text index: posting lists with positions, in folders by workspace and hash bucket of the term.
 
-A row is one block of one term's postings: (kb_id, term, postings of chunk_id, source_id, positions), `BLOCK` postings at most, so
-a hot term is many rows and no task builds or reads it as one. Rows are sorted by term, so that a search reads its buckets' folders and
+A row is one block of one term's postings: (kb_id, term, postings of chunk_id, source_id, positions), those of one slice of chunks, `BLOCK`
+postings at most, so a hot term is many rows and no task builds or reads it as one. Rows are sorted by term, so that a search reads its buckets' folders and
 there the row groups of its terms alone. Terms are those of `functions.text.terms`; positions count from 1.
 
 Re-ingesting sources appends a generation with their new postings and a note that older ones of those sources are void; `compacted`
@@ -22,7 +22,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,7 @@ from ..functions import text as X
 from ..operators.retrieval import query_terms, strings
 
 BUCKETS, BLOCK = 64, 4096
+TERMS_AT_ONCE = 1 << 21  # terms of a slice, and pairs of positions, that one numpy step looks at
 # The formula's weight, its largest distance and position, positions kept a term, and the limit of the sum of 1 / i**2.
 WEIGHT, FAR, LAST_POSITION, MOST_POSITIONS, LIMIT = 0.1, 100, 16383, 256, 1.64493406685
 SHARED = "__shared"
@@ -42,32 +45,56 @@ def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def occurrences(chunks: DataFrame, buckets: int) -> DataFrame:
-    """(workspace, bucket, kb_id, term, chunk_id, source_id, positions): a row a term and chunk, made inside the chunk's row."""
+def occurrences(chunks: DataFrame, buckets: int, block: int) -> DataFrame:
+    """(workspace, bucket, kb_id, term, postings): each term's postings in a slice of `block` chunks at most, sorted and cut as Arrow columns.
+    Chunks are tokenised once, where they lie: only blocks are shuffled."""
     found = F.col("terms") if "terms" in chunks.columns else X.terms(F.col("content"))
     workspace = F.coalesce(F.col("workspace_id").cast("string"), F.lit(SHARED))
     rows = chunks.filter("chunk_id is not null and source_id is not null").select(workspace.alias("workspace"), F.col("kb_id").cast("string").alias("kb_id"), "chunk_id", "source_id", found.alias("terms"))
-    out = [f"{n} {k}" for n, k in rows.dtypes if n != "terms"] + ["term string", "positions array<int>"]
+    kinds = dict(rows.dtypes)
+    out = f"workspace string, kb_id string, term string, postings array<struct<chunk_id:{kinds['chunk_id']},source_id:{kinds['source_id']},positions:array<int>>>"
+
+    def cut(part: pa.RecordBatch) -> pa.RecordBatch:
+        lengths = pc.fill_null(pc.list_value_length(part.column(4)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(lengths)
+        owner, place = np.repeat(np.arange(len(lengths)), lengths), np.arange(1, ends[-1] + 1) - np.repeat(ends - lengths, lengths)
+        terms = part.column(4).flatten().dictionary_encode()
+        spaces, kbs = (part.column(i).dictionary_encode(null_encoding="encode") for i in (0, 1))
+        group = spaces.indices.to_numpy().astype(np.int64) * len(kbs.dictionary) + kbs.indices.to_numpy()
+        key = group[owner] * len(terms.dictionary) + terms.indices.to_numpy()
+        order = np.argsort(key, kind="stable")  # chunks and places stay in order within a term
+        key, owner, place = key[order], owner[order], place[order]
+        turn = np.concatenate([[True], key[1:] != key[:-1]])
+        at = np.flatnonzero(turn | np.concatenate([[True], owner[1:] != owner[:-1]]))  # where a posting begins
+        first = np.flatnonzero(turn[at])  # the first posting of a term
+        positions = pa.ListArray.from_arrays(pa.array(np.append(at, len(key)), pa.int32()), pa.array(place, pa.int32()))
+        held = pa.StructArray.from_arrays([*(part.column(i).take(pa.array(owner[at])) for i in (2, 3)), positions], ["chunk_id", "source_id", "positions"])
+        lead = at[first]
+        columns = [*(part.column(i).take(pa.array(owner[lead])) for i in (0, 1)), terms.dictionary.take(pa.array(key[lead] % len(terms.dictionary)))]
+        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), held)], names=["workspace", "kb_id", "term", "postings"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, terms, places = [], [], []
-            for i, words in enumerate(batch.column(4).to_pylist()):
-                at: dict[str, list[int]] = {}
-                for n, w in enumerate(words, 1):
-                    at.setdefault(w, []).append(n)
-                owner += [i] * len(at)
-                terms += at.keys()
-                places += at.values()
-            kept = [batch.column(i).take(pa.array(owner, pa.int64())) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(terms, pa.string()), pa.array(places, pa.list_(pa.int32()))], names=[*batch.schema.names[:4], "term", "positions"])
+            for start in range(0, batch.num_rows, block):
+                few = batch.slice(start, block)
+                few = few.filter(pc.greater(pc.fill_null(pc.list_value_length(few.column(4)), 0), 0))
+                counts = np.cumsum(pc.list_value_length(few.column(4)).to_numpy(zero_copy_only=False))
+                while few.num_rows:  # a slice of many terms is cut before it is sorted
+                    n = max(1, int(np.searchsorted(counts, TERMS_AT_ONCE, side="right")))
+                    yield cut(few.slice(0, n))
+                    few, counts = few.slice(n), counts[n:] - counts[n - 1]
+
+    spread = rows.mapInArrow(run, out)
+    return spread.select("workspace", bucket_of(F.col("term"), buckets).alias("bucket"), "kb_id", "term", "postings")
 
-    spread = rows.mapInArrow(run, ", ".join(out))
-    return spread.select("workspace", bucket_of(F.col("term"), buckets).alias("bucket"), "kb_id", "term", "chunk_id", "source_id", "positions")
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """Blocks by folder, in the order of their terms; a folder with many rows, as a hot term makes it, is split over tasks."""
+    return rows.hint("rebalance", "workspace", "bucket").sortWithinPartitions("workspace", "bucket", "term")
 
 
 def blocks(rows: DataFrame, block: int) -> DataFrame:
-    """Occurrences in blocks: dealt by ranges of (workspace, bucket, term, chunk), so a hot term lies in several tasks; each task
+    """Postings, one a row, in blocks: dealt by ranges of (workspace, bucket, term, chunk), so a hot term lies in several tasks; each task
     streams its rows and holds one block."""
     keys = ["workspace", "bucket", "term", "kb_id", "chunk_id"]
     dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
@@ -118,7 +145,7 @@ def write(chunks: DataFrame, path: str, buckets: int = BUCKETS, block: int = BLO
     spark = chunks.sparkSession
     number = generation(spark, path) + 1
     part = f"{number:08d}-{uuid.uuid4().hex}"  # what a run that failed left behind has no note and is never read
-    blocks(occurrences(chunks, buckets), block).withColumn("part", F.lit(part)).write.mode("append").partitionBy("part", "workspace", "bucket").parquet(f"{path}/blocks")
+    gathered(occurrences(chunks, buckets, block)).write.partitionBy("workspace", "bucket").parquet(f"{path}/blocks/part={part}")
     gone = (void if void is not None else chunks.limit(0)).select(F.col("source_id").cast("string").alias("source_id")).filter("source_id is not null").distinct()
     note = gone.unionByName(spark.createDataFrame([(None,)], "source_id string")).select(F.lit(number).alias("generation"), F.lit(part).alias("part"), F.lit(buckets).alias("buckets"), "source_id")
     note.coalesce(1).write.mode("append").parquet(f"{path}/notes")
@@ -154,29 +181,43 @@ def postings(spark: SparkSession, path: str, workspace: str | None, terms: Seque
     return found.select("term", "chunk_id", "source_id", "positions")
 
 
-def pair_rank(a: Column, b: Column) -> Column:
-    """The product of 1 - weight over pairs of positions of two terms."""
-
-    def near(x: Column, y: Column) -> Column:
-        distance = F.abs(x - y).cast("double")
-        factor = F.when(distance > FAR, 1e-30).otherwise(1.0 / (1.005 + 0.05 * F.exp(distance / 1.5 - 2)))
-        return F.when(distance == 0, 1.0).otherwise(1 - F.sqrt(WEIGHT * WEIGHT * factor))
-
-    return F.aggregate(a, F.lit(1.0), lambda acc, x: acc * F.aggregate(b, F.lit(1.0), lambda inner, y: inner * near(x, y)))
+def weighted_rank(hits: DataFrame, n_terms: int) -> DataFrame:
+    """Adds weight, ts_rank of `by_term` (for each term its ascending positions): one term by its occurrences, several by nearness. by_term
+    itself is dropped."""
+    kept = F.transform("by_term", lambda p: F.transform(F.slice(p, 1, MOST_POSITIONS), lambda x: F.least(x, F.lit(LAST_POSITION))))
+    names = [c for c in hits.columns if c != "by_term"]
+    rows = hits.select(*names, kept.alias("by_term"))
+    # the sum of weight / i**2 over occurrences: the greatest weight counts once in full, and all weights are equal
+    alone = np.concatenate([[0.0], np.cumsum(WEIGHT / np.arange(1, MOST_POSITIONS + 1) ** 2)]) / LIMIT
+    distance = np.arange(1, FAR + 1)
+    near = np.log1p(-np.sqrt(WEIGHT * WEIGHT / (1.005 + 0.05 * np.exp(distance / 1.5 - 2))))
+    factor = np.concatenate([[0.0], near, [0.0]])  # logarithms of 1 - weight by distance; beyond FAR it is within 1e-16 of 0
+    pairs = [(i, j) for i in range(1, n_terms) for j in range(i)]
+
+    def ranked(part: pa.RecordBatch) -> np.ndarray:
+        flat = part.column(len(names)).flatten()
+        sizes = pc.list_value_length(flat).to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, n_terms)
+        if n_terms == 1:
+            return alone[sizes[:, 0]]
+        place = flat.flatten().to_numpy(zero_copy_only=False)
+        first = (np.cumsum(sizes) - sizes.ravel()).reshape(sizes.shape)
+        total = np.zeros(len(sizes))
+        for i, j in pairs:
+            n = sizes[:, i] * sizes[:, j]
+            row = np.repeat(np.arange(len(n)), n)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            x, y = first[row, i] + k // sizes[row, j], first[row, j] + k % sizes[row, j]
+            total += np.bincount(row, factor[np.minimum(np.abs(place[x] - place[y]), FAR + 1)], len(n))
+        return -np.expm1(total)
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, TERMS_AT_ONCE // MOST_POSITIONS**2)
+        for batch in batches:
+            weights = [ranked(batch.slice(k, step)) for k in range(0, batch.num_rows, step)]
+            if weights:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(weights))], names=[*names, "weight"])
 
-def weighted_rank(by_term: Column, n_terms: int) -> Column:
-    """ts_rank of positions by term (an array of arrays, ascending): one term by its occurrences, several by nearness."""
-    kept = F.transform(by_term, lambda p: F.transform(F.slice(p, 1, MOST_POSITIONS), lambda x: F.least(x, F.lit(LAST_POSITION))))
-    if n_terms == 1:
-        # the sum of weight / i**2 over occurrences: the greatest weight counts once in full, and all weights are equal
-        squares = F.aggregate(F.sequence(F.lit(1), F.size(kept[0])), F.lit(0.0), lambda acc, i: acc + WEIGHT / (i * i))
-        return squares / LIMIT
-    pairs = [pair_rank(kept[i], kept[j]) for i in range(1, n_terms) for j in range(i)]
-    out = pairs[0]
-    for p in pairs[1:]:
-        out = out * p
-    return 1 - out
+    return rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in rows.dtypes if n != "by_term") + ", weight double")
 
 
 def search(spark: SparkSession, path: str, workspace: str | None, query: str, limit: int, kb: str | None = None, rank: str = "frequency", candidates: DataFrame | None = None) -> DataFrame:
@@ -188,16 +229,21 @@ def search(spark: SparkSession, path: str, workspace: str | None, query: str, li
     found = postings(spark, path, workspace, terms, kb)
     if not terms:
         return found.limit(0).select("chunk_id", "source_id", F.lit(0).cast("long").alias("frequency"), F.lit(None).cast("double").alias("weight"), F.lit(0).alias("fts_rank"))
-    grouped = found.groupBy("chunk_id", "source_id").agg(F.collect_list(F.struct("term", "positions")).alias("of"))
-    of_term = lambda t: F.array_sort(F.flatten(F.transform(F.filter("of", lambda x: x["term"] == t), lambda x: x["positions"])))
-    hits = grouped.withColumn("by_term", F.array(*map(of_term, terms))).filter(~F.exists("by_term", lambda p: F.size(p) == 0))
-    hits = hits.withColumn("frequency", F.size(F.flatten("by_term")).cast("long"))
+    if rank == "weighted":
+        grouped = found.groupBy("chunk_id", "source_id").agg(F.collect_list(F.struct("term", "positions")).alias("of"))
+        of_term = lambda t: F.array_sort(F.flatten(F.transform(F.filter("of", lambda x: x["term"] == t), lambda x: x["positions"])))
+        hits = grouped.withColumn("by_term", F.array(*map(of_term, terms))).filter(~F.exists("by_term", lambda p: F.size(p) == 0)).withColumn("frequency", F.size(F.flatten("by_term")).cast("long")).drop("of")
+    else:  # counts are enough: no position is shuffled
+        counted = found.select("term", "chunk_id", "source_id", F.size("positions").cast("long").alias("n"))
+        hits = counted.groupBy("chunk_id", "source_id").agg(F.sum("n").alias("frequency"), F.size(F.collect_set("term")).alias("found")).filter(F.col("found") == len(terms))
     if candidates is not None:
         hits = hits.join(candidates.select("chunk_id"), "chunk_id", "left_semi")
-    weight = F.round(weighted_rank(F.col("by_term"), len(terms)), 9) if rank == "weighted" else F.lit(None).cast("double")
-    scored = hits.select("chunk_id", "source_id", "frequency", weight.alias("weight"))
+    if rank == "weighted":
+        scored = weighted_rank(hits, len(terms)).withColumn("weight", F.round("weight", 9))
+    else:
+        scored = hits.select("chunk_id", "source_id", "frequency", F.lit(None).cast("double").alias("weight"))
     by = "weight" if rank == "weighted" else "frequency"
-    best = scored.orderBy(F.desc(by), "chunk_id").limit(limit)
+    best = scored.select("chunk_id", "source_id", "frequency", "weight").orderBy(F.desc(by), "chunk_id").limit(limit)
     return best.withColumn("fts_rank", F.row_number().over(W.orderBy(F.desc(by), "chunk_id")) - 1)
 
 
