@@ -5,6 +5,8 @@ White space is the set that Unicode-aware splitting uses, written as an explicit
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,11 @@ def empty(x: Column) -> Column:
     return F.coalesce(x, F.lit(""))
 
 
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x computed once, however often it is used, inside lambdas too."""
+    return F.transform(F.array(x), use)[0]
+
+
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
@@ -124,24 +131,28 @@ def atx(line: Column) -> Column:
 
 def looks_like_heading(line: Column) -> Column:
     """Short, one line, no final punctuation, neither a list item nor bracketed."""
-    t = strip(empty(line))
-    last = F.substring(t, -1, 1)
-    return (
-        (t != "")
-        & (F.length(t) <= HEADING_CHARS)
-        & ~F.contains(t, F.lit("\n"))
-        & ~t.startswith("[")
-        & ~t.rlike(LIST_MARK)
-        & (F.instr(F.lit(HEADING_BAD_END), last) == 0)
-        & (F.size(words(t)) <= HEADING_WORDS)
-    )
+
+    def fits(t: Column) -> Column:
+        last = F.substring(t, -1, 1)
+        return (
+            (t != "")
+            & (F.length(t) <= HEADING_CHARS)
+            & ~F.contains(t, F.lit("\n"))
+            & ~t.startswith("[")
+            & ~t.rlike(LIST_MARK)
+            & (F.instr(F.lit(HEADING_BAD_END), last) == 0)
+            & (F.size(words(t)) <= HEADING_WORDS)
+        )
+
+    return bound(strip(empty(line)), fits)
 
 
 def looks_like_list(block: Column) -> Column:
     """One marked line at least, and at least half of the lines that aren't blank."""
     lines = F.filter(F.split(empty(block), "\n"), lambda x: strip(x) != "")
     marked = F.size(F.filter(lines, lambda x: x.rlike(LIST_MARK)))
-    return (marked >= 1) & (marked * 2 >= F.size(lines))
+    # most blocks have no mark at all: one pass tells them
+    return empty(block).rlike("(?md)" + LIST_MARK) & (marked >= 1) & (marked * 2 >= F.size(lines))
 
 
 def clock_ms(x: Column) -> Column:

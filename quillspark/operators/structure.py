@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as X
+from ..functions.text import bound
 
 WINDOW, OVERLAP = 400, 60
 TRANSCRIPT_MS = 45_000
@@ -105,10 +106,9 @@ def with_chapter(windows: DataFrame, chapters: DataFrame, key: str) -> DataFrame
     return out.select(*windows.columns, "__last.chapter_start_ms", "__last.section")
 
 
-def blocks(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """A row per block (split at blank lines) with kind heading, list or paragraph; a heading line takes the rest of its
-    block as a block of its own. Adds (block_no, kind, block); other columns stay."""
-    pieces = F.filter(F.transform(F.split(X.empty(F.col(text_col)), "\n\n"), lambda b: X.strip(b)), lambda b: b != "")
+def block_list(text: Column) -> Column:
+    """Array of (kind, block): the text split at blank lines, a heading line apart from the rest of its block."""
+    pieces = F.filter(F.transform(F.split(X.empty(text), "\n\n"), lambda b: X.strip(b)), lambda b: b != "")
     typed = "struct<kind:string,block:string>"
 
     def entry(kind: str, block: Column) -> Column:
@@ -119,16 +119,45 @@ def blocks(df: DataFrame, text_col: str = "text") -> DataFrame:
         return F.when(X.looks_like_list(b), entry("list", b)).when(one_line & X.looks_like_heading(b), entry("heading", b)).otherwise(entry("paragraph", b))
 
     def split(b: Column) -> Column:
-        head = X.atx(F.substring_index(b, "\n", 1))
+        head = F.when(b.startswith("#"), X.atx(F.substring_index(b, "\n", 1)))
         rest = F.when(F.contains(b, F.lit("\n")), X.strip(F.substring(b, F.instr(b, "\n") + 1, F.length(b)))).otherwise(F.lit(""))
         both = F.when(rest != "", F.array(entry("heading", head["title"]), plain(rest))).otherwise(F.array(entry("heading", head["title"])))
         return F.when(head.isNotNull(), both).otherwise(F.array(plain(b)))
 
-    found = F.filter(F.flatten(F.transform(pieces, split)).cast(f"array<{typed}>"), lambda x: x["block"] != "")
-    rows = df.select(*[c for c in df.columns if c != text_col], F.posexplode(found).alias("block_no", "x"))
+    return F.filter(F.flatten(F.transform(pieces, split)).cast(f"array<{typed}>"), lambda x: x["block"] != "")
+
+
+def blocks(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """A row per block (split at blank lines) with kind heading, list or paragraph; a heading line takes the rest of its
+    block as a block of its own. Adds (block_no, kind, block); other columns stay."""
+    rows = df.select(*[c for c in df.columns if c != text_col], F.posexplode(block_list(F.col(text_col))).alias("block_no", "x"))
     return rows.select(*[c for c in df.columns if c != text_col], "block_no", "x.kind", "x.block")
 
 
+def chained_blocks(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """What section_chain adds to blocks, each text in its own row: no block is shuffled to meet its heading."""
+
+    def chain(found: Column, heads: Column) -> Column:
+        """The blocks after each heading up to the next one, itself included; heads: places of headings from 1, after a 0."""
+
+        def after(h: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(heads, k + 1), F.size(found))
+            head, at = F.get(found, h - 1), F.when(h > 0, F.concat(F.lit("e"), h.cast("string"))).otherwise("")
+
+            def one(x: Column, j: Column) -> Column:
+                n = h + j + 1
+                element = F.concat(F.lit("e"), n.cast("string"))
+                return F.struct((n - 1).alias("block_no"), x["kind"].alias("kind"), x["block"].alias("block"), n.alias("document_order"), element.alias("element_id"), F.coalesce(head["block"], F.lit("")).alias("section"), at.alias("parent_id"))
+
+            return F.transform(F.slice(found, h + 1, end - h), one)
+
+        return F.flatten(F.transform(heads, after))
+
+    places = lambda found: F.filter(F.transform(found, lambda x, i: F.when(x["kind"] == "heading", i + 1)), lambda i: i.isNotNull())
+    chained = bound(block_list(F.col(text_col)), lambda found: bound(F.concat(F.array(F.lit(0)), places(found)), lambda heads: chain(found, heads)))
+    return df.select(*[c for c in df.columns if c != text_col], F.inline(chained))
+
+
 def section_chain(elements: DataFrame, key: str, order: str = "block_no") -> DataFrame:
     """Adds element_id, document_order, section and parent_id: the last heading before each element ('' at first)."""
     own = W.partitionBy(key).orderBy(order)
@@ -167,17 +196,24 @@ def packed(paragraphs: Column, longest: int = PACK_CHARS, hard: int | None = Non
 def table_runs(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """(key, run_no, first_line, n_lines, is_table, block): lines grouped into pipe-line runs and the text between them.
 
-    A run of pipe lines is a table with three lines, or with a separator as its second.
+    A run of pipe lines is a table with three lines, or with a separator as its second. A text is cut in its own row, without a shuffle.
     """
-    lines = df.select(key, F.posexplode(F.split(X.empty(F.col(text_col)), "\n")).alias("line_no", "line"))
-    own = W.partitionBy(key).orderBy("line_no")
-    pipe = X.strip(F.col("line")).startswith("|")
-    flagged = lines.withColumn("pipe", pipe).withColumn("cut", (F.col("pipe") != F.lag("pipe").over(own)).cast("int"))
-    runs = flagged.withColumn("run_no", F.sum(F.coalesce("cut", F.lit(0))).over(own))
-    grouped = runs.groupBy(key, "run_no", "pipe").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    rows = F.transform("l", lambda x: x["line"])
-    separator = F.coalesce(F.get(rows, F.lit(1)).rlike(r"^\s*\|[\s:|-]*-[\s:|-]*$"), F.lit(False))
-    return grouped.select(key, F.col("run_no").cast("int").alias("run_no"), "first_line", "n_lines", (F.col("pipe") & ((F.col("n_lines") >= 3) | ((F.col("n_lines") >= 2) & separator))).alias("is_table"), F.array_join(rows, "\n").alias("block"))
+
+    def runs(lines: Column, pipe: Column, starts: Column) -> Column:
+        def one(at: Column, k: Column) -> Column:
+            n = F.coalesce(F.get(starts, k + 1), F.size(lines)) - at
+            separator = F.coalesce(F.get(lines, at + 1).rlike(r"^\s*\|[\s:|-]*-[\s:|-]*$"), F.lit(False))
+            is_table = F.get(pipe, at) & ((n >= 3) | ((n >= 2) & separator))
+            return F.struct(k.alias("run_no"), at.alias("first_line"), n.cast("long").alias("n_lines"), is_table.alias("is_table"), F.array_join(F.slice(lines, at + 1, n), "\n").alias("block"))
+
+        return F.transform(starts, one)
+
+    def cuts(pipe: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(pipe) - 1), lambda i: (i == 0) | (F.get(pipe, i) != F.get(pipe, i - 1)))
+
+    flags = lambda lines: F.transform(lines, lambda x: x.rlike(rf"^[{X.SPACE}]*\|"))
+    found = bound(F.split(X.empty(F.col(text_col)), "\n"), lambda lines: bound(flags(lines), lambda pipe: bound(cuts(pipe), lambda starts: runs(lines, pipe, starts))))
+    return df.select(key, F.inline(found))
 
 
 def table_shape(block: Column) -> Column:

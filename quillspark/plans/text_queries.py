@@ -101,7 +101,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM k W
 h AS (SELECT *, max(CASE WHEN kind = 'heading' THEN n END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS at FROM o)
 SELECT h.doc_id, h.n AS document_order, h.kind, 'e' || h.n AS element_id, coalesce(p.block, '') AS section, CASE WHEN h.at IS NULL THEN '' ELSE 'e' || h.at END AS parent_id, sha1(h.block) AS block_sha1 FROM h LEFT JOIN o AS p ON p.doc_id = h.doc_id AND p.n = h.at""")
 def section_chain(spark, sf_dir):
-    rows = T.section_chain(T.blocks(table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))), "doc_id")
+    rows = T.chained_blocks(table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text")))
     return rows.select("doc_id", F.col("document_order").cast("long").alias("document_order"), "kind", "element_id", "section", "parent_id", F.sha1("block").alias("block_sha1"))
 
 

@@ -66,3 +66,16 @@ def test_content_dedupe_counts_places(spark, tmp_path):
     assert differs(spark, tmp_path, "content_dedupe", documents=(docs, DOCS), embeddings=VECTORS) is None
     places = [r["position"] for r in QUERIES["content_dedupe"](spark, str(tmp_path)).collect()]
     assert min(places) == 0 and max(places) < 12
+
+
+def test_runs_and_chains_within_a_row(spark, tmp_path):
+    from quillspark.operators import structure
+
+    texts = ["a\n|x|y|\n|--|--|\n|1|2|\nb", "|a|\n|b|", " |a|\n\t| - |\n", "", None, "\n\n", "# H\nshort\nlong enough to be a paragraph, it ends with a stop.\n# T\n- x\n- y", "one.\ntwo.\n#\n## L", "|a b|\n|--|\n" + "|word word word|\n" * 400]
+    tables = {"documents": ([(k, t, "en", "src1") for k, t in enumerate(texts)], DOCS)}
+    for name in ("table_blocks", "section_chain"):
+        assert differs(spark, tmp_path / name, name, **tables) is None
+        assert "Exchange" not in QUERIES[name](spark, str(tmp_path / name))._jdf.queryExecution().executedPlan().toString()
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    chained = structure.section_chain(structure.blocks(df), "doc_id")
+    assert sorted(map(str, structure.chained_blocks(df).select(*chained.columns).collect())) == sorted(map(str, chained.collect()))
