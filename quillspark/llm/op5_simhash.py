@@ -224,13 +224,16 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     """One row of df for each component: that of the least id, or of a null id if it has no other; all columns stay.
 
     Texts link at max_diff differing fingerprint bits or fewer; with `least`, at an exact Jaccard similarity of their shingle
-    sets of `least` or more, which similar.py finds. The survivor is a row and not an id: an id whose texts lie in several
+    sets of `least` or more: the index's components are checked pair by pair, and similar.py adds pairs that differ in more bits. The survivor is a row and not an id: an id whose texts lie in several
     components can stay for each of them.
     """
     ids = df.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(id_col, text_col).alias("__row"), F.col(f"`{text_col}`").alias("text"))
     if least is not None:
         prints = checkpointed(similar.with_bands(ids, words, seed).drop("text"))
-        named = components(prints.select("doc_id", "__row", "fingerprint"), similar.links(ids, prints, words, least, seed, min(node_limit, similar.NODE_LIMIT)))
+        sets = prints.filter("size > 0").select(F.col("fingerprint").alias("of"), F.col("simhash").alias("fingerprint")).distinct()
+        indexed = components(sets, links(sets.select("fingerprint").distinct(), max_diff, node_limit))
+        nodes = checkpointed(indexed.select(F.col("of").alias("fingerprint"), F.xxhash64(F.lit("index"), "component").alias("bucket")))
+        named = components(prints.select("doc_id", "__row", "fingerprint"), similar.links(ids, prints, words, least, seed, min(node_limit, similar.NODE_LIMIT), nodes))
     else:
         prints = checkpointed(with_fingerprints(ids, "text", words, seed).select("doc_id", "__row", "fingerprint"))
         named = components(prints, links(prints.select("fingerprint").distinct(), max_diff, node_limit))

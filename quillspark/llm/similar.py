@@ -6,7 +6,8 @@ they surely share is long enough to be an upper node. So here
 
 * the sketch is `WORDS64` SimHashes of the set of shingles; `radius` bounds the bits in which sets that are similar enough
   differ, by formula with a miss below 0.00001;
-* the upper nodes are MinHash buckets: with 20 bands of 4 hashes, sets at similarity s share one with probability
+* each component of operator 5's own index (the SimHash of all shingles, masks, Gray order, `max_diff` bits) is a node;
+* further nodes are MinHash buckets: with 20 bands of 4 hashes, sets at similarity s share one with probability
   1 - (1 - s**4)**20, 0.99997 at 0.8;
 * a pair of a node whose sketches lie within the radius is a candidate; the exact similarity of the shingle sets decides.
 
@@ -35,14 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, scratch, with_text_columns
+from .common import checkpointed, parts_of, scratch, with_text_columns
 from .graph import components
 from .shingles import majority, shingle_hashes
 
 BANDS, ROWS = 20, 4
 WORDS64 = 4
-AT_ONCE = 1 << 22
-NODE_LIMIT, NODE_SHINGLES = 8192, 1 << 20
+AT_ONCE = 1 << 19  # a numpy step holds about ten arrays of so many numbers, and each core of an executor has one
+NODE_LIMIT, NODE_SHINGLES = 8192, 1 << 19
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,19 +87,20 @@ def radius(least: float) -> int:
 
 
 def with_bands(df: DataFrame, words: int, seed: int) -> DataFrame:
-    """Adds fingerprint (a hash of the text's shingle set), size (of the set), sketch and bands (null for the empty set)."""
+    """Adds fingerprint (a hash of the text's shingle set), simhash (operator 5's), size (of the set), sketch and bands (null for the empty set)."""
 
     def make():
         def compute(texts):
-            sets = [shingle_set(t, words, seed) for t in texts]
+            hashes = [np.array(shingle_hashes(t, words, seed), dtype=np.uint64) for t in texts]
+            sets = [np.unique(h) for h in hashes]
             filled = [s for s in sets if len(s)]
             bands = iter(band_hashes(filled, seed).view(np.int64)) if filled else iter(())
             prints = np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], dtype=np.uint64).view(np.int64)
-            return {"fingerprint": prints, "size": [len(s) for s in sets], "sketch": list(sketches(sets)), "bands": [next(bands) if len(s) else None for s in sets]}
+            return {"fingerprint": prints, "simhash": majority(hashes), "size": [len(s) for s in sets], "sketch": list(sketches(sets)), "bands": [next(bands) if len(s) else None for s in sets]}
 
         return compute
 
-    fields = [T.StructField("fingerprint", T.LongType()), T.StructField("size", T.LongType()), *[T.StructField(n, T.ArrayType(T.LongType())) for n in ("sketch", "bands")]]
+    fields = [*[T.StructField(n, T.LongType()) for n in ("fingerprint", "simhash")], T.StructField("size", T.LongType()), *[T.StructField(n, T.ArrayType(T.LongType())) for n in ("sketch", "bands")]]
     return with_text_columns(df, "text", fields, make)
 
 
@@ -190,8 +192,9 @@ def linked_in_nodes(rows: DataFrame, texts: DataFrame, words: int, least: float,
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = pa.array([shingle_set(t, words, seed).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["fingerprint", "of"])
+            for part, texts in parts_of(batch, 1):
+                sets = pa.array([shingle_set(t, words, seed).tobytes() for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), sets], names=["fingerprint", "of"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held = None, []
@@ -203,7 +206,9 @@ def linked_in_nodes(rows: DataFrame, texts: DataFrame, words: int, least: float,
                     yield pa.RecordBatch.from_arrays([pa.array([held[p[k]][0] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for bucket, low, high, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *at, fingerprint, component, of in zip(*batch.columns, strict=True):  # a row at a time: the sets of a batch aren't held twice
+                bucket, low, high = (x.as_py() for x in at)
+                row = [fingerprint.as_py(), component.as_py(), of.as_py()]
                 if (bucket, low, high) != cell:
                     yield from out()
                     cell, held = (bucket, low, high), []
@@ -223,14 +228,16 @@ def apart(df: DataFrame, key: str) -> DataFrame:
     return df.join(main, key).filter("component <> main").drop("main")
 
 
-def links(df: DataFrame, prints: DataFrame, words: int, least: float, seed: int, node_limit: int = NODE_LIMIT) -> DataFrame:
+def links(df: DataFrame, prints: DataFrame, words: int, least: float, seed: int, node_limit: int = NODE_LIMIT, more: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) between fingerprints, whose components are those of all verified candidate pairs.
 
-    df: __row, text; prints: __row, fingerprint, size, sketch, bands.
+    df: __row, text; prints: __row, fingerprint, size, sketch, bands; more: further nodes (fingerprint, bucket), a class once in each.
     """
     classes = prints.filter("size > 0").groupBy("fingerprint").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "bands")], F.min("__row").alias("__row"))
     item = F.struct("fingerprint", "size", *[F.col("sketch")[k].alias(f"s{k}") for k in range(WORDS64)]).alias("item")
     placed = classes.select("__row", item, F.explode("bands").alias("bucket"))
+    if more is not None:
+        placed = placed.unionByName(classes.join(more, "fingerprint").select("__row", item, "bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     met = checkpointed(placed.join(shared, "bucket"))
     weights = met.groupBy("item.fingerprint").agg(F.sum("n").alias("weight"), F.first("__row").alias("__row"))

@@ -65,6 +65,19 @@ def test_pairs_the_leader_does_not_link(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == brute(rows)
 
 
+def test_index_of_operator_5_is_used(spark, monkeypatch):
+    """Without any MinHash bucket, what its index links is compared exactly: near copies go, texts alike in bits alone stay."""
+    monkeypatch.setattr(similar, "with_bands", lambda df, *how, f=similar.with_bands: f(df, *how).withColumn("bands", similar.F.expr("cast(null as array<bigint>)")))
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(3000)}" for _ in range(4000)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "end"])), (3, " ".join(base[:100])), (4, " ".join(base * 2))]  # 4 has the shingles of 1 and a few more
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in op5_simhash.keep_one(df, words=5, least=0.8).collect()) == brute(rows) == [1, 3]
+    twice = [(1, " ".join(base[:200] * 20 + base[200:400])), (2, " ".join(base[:200] * 20 + base[400:600]))]  # nearly one fingerprint, half the set
+    kept = op5_simhash.keep_one(spark.createDataFrame(twice, "doc_id long, text string"), words=5, least=0.8, max_diff=20)
+    assert sorted(r["doc_id"] for r in kept.collect()) == brute(twice) == [1, 2]
+
+
 def test_nodes_beyond_the_limit(spark, monkeypatch):
     """One bucket for all classes, dealt to dozens of blocks at both steps: no pair is lost, whatever the size of its node."""
     monkeypatch.setattr(similar, "with_bands", lambda df, *how, f=similar.with_bands: f(df, *how).withColumn("bands", similar.F.expr("if(size > 0, array(1L), null)")))
