@@ -218,26 +218,32 @@ def table_runs(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
 def table_shape(block: Column) -> Column:
     """(rows without the separator, most cells in a row) of a pipe table."""
-    lines = F.filter(F.split(block, "\n"), lambda x: X.strip(x).startswith("|") & ~x.rlike(r"^\s*\|[\s:|-]*-[\s:|-]*$"))
-    cells = F.transform(lines, lambda x: F.size(F.split(F.regexp_replace(X.strip(x), r"^\||\|$", ""), r"\|")))
-    return F.struct(F.size(lines).alias("n_rows"), F.coalesce(F.array_max(cells), F.lit(0)).alias("n_cols"))
+    lines = F.filter(F.split(block, "\n"), lambda x: x.rlike(rf"^[{X.SPACE}]*\|") & ~x.rlike(r"^\s*\|[\s:|-]*-[\s:|-]*$"))
+    cells = lambda found: F.transform(found, lambda x: F.size(F.split(F.regexp_replace(X.strip(x), r"^\||\|$", ""), r"\|")))
+    return bound(lines, lambda found: F.struct(F.size(found).alias("n_rows"), F.coalesce(F.array_max(cells(found)), F.lit(0)).alias("n_cols")))
 
 
 def table_parts(block: Column, most: int = TABLE_WORDS, least: int = PART_WORDS, header_lines: int = 2) -> Column:
     """Array of table texts: a table over `most` words is cut into row groups of at least `least` words, each under the
     header. header_lines=3 repeats the first body row as well, for compatibility."""
-    lines = F.filter(F.split(block, "\n"), lambda x: X.strip(x) != "")
-    head, body = F.slice(lines, 1, header_lines), F.slice(lines, header_lines + 1, F.greatest(F.size(lines), F.lit(1)))
+    lines = F.filter(F.split(block, "\n"), lambda x: x.rlike(X.WORD_PATTERN))
     zero = F.struct(F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("buf"), F.lit(0).alias("n"))
 
     def step(acc: Column, x: Column) -> Column:
-        n = acc["n"] + F.size(X.words(x))
         buf = F.array_append(acc["buf"], x)
-        full = F.struct(F.array_append(acc["done"], buf).alias("done"), zero["buf"].alias("buf"), F.lit(0).alias("n"))
-        return F.when(n >= least, full).otherwise(F.struct(acc["done"].alias("done"), buf.alias("buf"), n.alias("n")))
 
-    groups = F.aggregate(body, zero, step, lambda acc: F.when(F.size(acc["buf"]) > 0, F.array_append(acc["done"], acc["buf"])).otherwise(acc["done"]))
-    return F.when(F.size(X.words(block)) <= most, F.array(block)).otherwise(F.transform(groups, lambda g: F.array_join(F.concat(head, g), "\n")))
+        def grown(n: Column) -> Column:
+            full = F.struct(F.array_append(acc["done"], buf).alias("done"), zero["buf"].alias("buf"), F.lit(0).alias("n"))
+            return F.when(n >= least, full).otherwise(F.struct(acc["done"].alias("done"), buf.alias("buf"), n.alias("n")))
+
+        return bound(acc["n"] + F.size(X.words(x)), grown)
+
+    def cut(found: Column) -> Column:
+        head, body = F.slice(found, 1, header_lines), F.slice(found, header_lines + 1, F.greatest(F.size(found), F.lit(1)))
+        groups = F.aggregate(body, zero, step, lambda acc: F.when(F.size(acc["buf"]) > 0, F.array_append(acc["done"], acc["buf"])).otherwise(acc["done"]))
+        return F.transform(groups, lambda g: F.array_join(F.concat(head, g), "\n"))
+
+    return F.when(F.size(X.words(block)) <= most, F.array(block)).otherwise(bound(lines, cut))
 
 
 def transcript_text(segments: DataFrame, key: str, *order: str) -> DataFrame:

@@ -128,8 +128,8 @@ f AS (SELECT doc_id, run_no, rn, n AS held, 1::BIGINT AS parts FROM b WHERE rn =
 SELECT g.doc_id, g.run_no, g.n_lines, g.is_table, g.n_rows, g.n_cols, CASE WHEN g.n <= {T.TABLE_WORDS} THEN 1 ELSE coalesce((SELECT max(parts) FROM f WHERE f.doc_id = g.doc_id AND f.run_no = g.run_no), 0) END AS parts FROM g""")
 def table_blocks(spark, sf_dir):
     rows = T.table_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    shape = T.table_shape(F.col("block"))
-    return rows.select("doc_id", F.col("run_no").cast("long").alias("run_no"), "n_lines", "is_table", shape["n_rows"].cast("long").alias("n_rows"), shape["n_cols"].cast("long").alias("n_cols"), F.size(T.table_parts(F.col("block"))).cast("long").alias("parts"))
+    rows = rows.select("*", F.inline(F.array(T.table_shape(F.col("block")))))  # one look at a block for both figures
+    return rows.select("doc_id", F.col("run_no").cast("long").alias("run_no"), "n_lines", "is_table", F.col("n_rows").cast("long").alias("n_rows"), F.col("n_cols").cast("long").alias("n_cols"), F.size(T.table_parts(F.col("block"))).cast("long").alias("parts"))
 
 
 @query(
