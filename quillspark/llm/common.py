@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+#: With it, the shuffle files of an action go as it ends; without, they stay until the driver collects its garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Characters of text that one numpy step looks at; bounds a Python worker's memory whatever the Arrow batch is.
 SLICE_CHARS = 1 << 20
 
@@ -54,6 +57,29 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of each action within go as it ends."""
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREED)
+        else:
+            spark.conf.set(FREED, before)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read back. Readers take their own columns, know the size and read many small
+    files in one task, which they can't of a checkpoint; the step's shuffle files go as it ends."""
+    path = scratch(df.sparkSession, name)
+    with freed(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ranges(lengths: Iterable[int], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about so many characters; one long text makes a range of its own."""
     start = held = i = 0

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import freed, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,20 +13,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating star steps: a large star ties an id's greater neighbours to its least one, a small star its
     smaller ones; a forest of stars is the fixed point, after a number of rounds about the log of the diameter.
+    Both steps need an id's edges alone, so a round has two exchanges, and its edges are no more than those before.
     """
-    e = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
+    e = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
+    least = F.min("v").over(Window.partitionBy("u"))
     while True:
-        check = e.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        if (check["n"], check["h"]) == seen or check["n"] == 0:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-        seen = (check["n"], check["h"])
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
-        e = checkpointed(small.distinct())
+        both = e.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+        near = both.groupBy("u").agg(F.min("v").alias("least"), F.max("v").alias("most"))
+        with freed(e.sparkSession):  # each id is a root, below all its neighbours, or has one neighbour, below it
+            stars = near.filter("least < u and least < most").isEmpty()
+        if stars:
+            return near.select(F.col("u").alias("id"), F.least("u", "least").alias("component"))
+        large = both.withColumn("m", F.least("u", least)).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.repartition("u").distinct().withColumn("m", least)  # an id's edge to m becomes its own, the others those of its neighbours
+        e = stored(small.select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")), "edges")
 
 
 def components(prints: DataFrame, edges: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ masked bit pattern that all fingerprints below it share:
   over the bits that a level adds, and a pair of groups beyond max_diff is dropped whole.
 
 Only different fingerprints enter the index (copies are counted once, by key), and a node returns a spanning
-forest of its links, never all pairs. Components come from alternating large-star and small-star steps, each cut
-by a reliable checkpoint.
+forest of its links, never all pairs. Components come from alternating large-star and small-star steps, each round
+written to the shared folder.
 
 Defined cases: null and empty texts have fingerprint 0 and link like any other; repeated rows each get a row;
 a null doc_id stays in its row, and a component of null ids only has component_id null; empty tables give none.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import similar
-from .common import checkpointed, with_text_columns
+from .common import stored, with_text_columns
 from .graph import components, connected_components, row_key, survivors
 from .shingles import majority, shingle_hashes
 
@@ -167,15 +167,15 @@ def upper_nodes(fingerprints: DataFrame, max_diff: int, node_limit: int) -> Data
     nodes = fingerprints.select("fingerprint").distinct().select("fingerprint", F.explode(roots).alias("mask"))
     ready: list[DataFrame] = []
     while True:
-        hot = checkpointed(nodes.groupBy("mask", pattern.alias("pattern")).count().filter(F.col("count") > node_limit).select("mask", "pattern"))
-        steps = checkpointed(grown_masks(hot.select("mask").distinct(), max_diff, node_limit))
+        hot = stored(nodes.groupBy("mask", pattern.alias("pattern")).count().filter(F.col("count") > node_limit).select("mask", "pattern"), "hot-nodes")
+        steps = stored(grown_masks(hot.select("mask").distinct(), max_diff, node_limit), "grown-masks")
         if steps.isEmpty():
             break
         hot = hot.join(steps.select("mask").distinct(), "mask")
         keyed = nodes.withColumn("pattern", pattern)
         ready.append(keyed.join(hot, ["mask", "pattern"], "left_anti").select("fingerprint", "mask"))
         split = keyed.join(hot, ["mask", "pattern"], "left_semi").join(steps, "mask")
-        nodes = checkpointed(split.select("fingerprint", F.col("child").alias("mask")).distinct())  # one node can be reached by two ways
+        nodes = stored(split.select("fingerprint", F.col("child").alias("mask")).distinct(), "nodes")  # one node can be reached by two ways
     for more in ready:
         nodes = nodes.unionByName(more)
     return nodes.withColumn("pattern", pattern)
@@ -212,7 +212,7 @@ def links(fingerprints: DataFrame, max_diff: int = 2, node_limit: int = 20_000)
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, max_diff: int = 2, node_limit: int = 20_000) -> DataFrame:
     """One row per input row: id, fingerprint (integer) and component_id, the least id reachable over links."""
     ids = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    prints = checkpointed(with_fingerprints(ids, "text", words, seed).select("doc_id", "fingerprint"))
+    prints = stored(with_fingerprints(ids, "text", words, seed).select("doc_id", "fingerprint"), "prints")
     classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     named = components(classes, links(classes, max_diff, node_limit))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -229,13 +229,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     """
     ids = df.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(id_col, text_col).alias("__row"), F.col(f"`{text_col}`").alias("text"))
     if least is not None:
-        prints = checkpointed(similar.with_bands(ids, words, seed).drop("text"))
+        prints = stored(similar.with_bands(ids, words, seed).drop("text"), "prints")
         sets = prints.filter("size > 0").select(F.col("fingerprint").alias("of"), F.col("simhash").alias("fingerprint")).distinct()
         indexed = components(sets, links(sets.select("fingerprint").distinct(), max_diff, node_limit))
-        nodes = checkpointed(indexed.select(F.col("of").alias("fingerprint"), F.xxhash64(F.lit("index"), "component").alias("bucket")))
+        nodes = stored(indexed.select(F.col("of").alias("fingerprint"), F.xxhash64(F.lit("index"), "component").alias("bucket")), "index-nodes")
         named = components(prints.select("doc_id", "__row", "fingerprint"), similar.links(ids, prints, words, least, seed, min(node_limit, similar.NODE_LIMIT), nodes))
     else:
-        prints = checkpointed(with_fingerprints(ids, "text", words, seed).select("doc_id", "__row", "fingerprint"))
+        prints = stored(with_fingerprints(ids, "text", words, seed).select("doc_id", "__row", "fingerprint"), "prints")
         named = components(prints, links(prints.select("fingerprint").distinct(), max_diff, node_limit))
     return survivors(df, named, id_col, text_col)
 

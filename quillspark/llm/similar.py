@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, parts_of, scratch, with_text_columns
+from .common import parts_of, stored, with_text_columns
 from .graph import components
 from .shingles import majority, shingle_hashes
 
@@ -216,7 +216,7 @@ def linked_in_nodes(rows: DataFrame, texts: DataFrame, words: int, least: float,
         yield from out()
 
     wanted = texts.join(rows.select("fingerprint").distinct(), "fingerprint", "left_semi").select("fingerprint", "text")
-    sets = checkpointed(wanted.mapInArrow(hashed, "fingerprint long, of binary"))
+    sets = stored(wanted.mapInArrow(hashed, "fingerprint long, of binary"), "similar-sets")
     key = ("bucket", "low", "high")
     full = rows.join(sets, "fingerprint").select(*key, "fingerprint", "component", "of")
     return full.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
@@ -233,27 +233,26 @@ def links(df: DataFrame, prints: DataFrame, words: int, least: float, seed: int,
 
     df: __row, text; prints: __row, fingerprint, size, sketch, bands; more: further nodes (fingerprint, bucket), a class once in each.
     """
-    classes = prints.filter("size > 0").groupBy("fingerprint").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "bands")], F.min("__row").alias("__row"))
+    classes = stored(prints.filter("size > 0").groupBy("fingerprint").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "bands")], F.min("__row").alias("__row")), "classes")
     item = F.struct("fingerprint", "size", *[F.col("sketch")[k].alias(f"s{k}") for k in range(WORDS64)]).alias("item")
-    placed = classes.select("__row", item, F.explode("bands").alias("bucket"))
+    placed = classes.select("fingerprint", F.explode("bands").alias("bucket"))
     if more is not None:
-        placed = placed.unionByName(classes.join(more, "fingerprint").select("__row", item, "bucket"))
+        placed = placed.unionByName(more.select("fingerprint", "bucket"))
+    # only the rows of shared buckets, few of all, meet their classes' sketches
+    placed = placed.repartition("bucket")
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    met = checkpointed(placed.join(shared, "bucket"))
+    met = stored(placed.join(shared, "bucket").join(classes, "fingerprint").select("bucket", "n", "__row", item), "met")
     weights = met.groupBy("item.fingerprint").agg(F.sum("n").alias("weight"), F.first("__row").alias("__row"))
-
-    path = scratch(df.sparkSession, "similar-texts")
-    df.select("__row", "text").join(weights, "__row").dropDuplicates(["__row"]).select("fingerprint", "text").write.parquet(path)
-    texts = df.sparkSession.read.parquet(path)
+    texts = stored(df.select("__row", "text").join(weights, "__row").dropDuplicates(["__row"]).select("fingerprint", "text"), "similar-texts")
 
     weighed = met.select("bucket", "item", F.col("item.fingerprint").alias("fingerprint")).join(weights.select("fingerprint", "weight"), "fingerprint")
     leaders = weighed.groupBy("bucket").agg(F.max_by("item", F.struct("weight", "fingerprint")).alias("leader"))
     stars = met.select("bucket", "item").join(leaders, "bucket").filter("item.fingerprint <> leader.fingerprint").filter(alike("leader", "item", least))
-    first = checkpointed(verified(stars.select(F.col("leader.fingerprint").alias("a"), F.col("item.fingerprint").alias("b")).distinct(), texts, words, least, seed))
+    first = stored(verified(stars.select(F.col("leader.fingerprint").alias("a"), F.col("item.fingerprint").alias("b")).distinct(), texts, words, least, seed), "first-links")
 
     named = components(met.select("bucket", "item", F.col("item.fingerprint").alias("fingerprint")), first)
     several = named.groupBy("bucket").agg((F.min("component") < F.max("component")).alias("several")).filter("several").select("bucket")
-    named = checkpointed(named.join(several, "bucket"))
+    named = stored(named.join(several, "bucket"), "named")
     # both sides are dealt to blocks, so that a node of n classes isn't n * n comparisons of one task
     dealt = named.join(blocks(named, F.lit(1), node_limit), "bucket").withColumn("block", block_of("item.fingerprint"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
@@ -263,5 +262,5 @@ def links(df: DataFrame, prints: DataFrame, words: int, least: float, seed: int,
     meets = meets[0] & meets[1] & meets[2] & (F.col("component") != F.col("c")) & alike("item", "other", least)
     left = dealt.alias("named").join(few.alias("few"), meets, "left_semi").select("bucket", "item.fingerprint", "component", "item.size")
     right = few.alias("few").join(dealt.alias("named"), meets, "left_semi").select("bucket", "other.fingerprint", F.col("c").alias("component"), "other.size")
-    rest = checkpointed(left.unionByName(right).distinct())
+    rest = stored(left.unionByName(right).distinct(), "rest")
     return first.unionByName(linked_in_nodes(cells(rest, NODE_SHINGLES), texts, words, least, seed))

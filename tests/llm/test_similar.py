@@ -4,7 +4,8 @@ import random
 
 import corpus_pipeline as p
 import numpy as np
-from quillspark.llm import op5_simhash, similar
+from quillspark.llm import graph, op5_simhash, similar
+from quillspark.llm.common import FREED
 
 
 def shingles(text, words=5):
@@ -98,6 +99,56 @@ def test_each_pair_of_a_node_has_a_cell(spark):
     assert sum(b == 2 for b, *_ in held) == 1 < max(len(c) for c in held.values()) < 40
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    """Disk is that of the largest step, not the sum of all: only the last step, which the caller runs, may still hold files."""
+    df = spark.createDataFrame(texts()[:120], "doc_id long, text string").repartition(4)
+    before = shuffle_files(spark)
+    kept = op5_simhash.keep_one(df, words=5, least=0.8)
+    assert not shuffle_files(spark) - before
+    assert sorted(r["doc_id"] for r in kept.collect()) == brute(texts()[:120])
+    assert spark.conf.get(FREED) == "false"
+
+
+def test_a_round_of_components_has_few_tasks(spark, monkeypatch):
+    """The edges of a round are read in few tasks and exchanged twice, however many partitions a shuffle has."""
+    before, parts = spark.conf.get("spark.sql.shuffle.partitions"), 60
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    tracker, rounds = spark.sparkContext.statusTracker(), []
+    monkeypatch.setattr(graph, "stored", lambda *a, f=graph.stored: rounds.append(1) or f(*a))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 900) if i % 30 != 29], "a long, b long")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("components", "components")
+    try:
+        got = graph.connected_components(edges).collect()
+        stages = {s for j in tracker.getJobIdsForGroup("components") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(x.numCompletedTasks for s in stages if (x := tracker.getStageInfo(s)))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    assert {r["id"]: r["component"] for r in got} == {i: i - i % 30 for i in range(900)} and len(got) == 900
+    assert tasks <= 5 * parts * len(rounds)
+
+
+def test_components_of_any_graph(spark):
+    rng = random.Random(11)
+    for n, m in ((1, 0), (40, 25), (60, 60), (50, 200)):
+        pairs = [(rng.randrange(-n, n), rng.randrange(-n, n)) for _ in range(m)]
+        root = {x: x for p in pairs for x in p if p[0] != p[1]}
+        for _ in root:
+            for a, b in pairs:
+                if a != b:
+                    root[a] = root[b] = min(root[a], root[b])
+        got = graph.connected_components(spark.createDataFrame(pairs + pairs[:9], "a long, b long")).collect()
+        assert len(got) == len(root) and {r["id"]: r["component"] for r in got} == root
+
+
 def test_overlaps_in_pieces(monkeypatch):
     rng = random.Random(2)
     sets = [np.array(rng.sample(range(60), rng.randrange(1, 30))) for _ in range(50)]
